@@ -216,3 +216,10 @@ def sizes_sql(docs: str) -> str:
 
 
 OP2_SQL = f"WITH {sizes_sql('documents')} SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken FROM m"
+
+
+def taken_documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents: each document as often as the mix takes it; those of no words stay once, as they cost nothing."""
+    taken = mix_documents(docs)
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)
+    return taken.withColumn("_n", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))))).select(*docs.columns)

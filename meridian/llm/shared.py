@@ -103,3 +103,49 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def put_set(df: DataFrame, col: str, buckets: int) -> tuple[str, int]:
+    """Write the distinct values of a long column as sorted arrays, by equal ranges of the 64-bit space."""
+    from pyspark.sql import functions as F
+
+    from meridian.llm.words import U, bucket_of
+
+    folder = shared_dir(df.sparkSession)
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bucket_of(h, buckets).astype(np.int32))], names=["h", "bucket"])
+
+    def run(key, group):
+        import pyarrow as pa
+
+        h = np.unique(group["h"].to_numpy().view(np.uint64))
+        put_arrays(folder, str(key[0].as_py()), h=h)
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    df.select(F.col(col).alias("h")).where("h IS NOT NULL").mapInArrow(numbered, "h long, bucket int").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "n long").agg(F.sum("n")).first()
+    return folder, buckets
+
+
+def in_set(where: tuple[str, int], h: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in a set that put_set wrote; reads it through memory maps."""
+    from meridian.llm.words import bucket_of
+
+    folder, buckets = where
+    order = np.argsort(h)
+    q, out = h[order], np.zeros(len(h), bool)
+    bucket = bucket_of(q, buckets)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for i, j in zip(cut, [*cut[1:], len(q)]):
+        try:
+            have = get_array(folder, str(bucket[i]), "h")
+        except FileNotFoundError:
+            continue
+        if len(have):
+            at = np.minimum(np.searchsorted(have, q[i:j]), len(have) - 1)
+            out[order[i:j]] = np.asarray(have[at]) == q[i:j]
+    return out
