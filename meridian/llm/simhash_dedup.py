@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.components import components
-from meridian.llm.hamming import links
+from meridian.llm.hamming import ALL, links, shard_links
 from meridian.llm.shared import slices, written
+from meridian.llm.words import mix
 
 SEED = 42
 
@@ -66,12 +67,110 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return d.join(least.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id")), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs whose key is its component's least; of rows with that key too (repeats), one."""
-    found = near_duplicates(docs, key, text, width, radius)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    out = docs.join(kept, docs[key].eqNullSafe(F.col("_k")), "left_semi")
-    return out.dropDuplicates([key]) if found.groupBy(key).count().where("count > 1").limit(1).count() else out
+LOW, KEYS, DEEP, NEAR = 64, 4, 12, 16  #: kept least hashes of a text's shingles; shards of a text; deepest shard; radius of the tree search
+
+
+def _measured(width: int):
+    def run(batches):
+        import xxhash
+
+        for batch in slices(batches):
+            rows = []
+            for t in batch.column(1).cast("binary").to_pylist():
+                words = (t or b"").lower().split()
+                n = max(1, len(words) - width + 1) if words else 0
+                h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
+                some = np.unique(h)
+                sig = int(np.array([xxhash.xxh64_intdigest(some.tobytes())], np.uint64).view(np.int64)[0])
+                rows.append((sig, simhash(t or b"", width), some[:LOW].view(np.int64).tolist()))
+            sig, fp, low = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.int64()), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["k", "sig", "fp", "low"])
+
+    return run
+
+
+def sketch_similarity(a: list[int], b: list[int]) -> float:
+    """Jaccard similarity of shingle sets from their least LOW hashes; exact where both have fewer. Two empty sets are equal."""
+    x, y = np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64)
+    least = np.union1d(x, y)
+    if len(x) == LOW or len(y) == LOW:
+        least = least[:LOW]
+    return float(np.isin(least, np.intersect1d(x, y)).mean()) if len(least) else 1.0
+
+
+def _copies(similar: float, limit: int):
+    """Streams rows (key, depth, sig, fp, low) sorted by key; yields links, or the rows of a large shard under further keys."""
+
+    def run(batches):
+        def rows(again, links):
+            cols = [[x[0] for x in links] + [None] * len(again), [x[1] for x in links] + [None] * len(again)]
+            cols += [[None] * len(links) + [x[i] for x in again] for i in range(5)]
+            kinds = (pa.int64(),) * 3 + (pa.int32(),) + (pa.int64(),) * 2 + (pa.list_(pa.int64()),)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "key", "depth", "sig", "fp", "low"])
+
+        def deeper(held):
+            """The same shingle is shared, so the texts meet again under it and one of their next least shingles."""
+            out = []
+            for key, depth, sig, fp, low in held:
+                for s in low[(depth + 1) * KEYS : (depth + 2) * KEYS]:
+                    both = np.array([(key & ALL) ^ (s * 0x9E3779B97F4A7C15 & ALL)], np.uint64)
+                    out.append((int(mix(both).view(np.int64)[0]), depth + 1, sig, fp, low))
+            return out
+
+        def done(held):
+            values = [x[3] & ALL for x in held]
+            texts = [x[4] for x in held]
+            return [(held[i][2], held[j][2]) for i, j in shard_links(values, NEAR, texts, lambda a, b: sketch_similarity(a, b) >= similar)]
+
+        key, held, large = None, [], False
+        for batch in slices(batches, 2048):
+            links, again = [], []
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[0] != key:
+                    if not large and len(held) > 1:
+                        links += done(held)
+                    key, held, large = r[0], [], False
+                held.append(r)
+                if (large or len(held) > limit) and r[1] < DEEP:
+                    again, held, large = again + deeper(held), [], True
+            yield rows(again, links)
+        yield rows([], done(held) if not large and len(held) > 1 else [])
+
+    return run
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.8, limit: int = 1024) -> DataFrame:
+    """(key, component_id): least key reachable by links between texts whose shingle sets are at least `similar`.
+
+    Texts meet in the shards of their KEYS least shingle hashes; in a shard a BK-tree of SimHash fingerprints finds those
+    within NEAR bits, and the least LOW hashes of their shingles decide. Texts of one shingle set are one node. Shards of
+    more than `limit` texts are dealt again under the next least shingles. Texts without words are copies of each other.
+    """
+    d = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_measured(width), f"k {docs.schema[key].dataType.simpleString()}, sig long, fp long, low array<long>"))
+    nodes = d.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("low").alias("low"), F.min("k").alias("least"))
+    shards = nodes.select(F.explode(F.slice("low", 1, KEYS)).alias("key"), F.lit(0).alias("depth"), "sig", "fp", "low")
+    every = None
+    while True:
+        out = written(shards.repartition("key").sortWithinPartitions("key").mapInArrow(_copies(similar, limit), "a long, b long, key long, depth int, sig long, fp long, low array<long>"))
+        found = out.where("a IS NOT NULL").select("a", "b")
+        every = found if every is None else every.union(found)
+        shards = out.where("a IS NULL").select("key", "depth", "sig", "fp", "low")
+        if shards.isEmpty():
+            break
+    joined = components(every)
+    least = nodes.select("sig", "least")
+    of = joined.join(least, joined["id"] == least["sig"]).select("id", "component", "least")
+    named = of.join(of.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("id").alias("sig"), "c")
+    return d.select("k", "sig").join(least.join(named, "sig", "left").select("sig", F.coalesce("c", "least").alias("component_id")), "sig").select(F.col("k").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.8) -> DataFrame:
+    """The rows of docs whose key is its component's least (null keys: none is less); of several rows with that key, one."""
+    found = near_copies(docs, key, text, width, similar)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k"))
+    repeats = kept.groupBy("_k").count().where("count > 1").limit(1).count()
+    out = docs.join(kept.distinct(), docs[key].eqNullSafe(F.col("_k")), "left_semi")
+    return out.dropDuplicates([key]) if repeats else out
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
