@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from meridian.plans import graph_queries
+
 FLAGSHIP = "build_graph"
+QUERIES = {**graph_queries.QUERIES}
+SQL = {**graph_queries.SQL}
