@@ -309,7 +309,10 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     spans = d.select("t").mapInArrow(_count_spans(buckets, length, gram), block).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_spans(folder, buckets), block)
     spans.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_grams(folder), "n long").agg(F.sum("n")).first()
     found = written(d.mapInArrow(_candidates(folder, buckets, length, gram, hot), RECORD))
-    settled, open_ = found.where("kind = 0").select("rk", "start", "n"), found.where("kind = 1")
+    settled = found.where("kind = 0").select("rk", "start", "n")
+    # bodies that stand for others come from many tasks: one of each is enough
+    open_ = found.where("kind = 1 AND rk IS NOT NULL").unionByName(found.where("kind = 1 AND rk IS NULL").dropDuplicates(["body"]))
+    open_ = written(open_)
     size = open_.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes")).first()
     if not size["rows"]:
         return settled
