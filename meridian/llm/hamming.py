@@ -71,23 +71,30 @@ class Sets:
         return i
 
 
-def shard_links(values: list[int], radius: int, texts: list[str] | None = None, like=None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among values (numbers in the list): within the radius, and like(text, text) where texts are given."""
+def shard_links(values: list[int], radius: int, texts: list[str] | None = None, like=None, met: list[int] = ()) -> list[tuple[int, int]]:
+    """A spanning forest of the links among values (numbers in the list): within the radius, and like(text, text) where texts are given.
+
+    Pairs that agree on one of the masks in `met` are left to the shard of that mask.
+    """
     tree, sets, out = BKTree(), Sets(), []
     for i, x in enumerate(values):
         sets.up.append(i)
         for j in tree.near(x, radius):
-            if (a := sets.root(i)) != (b := sets.root(j)) and (like is None or like(texts[i], texts[j])):
+            if (a := sets.root(i)) == (b := sets.root(j)):
+                continue
+            apart = x ^ values[j]
+            if all(apart & m for m in met) and (like is None or like(texts[i], texts[j])):
                 sets.up[max(a, b)] = min(a, b)
                 out.append((j, i))
         tree.add(x)
     return out
 
 
-def _shards(radius: int, blocks: int, limit: int, like):
-    """Streams rows (mask, value, fp, id[, text]) sorted by shard; yields links (a, b), or the rows of large shards dealt anew (a = b = null)."""
+def _shards(radius: int, masks: list[int], limit: int, like):
+    """Streams rows (mask, fp, id[, text]) sorted by shard; yields links (a, b), or the rows of large shards dealt anew (a = b = null)."""
     with_text = like is not None
-    names = ["mask", "value", "fp", "id", *["text"] * with_text]
+    names = ["mask", "fp", "id", *["text"] * with_text]
+    earlier = {m: masks[:i] for i, m in enumerate(masks)}
 
     def rows(out: list[tuple], links: list[tuple[int, int]]) -> pa.RecordBatch:
         cols = [pa.array([x[0] for x in links] + [None] * len(out), pa.int64()), pa.array([x[1] for x in links] + [None] * len(out), pa.int64())]
@@ -96,29 +103,32 @@ def _shards(radius: int, blocks: int, limit: int, like):
         return pa.RecordBatch.from_arrays(cols, names=["a", "b", *names])
 
     def again(mask: int, held: list[tuple]) -> list[tuple]:
-        masks = [(mask & ALL) | m for m in split_masks(ALL & ~mask, radius + 1, 1)]
-        return [(signed(m), signed(x[2] & m & ALL), *x[2:]) for x in held for m in masks]
+        deeper = [(mask & ALL) | m for m in split_masks(ALL & ~mask, radius + 1, 1)]
+        return [(signed(m), *x[1:]) for x in held for m in deeper]
 
     def run(batches):
         key, held, large, links = None, [], False, []
 
         def done():
             if len(held) > 1 and not large:
-                found = shard_links([x[2] & ALL for x in held], radius, [x[4] for x in held] if with_text else None, like)
-                links.extend((held[i][3], held[j][3]) for i, j in found)
+                found = shard_links([x[1] & ALL for x in held], radius, [x[3] for x in held] if with_text else None, like, earlier.get(key[0] & ALL, ()))
+                links.extend((held[i][2], held[j][2]) for i, j in found)
 
         for batch in batches:
-            mask, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            mask, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if not len(mask):
                 continue
+            value = mask & fp
             cut = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))))
-            for i, j in zip(cut, [*cut[1:], len(mask)]):
+            end = np.append(cut[1:], len(mask))
+            # shards of one row matter only where they may go on in a batch before or after
+            some = (end - cut > 1) | (cut == 0) | (end == len(mask))
+            columns = [c.to_pylist() if n == "text" else c.to_numpy(zero_copy_only=False).tolist() for n, c in zip(names, batch.columns)]
+            for i, j in zip(cut[some].tolist(), end[some].tolist()):
                 if key != (k := (int(mask[i]), int(value[i]))):
                     done()
                     key, held, large = k, [], False
-                if j - i == 1 and not held and j < len(mask):
-                    continue  # alone in its shard
-                held += zip(*(c.to_pylist() for c in batch.slice(i, j - i).columns))
+                held += zip(*(c[i:j] for c in columns))
                 if len(held) > limit:
                     large = True
                 if large and held:
@@ -136,19 +146,20 @@ def _shards(radius: int, blocks: int, limit: int, like):
 def links(fps: DataFrame, radius: int, blocks: int, like=None, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between ids of fps (id long, fp long[, text]), enough to connect all that are within the radius.
 
-    fp must be distinct where like is None. like(text, text), if given, decides on pairs within the radius. Null
-    fingerprints link with nothing.
+    like(text, text), if given, decides on pairs within the radius. A pair is looked at in the first shard that it shares.
+    Null fingerprints link with nothing.
     """
-    spark = fps.sparkSession
     cols = ["fp", "id", *["text"] * (like is not None)]
-    masks = [signed(m) for m in split_masks(ALL, blocks, blocks - radius)]
-    shards = fps.where("fp IS NOT NULL").select(F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"), *cols).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), *cols)
-    schema = "a long, b long, mask long, value long, fp long, id long" + ", text string" * (like is not None)
+    masks = split_masks(ALL, blocks, blocks - radius)
+    shards = fps.where("fp IS NOT NULL").select(F.explode(F.array(*(F.lit(signed(m)).cast("long") for m in masks))).alias("mask"), *cols)
+    schema = "a long, b long, mask long, fp long, id long" + ", text string" * (like is not None)
+    value = F.col("fp").bitwiseAND(F.col("mask"))
     found = []
     while True:
-        out = written(shards.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(_shards(radius, blocks, limit, like), schema))
+        dealt = shards.repartition(F.col("mask"), value).sortWithinPartitions(F.col("mask"), value)
+        out = written(dealt.mapInArrow(_shards(radius, masks, limit, like), schema))
         found.append(out.where("a IS NOT NULL").select("a", "b"))
-        shards = out.where("a IS NULL").select("mask", "value", *cols)
+        shards = out.where("a IS NULL").select("mask", *cols)
         if shards.isEmpty():
             break
     every = found[0]
