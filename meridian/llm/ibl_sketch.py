@@ -3,7 +3,7 @@
 A paragraph is a line that is not empty; a document is the set of its paragraphs' 64-bit digests. A sketch has three rows of
 cells; each digest is added to one cell of each row (count, xor of digests, xor of checks). Cell by cell, one version's
 sketch is subtracted from another's, and cells that hold a single digest are peeled off until none is left: what comes off
-are the digests that differ. If cells remain, both are sketched again, larger: the digests are dealt by hash to 8, 64, 512
+are the digests that differ. If cells remain, both are sketched again, larger: the digests are dealt by hash to 3, 9, 36, 144, 576
 sketches. Where the largest fails too, the digest sets are compared exactly.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meridian.llm.shared import written
 
 WIDTH, ROWS, ROUNDS = 12, 3, 10
-LEVELS = (1, 8, 64, 512)
+LEVELS = (1, 3, 9, 36, 144, 576)
 IDS_A_TASK = 200_000
 
 
@@ -31,14 +31,21 @@ def digests(text: Column) -> Column:
 
 
 def _placed(d: Column, sign: int) -> Column:
-    """A digest with its sign, its check, and its cell in each row."""
-    at = F.array(*(F.pmod(F.xxhash64(d, F.lit(j)), F.lit(WIDTH)).cast("int") + F.lit(j * WIDTH) for j in range(ROWS)))
-    return F.struct(F.lit(sign).alias("s"), d.alias("k"), F.xxhash64(d, F.lit(99)).alias("c"), at.alias("at"))
+    """A digest with its sign, its check, and its cell in each row (p0, p1, p2)."""
+    at = [F.pmod(F.xxhash64(d, F.lit(j)), F.lit(WIDTH)).cast("int").alias(f"p{j}") for j in range(ROWS)]
+    return F.struct(F.lit(sign).alias("s"), d.alias("k"), F.xxhash64(d, F.lit(99)).alias("c"), *at)
 
 
 def _add(cells: Column, placed: Column) -> Column:
-    """Cells after each of the placed digests is added by its sign."""
-    return F.transform(cells, lambda x, i: F.aggregate(F.filter(placed, lambda e: F.array_contains(e["at"], i)), x, lambda a, e: F.struct((a["n"] + e["s"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["c"].bitwiseXOR(e["c"]).alias("c"))))
+    """Cells after each of the placed digests is added by its sign, row by row."""
+
+    def put(a, e):
+        return F.struct((a["n"] + e["s"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["c"].bitwiseXOR(e["c"]).alias("c"))
+
+    def row(j):
+        return F.transform(F.slice(cells, j * WIDTH + 1, WIDTH), lambda x, i: F.aggregate(F.filter(placed, lambda e: e[f"p{j}"] == i), x, put))
+
+    return F.concat(*(row(j) for j in range(ROWS)))
 
 
 def _empty() -> Column:
@@ -47,7 +54,7 @@ def _empty() -> Column:
 
 def sketch(d: Column) -> Column:
     """array<struct<n, k, c>> of the cells."""
-    return _add(_empty(), F.transform(d, lambda x: _placed(x, 1)))
+    return let(F.transform(d, lambda x: _placed(x, 1)), lambda placed: let(_empty(), lambda cells: _add(cells, placed)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -74,26 +81,33 @@ def peel(cells: Column) -> Column:
     return let(end, lambda s: F.when(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)), F.struct(s["plus"].alias("plus"), s["minus"].alias("minus"))))
 
 
-def _level(a: Column, b: Column, parts: int) -> Column:
-    """peel over `parts` sketches that the digests are dealt to; null if one of them fails."""
-
-    def part(d, j):
-        return F.filter(d, lambda x: F.pmod(F.xxhash64(x, F.lit(7)), F.lit(parts)) == j)
-
-    peeled = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: peel(subtract(sketch(part(a, j)), sketch(part(b, j)))))
-    return let(peeled, lambda r: F.when(F.forall(r, lambda x: x.isNotNull()), F.struct(F.flatten(F.transform(r, lambda x: x["plus"])).alias("plus"), F.flatten(F.transform(r, lambda x: x["minus"])).alias("minus"))))
-
+def differences(pairs: DataFrame) -> DataFrame:
+    """(pair, plus, minus) of pairs(pair, a, b): how many digests of a are not in b, and of b not in a. Pairs must be distinct.
 
-def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """struct<plus, minus>: digests of a that b lacks, and of b that a lacks, from the sketches; larger ones on failure."""
-    tries = [peel(subtract(sketch_a, sketch_b)), *(_level(a, b, n) for n in LEVELS[1:])]
-    return F.coalesce(*tries, F.struct(F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus")))
-
-
-def likeness(a: Column, b: Column, diff: Column) -> Column:
-    """Paragraphs in both, as a share of those in either; 1 if neither has any."""
-    either = F.size(b) + F.size(diff["plus"])
-    return F.when(either == 0, 1.0).otherwise((F.size(a) - F.size(diff["plus"])) / either)
+    Each pair is sketched and peeled; those that fail are dealt by hash to more sketches, which are rows of their own, and
+    so on. What the largest leaves over is compared exactly.
+    """
+    todo, out = pairs, None
+    for parts in LEVELS:
+        j = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j")
+        dealt = todo.select("pair", "a", "b", j)
+        if parts > 1:
+            dealt = dealt.withColumns({c: F.filter(c, lambda x: F.pmod(F.xxhash64(x, F.lit(7)), F.lit(parts)) == F.col("j")) for c in ("a", "b")})
+        peeled = dealt.select("pair", "a", "b", sketch(F.col("a")).alias("sa"), sketch(F.col("b")).alias("sb")).select("pair", peel(subtract(F.col("sa"), F.col("sb"))).alias("p"))
+        sums = written(peeled.groupBy("pair").agg(F.every(F.col("p").isNotNull()).alias("ok"), F.sum(F.size("p.plus")).alias("plus"), F.sum(F.size("p.minus")).alias("minus")))
+        done = sums.where("ok").select("pair", "plus", "minus")
+        out = done if out is None else out.union(done)
+        failed = sums.where("NOT ok").select("pair")
+        if failed.isEmpty():
+            return out
+        todo = written(todo.join(failed, "pair", "left_semi"))
+    return out.union(todo.select("pair", F.size(F.array_except("a", "b")).cast("long"), F.size(F.array_except("b", "a")).cast("long")))
+
+
+def likeness(n_a: Column, n_b: Column, plus: Column) -> Column:
+    """Paragraphs in both, as a share of those in either, from the sizes and how many of a are not in b; 1 if neither has any."""
+    either = n_b + plus
+    return F.when(either == 0, 1.0).otherwise((n_a - plus) / either)
 
 
 def named(cells: Column) -> Column:
@@ -122,7 +136,7 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, n_chars, next_key, next_text_digests, edited: the text with its last floor(n/2) code points replaced by the next row's first ones.
+    """rk, key, text, n_chars, next_key, next_digests, edited: the text with its last floor(n/2) code points replaced by the next row's first ones.
 
     The next row is that of the next greater key; equal keys go by a hash of the row, and rows equal in key and text count
     as one. After the last comes the first; a single document is its own next one. Null is the empty text.
@@ -134,18 +148,28 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     if docs.count() > order.count():
         heads = heads.dropDuplicates(["to"])
     edited = F.concat(F.left("t", F.expr("cast(n - n div 2 as int)")), F.col("head"))
-    return own.join(heads, F.col("rk") == F.col("to")).select(F.col("k").alias(key), F.col("t").alias(text), F.col("n").cast("long").alias("n_chars"), "next_key", "next_digests", edited.alias("edited"))
+    return own.join(heads, F.col("rk") == F.col("to")).select("rk", F.col("k").alias(key), F.col("t").alias(text), F.col("n").cast("long").alias("n_chars"), "next_key", "next_digests", edited.alias("edited"))
 
 
-def compare(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows of with_edits with fingerprint, edited_fingerprint, near_edited, near_next."""
-    d = rows.withColumns({"_a": digests(F.col(text)), "_b": digests(F.col("edited"))})
-    d = d.withColumns({"_sa": sketch(F.col("_a")), "_sb": sketch(F.col("_b")), "_sc": sketch(F.col("next_digests"))})
-    d = d.withColumns({"_ab": difference(F.col("_a"), F.col("_b"), F.col("_sa"), F.col("_sb")), "_ac": difference(F.col("_a"), F.col("next_digests"), F.col("_sa"), F.col("_sc"))})
-    d = d.withColumns({"fingerprint": named(F.col("_sa")), "edited_fingerprint": named(F.col("_sb")), "near_edited": likeness(F.col("_a"), F.col("_b"), F.col("_ab")), "near_next": likeness(F.col("_a"), F.col("next_digests"), F.col("_ac"))})
-    return d.drop("_a", "_b", "_sa", "_sb", "_sc", "_ab", "_ac")
+def compare(rows: DataFrame, *keep: Column | str, text: str = "text") -> DataFrame:
+    """The columns `keep` of rows of with_edits, and fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Digests and fingerprints are written to the shared folder; the text is read once.
+    """
+    d = rows.select("rk", *keep, digests(F.col(text)).alias("a"), digests(F.col("edited")).alias("b"), F.col("next_digests").alias("c"))
+    names = d.columns[1:-3]
+    d = written(d.select("rk", *names, "a", "b", "c", named(sketch(F.col("a"))).alias("fingerprint"), named(sketch(F.col("b"))).alias("edited_fingerprint")))
+    one = d.dropDuplicates(["rk"])  # rows that repeat are compared once
+    pair = F.struct("rk", F.lit("b").alias("with"))
+    both = one.select(pair.alias("pair"), "a", "b").union(one.select(F.struct("rk", F.lit("c").alias("with")), "a", "c"))
+    found = differences(both).select("pair.rk", "pair.with", "plus")
+    found = found.groupBy("rk").agg(F.max(F.when(F.col("with") == "b", F.col("plus"))).alias("plus_b"), F.max(F.when(F.col("with") == "c", F.col("plus"))).alias("plus_c"))
+    j = d.join(found, "rk")
+    return j.select(*names, "fingerprint", "edited_fingerprint", likeness(F.size("a"), F.size("b"), F.col("plus_b")).alias("near_edited"), likeness(F.size("a"), F.size("c"), F.col("plus_c")).alias("near_next"))
 
 
 def op9_ibl_sketch(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return compare(with_edits(docs)).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("next_key").alias("next_doc_id"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    out = compare(with_edits(docs), "doc_id", "n_chars", digest, F.col("next_key").alias("next_doc_id"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
