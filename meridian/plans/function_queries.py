@@ -84,7 +84,9 @@ def pairs(spark, d):
     return a.join(b, "idx")
 
 
-A, B = S.Vec(F.col("ax"), F.col("ay"), F.col("az")), S.Vec(F.col("bx"), F.col("by_"), F.col("bz"))
+def ends() -> tuple[S.Vec, S.Vec]:
+    """Both vectors of a pair."""
+    return S.Vec(F.col("ax"), F.col("ay"), F.col("az")), S.Vec(F.col("bx"), F.col("by_"), F.col("bz"))
 
 
 def r6(c, name):
@@ -101,12 +103,14 @@ def vec3(v, prefix=""):
 
 @query("h13_h14_vectors", PAIRS + f"SELECT idx, {rs('dot', 'dot')}, {rs('cx', 'x')}, {rs('cy', 'y')}, {rs('cz', 'z')}, {rs('(ax-bx)^2 + (ay-by_)^2 + (az-bz)^2', 'd2')}, {rs('sqrt((2*ax+bx)^2 + (2*ay+by_)^2 + (2*az+bz)^2)', 'len')} FROM g")
 def _(spark, d):
+    A, B = ends()
     diff = S.sub(A, B)
     return pairs(spark, d).select("idx", r6(S.dot(A, B), "dot"), *vec3(S.cross(A, B)), r6(S.dot(diff, diff), "d2"), r6(S.length(S.add(S.scale(A, 2.0), B)), "len"))
 
 
 @query("h15_h16_normal_and_tangent", PAIRS + f"SELECT idx, {rs('CASE WHEN idx % 9 = 0 THEN NULL ELSE cx / sqrt(cx*cx + cy*cy + cz*cz) END', 'n')}, {rs('bx - dot*ax', 'x')}, {rs('by_ - dot*ay', 'y')}, {rs('bz - dot*az', 'z')} FROM g")
 def _(spark, d):
+    A, B = ends()
     n = S.normal(S.scale(S.cross(A, B), F.when(F.col("idx") % 9 == 0, 0.0).otherwise(1.0)))
     return pairs(spark, d).select("idx", r6(n.x, "n"), *vec3(S.tangent_part(A, B)))
 
@@ -119,6 +123,7 @@ ORTHO = """o0 AS (SELECT *, abs(idx) % 3 AS s0 FROM g), o1 AS (SELECT *, CASE s0
 
 @query("h17_orthogonal", PAIRS + ", " + ORTHO + f"SELECT idx, {rs('ox/ol', 'x')}, {rs('oy/ol', 'y')}, {rs('oz/ol', 'z')} FROM o")
 def _(spark, d):
+    A, B = ends()
     return pairs(spark, d).select("idx", *vec3(S.orthogonal(A, F.col("idx"))))
 
 
@@ -127,17 +132,20 @@ TANGENT = ", t0 AS (SELECT *, bx - dot*ax AS tx, by_ - dot*ay AS ty, bz - dot*az
 
 @query("h18_h19_h20_distance", PAIRS + TANGENT + f"SELECT idx, {rs('ang', 'angle')}, {rs('least(1.2, greatest(0.4, ang))', 'clamped')}, {rs('tx/tl', 'x')}, {rs('ty/tl', 'y')}, {rs('tz/tl', 'z')} FROM t")
 def _(spark, d):
+    A, B = ends()
     ang = S.angle(A, B)
     return pairs(spark, d).select("idx", r6(ang, "angle"), r6(S.clamp(ang, 0.4, 1.2), "clamped"), *vec3(S.direction(A, B, F.col("idx"))))
 
 
 @query("h21_exponential_map", PAIRS + TANGENT + ", u AS (SELECT *, 0.3 * tl AS n FROM t) " + f"SELECT idx, {rs('ax*cos(n) + tx/tl*sin(n)', 'x')}, {rs('ay*cos(n) + ty/tl*sin(n)', 'y')}, {rs('az*cos(n) + tz/tl*sin(n)', 'z')} FROM u")
 def _(spark, d):
+    A, B = ends()
     return pairs(spark, d).select("idx", *vec3(S.exp_map(A, S.scale(B, 0.3))))
 
 
 @query("h22_k21_cone", PAIRS + TANGENT + f"SELECT idx, {rs('CASE WHEN ang <= 0.5 THEN bx ELSE ax*cos(0.5) + tx/tl*sin(0.5) END', 'x')}, {rs('CASE WHEN ang <= 0.5 THEN by_ ELSE ay*cos(0.5) + ty/tl*sin(0.5) END', 'y')}, {rs('CASE WHEN ang <= 0.5 THEN bz ELSE az*cos(0.5) + tz/tl*sin(0.5) END', 'z')}, ang > 0.5 AS capped FROM t")
 def _(spark, d):
+    A, B = ends()
     return pairs(spark, d).select("idx", *vec3(S.cone(B, A, 0.5)), (S.angle(A, B) > 0.5).alias("capped"))
 
 
@@ -148,17 +156,20 @@ def _(spark, d):
 
 @query("h24_slerp", PAIRS + f"SELECT idx, {rs('(ax*sin(0.75*ang) + bx*sin(0.25*ang)) / sin(ang)', 'x')}, {rs('(ay*sin(0.75*ang) + by_*sin(0.25*ang)) / sin(ang)', 'y')}, {rs('(az*sin(0.75*ang) + bz*sin(0.25*ang)) / sin(ang)', 'z')} FROM g")
 def _(spark, d):
+    A, B = ends()
     return pairs(spark, d).select("idx", *vec3(S.slerp(A, B, 0.25, F.col("idx"))))
 
 
 @query("h25_h26_arc_samples", PAIRS + ", s AS (SELECT *, greatest(2, least(32, ceil(ang / (pi() / 24))))::INT AS k FROM g), e AS (SELECT *, unnest(range(0, k + 1))::INT AS step FROM s), f AS (SELECT *, step::DOUBLE / k AS t FROM e) " + f"SELECT idx, step, k AS segments, {rs('2 * (ax*sin((1-t)*ang) + bx*sin(t*ang)) / sin(ang)', 'x')}, {rs('2 * (ay*sin((1-t)*ang) + by_*sin(t*ang)) / sin(ang)', 'y')}, {rs('2 * (az*sin((1-t)*ang) + bz*sin(t*ang)) / sin(ang)', 'z')} FROM f")
 def _(spark, d):
+    A, B = ends()
     p = pairs(spark, d).withColumn("segments", S.arc_segments(S.angle(A, B))).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("segments"))))
     return p.select("idx", "step", "segments", *vec3(S.scale(S.slerp(A, B, F.col("step") / F.col("segments")), 2.0)))
 
 
 @query("h28_tag_spiral", PAIRS + ", e AS (SELECT *, unnest(range(0, 9))::INT AS step FROM g), f AS (SELECT *, step / 8.0::DOUBLE AS t, 1 + step / 8.0::DOUBLE * 0.5 AS r FROM e) " + f"SELECT idx, step, {rs('r * (ax*sin((1-t)*ang) + bx*sin(t*ang)) / sin(ang)', 'x')}, {rs('r * (ay*sin((1-t)*ang) + by_*sin(t*ang)) / sin(ang)', 'y')} FROM f")
 def _(spark, d):
+    A, B = ends()
     p = pairs(spark, d).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("t", F.col("step") / 8)
     v = S.scale(S.slerp(A, B, F.col("t")), 1 + F.col("t") * 0.5)
     return p.select("idx", "step", r6(v.x, "x"), r6(v.y, "y"))
@@ -181,6 +192,7 @@ def _(spark, d):
 @query("h31_matrix", PAIRS + f"SELECT idx, {rs('ax*bx + ay*by_ + az*bz', 'mx')}, {rs('az*bx + ax*by_ + ay*bz', 'my')}, {rs('ax*ax*ax + ay*ay*ay + az*az*az - 3*ax*ay*az', 'det')} FROM g")
 def _(spark, d):
     """Circulant matrices of the first vector, applied to the second."""
+    A, B = ends()
     rows = (A, S.Vec(A.z, A.x, A.y), S.Vec(A.y, A.z, A.x))
     return pairs(spark, d).select("idx", r6(S.dot(rows[0], B), "mx"), r6(S.dot(rows[1], B), "my"), r6(S.dot(rows[0], S.cross(rows[1], rows[2])), "det"))
 
@@ -195,6 +207,7 @@ def _(spark, d):
 
 @query("b19_occluded", PAIRS + ", c AS (SELECT *, 1.05*bx - 3*ax AS dx, 1.05*by_ - 3*ay AS dy, 1.05*bz - 3*az AS dz FROM g), e AS (SELECT *, dx*dx+dy*dy+dz*dz AS qa, 6*(ax*dx+ay*dy+az*dz) AS qb, 9*(ax*ax+ay*ay+az*az) - 1 AS qc FROM c) SELECT idx, qa > 0 AND qb*qb - 4*qa*qc >= 0 AND (-qb - sqrt(greatest(0, qb*qb - 4*qa*qc))) / (2*qa) > 1e-6 AND (-qb - sqrt(greatest(0, qb*qb - 4*qa*qc))) / (2*qa) < 1 - 1e-6 AS hidden FROM e")
 def _(spark, d):
+    A, B = ends()
     return pairs(spark, d).select("idx", S.occluded(S.scale(A, 3.0), S.scale(B, 1.05), 1.0).alias("hidden"))
 
 
