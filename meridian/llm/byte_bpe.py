@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import slices
+from meridian.llm.shared import slices, small_batches
 
 CHUNK = 32_768  #: code points; a text of no more is one chunk
 OVERLAP = 1_024
@@ -74,6 +74,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     A text of one chunk is encoded where it is read. The chunks of longer texts are dealt to all tasks, and so are their
     pieces; only numbers and ids come together again, by text.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = docs.schema["k"].dataType.simpleString()
 

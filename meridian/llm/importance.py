@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import written
+from meridian.llm.shared import small_batches, written
 from meridian.llm.words import PIECE, U, encoded, mix, pair, pieces, spans, word_hashes
 
 BUCKETS = 1 << 16
@@ -157,6 +157,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     k is `share` of the rows; without a share, that of the sampled labelled rows with quality 1 (all, without labels).
     Equal rows have equal keys and stay or go together; ties at the k-th key stay. Null and empty texts weigh 0.
     """
+    small_batches(docs.sparkSession)
     sample = written(labelled_sample(labels))
     weights = written(log_weights(docs, fit(docs, sample, text), key, text).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "row_hash")))
     if share is None:

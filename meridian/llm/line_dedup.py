@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.components import components
 from meridian.llm.hamming import links
-from meridian.llm.shared import in_set, put_set, slices, written
+from meridian.llm.shared import in_set, put_set, slices, small_batches, written
 from meridian.llm.words import docs_hashes
 
 RADIUS, BLOCKS, SIMILAR, MIN_WORDS = 3, 5, 0.8, 5
@@ -117,6 +117,7 @@ def _texts(wanted):
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(rk, lines): by xxhash64(key, text), the numbers of the lines that go; of each group the first by key, then rk, stays."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("k"), F.col(text).alias("t"))
     found = written(d.select("rk", "t").mapInArrow(_measure(min_words), "rk long, line int, h long, fp long"))
     distinct = found.groupBy("h").agg(F.first("fp").alias("fp"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import slices
+from meridian.llm.shared import slices, small_batches
 
 RATE, UNIT = 8000, 192
 WINDOW, HOP, PEAKS, AHEAD, BLOCK = 256, 128, 2, 3, 4096
@@ -75,6 +75,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, media (the WAV file), payload (its samples, read back), codes (array<long>). Null is the empty text."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches):

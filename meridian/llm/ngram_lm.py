@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import get_array, pack, put_arrays, shared_dir, text_bytes, unpack
+from meridian.llm.shared import get_array, pack, put_arrays, shared_dir, small_batches, text_bytes, unpack
 from meridian.llm.words import U, bucket_of, docs_hashes, encoded, pair, summed
 
 START, END = U(1), U(2)  #: stand for the start of a text and its end token
@@ -190,6 +190,7 @@ def _join_facts(folder: str):
 def fit(docs: DataFrame, text: str = "text", bytes_per_bucket: int = 16 << 20, buckets: int | None = None) -> NgramModel:
     """Count the texts of docs (null: empty). The driver receives one row of totals from each bucket."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     folder = shared_dir(spark)
     texts = docs.select(F.col(text).alias("text"))
     buckets = buckets or max(1, -(-text_bytes(texts) // bytes_per_bucket))

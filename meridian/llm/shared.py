@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/meridian-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers at most `rows` rows at a time from here on, so that they hold a few MB of text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """The same rows read back from the shared folder: lineage ends there and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.components import components
 from meridian.llm.hamming import ALL, links, shard_links
-from meridian.llm.shared import slices, written
+from meridian.llm.shared import slices, small_batches, written
 from meridian.llm.words import mix
 
 SEED = 42
@@ -59,6 +59,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Only distinct fingerprints are compared; equal ones share a component at once, whatever their number. Texts without
     words link with each other (fingerprint 0). Null keys never are a component's least key unless all are null.
     """
+    small_batches(docs.sparkSession)
     d = written(fingerprints(docs, key, text, width))
     least = written(d.groupBy("fp").agg(F.min(key).alias("least")))
     joined = components(links(least.select(F.col("fp").alias("id"), "fp"), radius, radius + 1))
@@ -146,6 +147,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     within NEAR bits, and the least LOW hashes of their shingles decide. Texts of one shingle set are one node. Shards of
     more than `limit` texts are dealt again under the next least shingles. Texts without words are copies of each other.
     """
+    small_batches(docs.sparkSession)
     d = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_measured(width), f"k {docs.schema[key].dataType.simpleString()}, sig long, fp long, low array<long>"))
     nodes = d.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("low").alias("low"), F.min("k").alias("least"))
     shards = nodes.select(F.explode(F.slice("low", 1, KEYS)).alias("key"), F.lit(0).alias("depth"), "sig", "fp", "low")

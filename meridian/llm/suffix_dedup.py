@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import get_array, pack, put_arrays, shared_dir, slices, text_bytes, unpack, written
+from meridian.llm.shared import get_array, pack, put_arrays, shared_dir, slices, small_batches, text_bytes, unpack, written
 from meridian.llm.words import _INV, U, bucket_of, mix, powers, rolling
 
 LENGTH, GRAM = 200, 128
@@ -303,6 +303,7 @@ def _sort_bucket(length: int):
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, bytes_per_bucket: int = 16 << 20, hot: int = HOT) -> DataFrame:
     """(rk, start, n): ranges of a text's bytes, by xxhash64(key, text), that lie in a string of `length` bytes that starts anywhere else too."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(text).alias("t"))
     folder, buckets = shared_dir(spark), max(1, -(-text_bytes(docs, text) // bytes_per_bucket))
     block = "bucket int, payload binary"
