@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from meridian.llm.shared import written
 
 LIMIT = 4096
+FEW = 8
 ALL = (1 << 64) - 1
 
 
@@ -111,7 +112,9 @@ def _shards(radius: int, masks: list[int], limit: int, like):
 
         def done():
             if len(held) > 1 and not large:
-                found = shard_links([x[1] & ALL for x in held], radius, [x[3] for x in held] if with_text else None, like, earlier.get(key[0] & ALL, ()))
+                # in a small shard pairs are rather left to an earlier one; in a large one few are looked at, as most are connected
+                met = earlier.get(key[0] & ALL, ()) if len(held) <= FEW else ()
+                found = shard_links([x[1] & ALL for x in held], radius, [x[3] for x in held] if with_text else None, like, met)
                 links.extend((held[i][2], held[j][2]) for i, j in found)
 
         for batch in batches:

@@ -47,6 +47,34 @@ def levenshtein(a: str, b: str) -> int:
     return far
 
 
+def _common(a: str, i: int, b: str, j: int) -> int:
+    """How far a from i on equals b from j on."""
+    low, high = 0, min(len(a) - i, len(b) - j) + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[i + low : i + mid] == b[j + low : j + mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def _script_cost(a: str, b: str, most: int, anchor: int = 10, reach: int = 24) -> int:
+    """The cost of one edit script, so no less than the distance: at a difference, go on where the next `anchor` characters agree again."""
+    i = j = cost = 0
+    while i < len(a) and j < len(b) and cost <= most:
+        n = _common(a, i, b, j)
+        i, j = i + n, j + n
+        for skip in range(reach):
+            piece = a[i + skip : i + skip + anchor]
+            if len(piece) == anchor and (at := b.find(piece, j, j + reach + anchor)) >= 0:
+                cost, i, j = cost + max(skip, at - j), i + skip, at
+                break
+        else:
+            break
+    return cost + max(len(a) - i, len(b) - j)
+
+
 def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     """1 - edits / longer length is at least `least`."""
     most = max(len(a), len(b))
@@ -61,7 +89,7 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     while j < n and a[-1 - j] == b[-1 - j]:
         j += 1
     a, b = a[: len(a) - j], b[: len(b) - j]
-    return max(len(a), len(b)) <= allowed or levenshtein(a, b) <= allowed
+    return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b) <= allowed
 
 
 def simhashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
