@@ -75,6 +75,23 @@ def angle(a: Vec, b: Vec) -> Column:
     return F.atan2(length(cross(a, b)), clamp(dot(a, b), -1.0, 1.0))
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once, so that nested formulas stay small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def bind_vec(value: Column | Vec, body) -> Vec:
+    """bind for a column or a vector, where body gives a vector."""
+    many = isinstance(value, Vec)
+    arg = F.struct(*(c.alias(n) for c, n in zip(value, "xyz"))) if many else value
+
+    def run(v):
+        return F.struct(*(c.alias(n) for c, n in zip(body(Vec(v["x"], v["y"], v["z"]) if many else v), "xyz")))
+
+    out = bind(arg, run)
+    return Vec(out["x"], out["y"], out["z"])
+
+
 def orthogonal(u: Vec, salt: Column | int) -> Vec:
     """A unit tangent at u chosen by an integer: the salt names an axis (the next one where u is near it) and, by its third bit, the sign."""
     salt = F.lit(salt) if isinstance(salt, int) else salt
@@ -82,41 +99,30 @@ def orthogonal(u: Vec, salt: Column | int) -> Vec:
     axis = [F.element_at(F.array(*u), (start + i) % 3 + 1) for i in range(3)]
     near = [F.abs(a) > 0.85 for a in axis]
     choice = F.when(~near[0], start).when(~near[1], (start + 1) % 3).otherwise((start + 2) % 3)
-    e = Vec(*((choice == i).cast("double") for i in range(3)))
-    t = normal(cross(u, e))
     sign = F.when(salt.bitwiseAND(F.lit(4)) != 0, -1.0).otherwise(1.0)
-    return scale(t, sign)
+
+    def side(k):
+        zero = F.lit(0.0)
+        t = Vec(F.when(k == 0, zero).when(k == 1, -u.z).otherwise(u.y), F.when(k == 0, u.z).when(k == 1, zero).otherwise(-u.x), F.when(k == 0, -u.y).when(k == 1, u.x).otherwise(zero))
+        return bind_vec(t, lambda v: bind_vec(sign / length(v), lambda n: scale(v, n)))
+
+    return bind_vec(choice, side)
 
 
 def direction(a: Vec, b: Vec, salt: Column | int = 0) -> Vec:
     """The unit tangent at a towards b, or orthogonal() where there is none."""
-    t = normal(tangent_part(a, b), TINY)
-    return pick(t.x.isNotNull(), t, orthogonal(a, salt))
+    def unit(t):
+        return bind_vec(length(t), lambda n: pick(n > TINY, scale(t, 1 / n), orthogonal(a, salt)))
+
+    return bind_vec(tangent_part(a, b), unit)
 
 
 def exp_map(u: Vec, step: Vec) -> Vec:
     """From u along the tangent part of step, as far as it is long."""
-    t = tangent_part(u, step)
-    n = length(t)
-    far = add(scale(u, F.cos(n)), scale(t, F.sin(n) / n))
-    return normal(pick(n < 1e-8, add(u, t), far))
-
-
-def bind(value: Column, body) -> Column:
-    """body(value) with value worked out once, so that nested formulas stay small."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def bind_vec(value: Column | Vec, body) -> Vec:
-    """bind for a column or a vector, where body gives a vector."""
-    many = isinstance(value, Vec)
-    arg = F.struct(*(c.alias(n) for c, n in zip(value, "xyz"))) if many else value
+    def body(t):
+        return bind_vec(length(t), lambda n: bind_vec(pick(n < 1e-8, add(u, t), add(scale(u, F.cos(n)), scale(t, F.sin(n) / n))), normal))
 
-    def run(v):
-        return F.struct(*(c.alias(n) for c, n in zip(body(Vec(v["x"], v["y"], v["z"]) if many else v), "xyz")))
-
-    out = bind(arg, run)
-    return Vec(out["x"], out["y"], out["z"])
+    return bind_vec(tangent_part(u, step), body)
 
 
 def along(u: Vec, tangent: Vec, far) -> Vec:
