@@ -69,7 +69,7 @@ def encoded(values) -> list[bytes]:
     return [b"" if x is None else x for x in values.cast("binary").to_pylist()]
 
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def pieces(text: bytes, most: int = PIECE) -> Iterator[bytes]:
