@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import small_batches, written
+from meridian.llm.shared import slices, small_batches, written
 from meridian.llm.words import PIECE, U, encoded, mix, pair, pieces, spans, word_hashes
 
 BUCKETS = 1 << 16
@@ -69,7 +69,7 @@ def _features(texts: list[bytes]):
 
 def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in slices(batches, 1000):
         good = np.array(batch.column(1).to_pylist(), dtype=bool)
         for at, n, f, of in _features(encoded(batch.column(0))):
             raw += np.bincount(f, minlength=BUCKETS)
@@ -118,7 +118,7 @@ def log_weights(docs: DataFrame, weight: np.ndarray, key: str = "doc_id", text:
 
     def run(batches):
         w = np.frombuffer(packed)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             total, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for at, n, f, of in _features(encoded(batch.column(2))):
                 total[at : at + n] += np.bincount(of, w[f], n)

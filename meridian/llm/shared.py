@@ -107,10 +107,16 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 
 
 def slices(batches, rows: int = 256):
-    """Arrow batches cut into fewer rows, so that Python objects exist for a few documents at a time."""
+    """Arrow batches cut into fewer rows, so that Python objects exist for a few documents at a time.
+
+    At the end Arrow gives back what it no longer uses: workers live on for later tasks.
+    """
+    import pyarrow as pa
+
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def put_set(df: DataFrame, col: str, buckets: int) -> tuple[str, int]:
