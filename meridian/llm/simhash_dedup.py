@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.components import components
-from meridian.llm.hamming import ALL, links, shard_links
+from meridian.llm.hamming import links
 from meridian.llm.shared import slices, small_batches, written
-from meridian.llm.words import mix
 
 SEED = 42
 
@@ -68,7 +67,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return d.join(least.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id")), "fp").select(key, "fp", "component_id")
 
 
-LOW, KEYS, DEEP, NEAR = 64, 4, 12, 16  #: kept least hashes of a text's shingles; shards of a text; deepest shard; radius of the tree search
+LOW, KEYS, NEAR = 64, 4, 16  #: kept least hashes of a text's shingles; shards of a text; most bits between fingerprints
 
 
 def _measured(width: int):
@@ -99,67 +98,55 @@ def sketch_similarity(a: list[int], b: list[int]) -> float:
     return float(np.isin(least, np.intersect1d(x, y)).mean()) if len(least) else 1.0
 
 
-def _copies(similar: float, limit: int):
-    """Streams rows (key, depth, sig, fp, low) sorted by key; yields links, or the rows of a large shard under further keys."""
+def _similar(similar: float):
+    """Streams pairs with both sketches; yields those that are similar."""
 
     def run(batches):
-        def rows(again, links):
-            cols = [[x[0] for x in links] + [None] * len(again), [x[1] for x in links] + [None] * len(again)]
-            cols += [[None] * len(links) + [x[i] for x in again] for i in range(5)]
-            kinds = (pa.int64(),) * 3 + (pa.int32(),) + (pa.int64(),) * 2 + (pa.list_(pa.int64()),)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "key", "depth", "sig", "fp", "low"])
-
-        def deeper(held):
-            """The same shingle is shared, so the texts meet again under it and one of their next least shingles."""
-            out = []
-            for key, depth, sig, fp, low in held:
-                for s in low[(depth + 1) * KEYS : (depth + 2) * KEYS]:
-                    both = np.array([(key & ALL) ^ (s * 0x9E3779B97F4A7C15 & ALL)], np.uint64)
-                    out.append((int(mix(both).view(np.int64)[0]), depth + 1, sig, fp, low))
-            return out
-
-        def done(held):
-            values = [x[3] & ALL for x in held]
-            texts = [x[4] for x in held]
-            return [(held[i][2], held[j][2]) for i, j in shard_links(values, NEAR, texts, lambda a, b: sketch_similarity(a, b) >= similar)]
-
-        key, held, large = None, [], False
-        for batch in slices(batches, 2048):
-            links, again = [], []
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != key:
-                    if not large and len(held) > 1:
-                        links += done(held)
-                    key, held, large = r[0], [], False
-                held.append(r)
-                if (large or len(held) > limit) and r[1] < DEEP:
-                    again, held, large = again + deeper(held), [], True
-            yield rows(again, links)
-        yield rows([], done(held) if not large and len(held) > 1 else [])
+        for batch in slices(batches):
+            ok = [sketch_similarity(x, y) >= similar for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _shard_links(shards: DataFrame, decided, limit: int) -> DataFrame:
+    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig).
+
+    First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
+    component with all rows of other components, in parts of about `limit` rows. So a large shard of copies costs a pair
+    a row, and no pair is left out.
+    """
+    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min("sig").alias("least")).where("n > 1")
+    rows = written(shards.join(least, "s").select("s", "n", "least", "sig"))
+    first = written(decided(rows.where("sig != least").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
+    of = components(first)
+    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", F.coalesce("component", "sig").alias("c")))
+    main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    apart = at.join(main, "s").where("sig != least")
+    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), F.col("c").alias("cx"))
+    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("c").alias("cy"), "main")
+    cross = few.join(every, ["s", "part"]).where("cx != cy AND (cy = main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return first.union(written(decided(cross)))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.8, limit: int = 1024) -> DataFrame:
     """(key, component_id): least key reachable by links between texts whose shingle sets are at least `similar`.
 
-    Texts meet in the shards of their KEYS least shingle hashes; in a shard a BK-tree of SimHash fingerprints finds those
-    within NEAR bits, and the least LOW hashes of their shingles decide. Texts of one shingle set are one node. Shards of
-    more than `limit` texts are dealt again under the next least shingles. Texts without words are copies of each other.
+    Texts meet in the shards of their KEYS least shingle hashes, whatever the size of those; SimHash fingerprints within
+    NEAR bits and the least LOW hashes of the shingles decide. Texts of one shingle set are one node. Texts without words
+    are copies of each other.
     """
     small_batches(docs.sparkSession)
     d = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_measured(width), f"k {docs.schema[key].dataType.simpleString()}, sig long, fp long, low array<long>"))
     nodes = d.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("low").alias("low"), F.min("k").alias("least"))
-    shards = nodes.select(F.explode(F.slice("low", 1, KEYS)).alias("key"), F.lit(0).alias("depth"), "sig", "fp", "low")
-    every = None
-    while True:
-        out = written(shards.repartition("key").sortWithinPartitions("key").mapInArrow(_copies(similar, limit), "a long, b long, key long, depth int, sig long, fp long, low array<long>"))
-        found = out.where("a IS NOT NULL").select("a", "b")
-        every = found if every is None else every.union(found)
-        shards = out.where("a IS NULL").select("key", "depth", "sig", "fp", "low")
-        if shards.isEmpty():
-            break
-    joined = components(every)
+
+    def decided(pairs):
+        one, other = (nodes.select(F.col("sig").alias(x), F.col("fp").alias(f"f{x}"), F.col("low").alias(f"l{x}")) for x in "ab")
+        near = pairs.join(one, "a").join(other, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR)
+        return near.select("a", "b", "la", "lb").mapInArrow(_similar(similar), "a long, b long")
+
+    joined = components(_shard_links(nodes.select(F.explode(F.slice("low", 1, KEYS)).alias("s"), "sig"), decided, limit))
     least = nodes.select("sig", "least")
     of = joined.join(least, joined["id"] == least["sig"]).select("id", "component", "least")
     named = of.join(of.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("id").alias("sig"), "c")

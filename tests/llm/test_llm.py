@@ -145,6 +145,13 @@ def test_near_duplicates_and_the_one_that_stays(spark):
     assert {r.doc_id for r in simhash_dedup.near_copies(d, limit=1).where("component_id = 0").collect()} == {0, 1, 3}
 
 
+def test_a_large_shard_of_short_texts_stays_whole(spark):
+    start = " ".join(f"word{i}" for i in range(23))
+    d = docs(spark, [f"{start} id{i}" for i in range(3000)] + [f"quite another {i} {i * 7} text of some words" for i in range(50)])
+    assert simhash_dedup.near_copies(d, limit=100).where("component_id = 0").count() == 3000
+    assert simhash_dedup.keep_one(d, similar=0.9).count() == 51
+
+
 def test_fuzzy_lines(spark):
     line = "this line of text is long enough to be compared with others of its kind today"
     texts = [f"{line}\nkept as it is", f"first here now and only here\n{line.replace('long', 'lang')}!", line.upper(), None, "short\nshort", f"{line}\n{line}"]
