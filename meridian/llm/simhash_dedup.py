@@ -6,6 +6,8 @@ fingerprint is sent to the shards that can hold its neighbours (see hamming.py);
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.components import components
 from meridian.llm.hamming import links
-from meridian.llm.shared import slices, small_batches, written
+from meridian.llm.shared import in_set, put_set, slices, small_batches, written
 
 SEED = 42
 
@@ -67,86 +69,114 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return d.join(least.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id")), "fp").select(key, "fp", "component_id")
 
 
-LOW, KEYS, NEAR = 64, 4, 16  #: kept least hashes of a text's shingles; shards of a text; most bits between fingerprints
+FREQUENT, SOME = 8, 50_000  #: a shingle in FREQUENT of about SOME texts comes last in the order of shingles
 
 
 def _measured(width: int):
+    """Of each text: the hashes of its distinct shingles, sorted, as bytes; a hash of those; their number."""
+
     def run(batches):
         import xxhash
 
-        for batch in slices(batches):
-            rows = []
+        digest = xxhash.xxh64_intdigest
+        for batch in slices(batches, 64):
+            sets = []
             for t in batch.column(1).cast("binary").to_pylist():
                 words = (t or b"").lower().split()
                 n = max(1, len(words) - width + 1) if words else 0
-                h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
-                some = np.unique(h)
-                sig = int(np.array([xxhash.xxh64_intdigest(some.tobytes())], np.uint64).view(np.int64)[0])
-                rows.append((sig, simhash(t or b"", width), some[:LOW].view(np.int64).tolist()))
-            sig, fp, low = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.int64()), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["k", "sig", "fp", "low"])
+                sets.append(np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)).tobytes())
+            sig = np.array([digest(x) for x in sets], np.uint64).view(np.int64)
+            size = np.array([len(x) // 8 for x in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), pa.array(size), pa.array(sets, pa.binary())], names=["k", "sig", "size", "set"])
 
     return run
 
 
-def sketch_similarity(a: list[int], b: list[int]) -> float:
-    """Jaccard similarity of shingle sets from their least LOW hashes; exact where both have fewer. Two empty sets are equal."""
-    x, y = np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64)
-    least = np.union1d(x, y)
-    if len(x) == LOW or len(y) == LOW:
-        least = least[:LOW]
-    return float(np.isin(least, np.intersect1d(x, y)).mean()) if len(least) else 1.0
+def _shingles(batches):
+    for batch in slices(batches, 64):
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["s"])
+
+
+def _prefixes(similar: float, frequent):
+    """(s, sig, size): the first shingles of each set, in one order of all shingles, so many that sets which are `similar` share one.
+
+    At least `similar` of each of the two is shared, so no more than the rest of it lies before the first shared one.
+    """
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            first = []
+            for x in batch.column(2).to_pylist():
+                h = np.frombuffer(x, np.uint64)
+                last = in_set(frequent, h)
+                first.append(np.concatenate((h[~last], h[last]))[: len(h) - math.ceil(similar * len(h) - 1e-9) + 1])
+            n = np.array([len(x) for x in first], np.int64)
+            sig, size = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(sig), pa.array(size)], names=["s", "sig", "size"])
+
+    return run
 
 
 def _similar(similar: float):
-    """Streams pairs with both sketches; yields those that are similar."""
+    """Streams pairs with both sets; yields those of Jaccard similarity `similar` or more, counted over all shingles."""
 
     def run(batches):
-        for batch in slices(batches):
-            ok = [sketch_similarity(x, y) >= similar for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        for batch in slices(batches, 64):
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _shard_links(shards: DataFrame, decided, limit: int) -> DataFrame:
-    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig).
+def _shard_links(shards: DataFrame, decided, similar: float, limit: int) -> DataFrame:
+    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size).
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
     component with all rows of other components, in parts of about `limit` rows. So a large shard of copies costs a pair
     a row, and no pair is left out.
     """
-    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min("sig").alias("least")).where("n > 1")
-    rows = written(shards.join(least, "s").select("s", "n", "least", "sig"))
-    first = written(decided(rows.where("sig != least").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
+    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size")).alias("l")).where("n > 1").select("s", "n", F.col("l.sig").alias("least"), F.col("l.size").alias("l"))
+    rows = written(shards.join(least, "s").select("s", "n", "least", "l", "sig", "size"))
+    first = written(decided(rows.where(f"sig != least AND LEAST(size, l) >= {similar} * GREATEST(size, l) - 1e-9").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
     of = components(first)
-    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", F.coalesce("component", "sig").alias("c")))
+    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", "size", F.coalesce("component", "sig").alias("c")))
     main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     parts = F.ceil(F.col("n") / limit).cast("int")
     apart = at.join(main, "s").where("sig != least")
-    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), F.col("c").alias("cx"))
-    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("c").alias("cy"), "main")
-    cross = few.join(every, ["s", "part"]).where("cx != cy AND (cy = main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
+    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "main")
+    cross = few.join(every, ["s", "part"]).where(f"cx != cy AND (cy = main OR x < y) AND LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return first.union(written(decided(cross)))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.8, limit: int = 1024) -> DataFrame:
     """(key, component_id): least key reachable by links between texts whose shingle sets are at least `similar`.
 
-    Texts meet in the shards of their KEYS least shingle hashes, whatever the size of those; SimHash fingerprints within
-    NEAR bits and the least LOW hashes of the shingles decide. Texts of one shingle set are one node. Texts without words
-    are copies of each other.
+    Texts of one shingle set are one node. Sets meet in the shards of their first shingles, frequent ones last (by a sample,
+    which sets only the order); pairs are decided on all their shingles, so links are exact. Texts without words are
+    copies of each other.
     """
-    small_batches(docs.sparkSession)
-    d = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_measured(width), f"k {docs.schema[key].dataType.simpleString()}, sig long, fp long, low array<long>"))
-    nodes = d.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("low").alias("low"), F.min("k").alias("least"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    d = written(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_measured(width), f"k {docs.schema[key].dataType.simpleString()}, sig long, size int, set binary"))
+    nodes = written(d.groupBy("sig").agg(F.min("k").alias("least")))
+    share = min(1.0, SOME / max(1, nodes.count()))
+    some = d.where(F.pmod(F.xxhash64("sig"), F.lit(1_000_000)) < int(share * 1_000_000)).select("sig", "set").dropDuplicates(["sig"])
+    frequent = put_set(some.select("set").mapInArrow(_shingles, "s long").groupBy("s").count().where(f"count >= {FREQUENT}"), "s", 1)
+    shards = written(d.select("sig", "size", "set").mapInArrow(_prefixes(similar, frequent), "s long, sig long, size int").distinct())
 
     def decided(pairs):
-        one, other = (nodes.select(F.col("sig").alias(x), F.col("fp").alias(f"f{x}"), F.col("low").alias(f"l{x}")) for x in "ab")
-        near = pairs.join(one, "a").join(other, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR)
-        return near.select("a", "b", "la", "lb").mapInArrow(_similar(similar), "a long, b long")
+        pairs = written(pairs)
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        sets = written(d.select("sig", "set").join(ends, "sig", "left_semi").dropDuplicates(["sig"]))
+        one, other = (sets.select(F.col("sig").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(_similar(similar), "a long, b long")
 
-    joined = components(_shard_links(nodes.select(F.explode(F.slice("low", 1, KEYS)).alias("s"), "sig"), decided, limit))
+    joined = components(_shard_links(shards, decided, similar, limit))
     least = nodes.select("sig", "least")
     of = joined.join(least, joined["id"] == least["sig"]).select("id", "component", "least")
     named = of.join(of.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("id").alias("sig"), "c")

@@ -152,6 +152,23 @@ def test_a_large_shard_of_short_texts_stays_whole(spark):
     assert simhash_dedup.keep_one(d, similar=0.9).count() == 51
 
 
+def test_copies_are_those_of_all_their_shingles(spark):
+    r = np.random.default_rng(3)
+    texts = []
+    for k, n in enumerate((8, 24, 120, 300, 300, 500)):
+        base = [f"w{k}x{i}" for i in range(n)]
+        for _ in range(20):
+            edited = list(base)
+            for i in r.integers(0, n, max(1, n // int(r.integers(30, 70)))):
+                edited[i] = f"e{r.integers(1 << 40)}"
+            texts.append(" ".join([*edited, *["tail"] * int(r.integers(0, 2))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    want = components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(want)) > 20
+    got = {x.doc_id: x.component_id for x in simhash_dedup.near_copies(docs(spark, texts), limit=7).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_fuzzy_lines(spark):
     line = "this line of text is long enough to be compared with others of its kind today"
     texts = [f"{line}\nkept as it is", f"first here now and only here\n{line.replace('long', 'lang')}!", line.upper(), None, "short\nshort", f"{line}\n{line}"]
