@@ -132,7 +132,7 @@ def _shards(radius: int, masks: list[int], limit: int, like):
                     done()
                     key, held, large = k, [], False
                 held += zip(*(c[i:j] for c in columns))
-                if len(held) > limit:
+                if len(held) > limit and ALL & ~key[0]:
                     large = True
                 if large and held:
                     yield rows(again(key[0], held), [])

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.components import components
-from meridian.llm.hamming import links
+from meridian.llm.components import components, linked_in_shards
+from meridian.llm.hamming import ALL, links, signed, split_masks
 from meridian.llm.shared import in_set, put_set, slices, small_batches, written
 from meridian.llm.words import docs_hashes
 
@@ -142,19 +142,41 @@ def _texts(wanted):
     return run
 
 
+def _edit_similar(batches):
+    """Streams pairs with both texts; yields those that are edit_similar."""
+    for batch in slices(batches):
+        ok = [edit_similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _line_links(texts: DataFrame, limit: int = 1024) -> DataFrame:
+    """Links (a, b), enough to connect the lines (id, fp, text) that are within RADIUS and edit_similar, however many share a fingerprint."""
+    masks = F.explode(F.array(*(F.lit(signed(m)).cast("long") for m in split_masks(ALL, BLOCKS, BLOCKS - RADIUS))))
+    rows = texts.select(masks.alias("m"), "fp", F.col("id").alias("sig"), F.length("text").alias("size"))
+    shards = rows.select(F.xxhash64("m", F.col("fp").bitwiseAND(F.col("m"))).alias("s"), "sig", "size").distinct()
+
+    def decided(pairs):
+        one, other = (texts.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+        near = pairs.join(one, "a").join(other, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
+        return near.select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
+
+    return linked_in_shards(shards, decided, SIMILAR, limit)
+
+
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(rk, lines): by xxhash64(key, text), the numbers of the lines that go; of each group the first by key, then rk, stays."""
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("k"), F.col(text).alias("t"))
     found = written(d.select("rk", "t").mapInArrow(_measure(min_words), "rk long, line int, h long, fp long"))
-    distinct = found.groupBy("h").agg(F.first("fp").alias("fp"))
-    close = written(links(distinct.select(F.col("h").alias("id"), "fp"), RADIUS, BLOCKS))
-    ends = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    distinct = written(found.groupBy("h").agg(F.first("fp").alias("fp")))
+    fps = distinct.groupBy("fp").count()
+    close = links(fps.select(F.col("fp").alias("id"), "fp"), RADIUS, BLOCKS)
+    near = close.select(F.col("a").alias("fp")).union(close.select("b")).union(fps.where("count > 1").select("fp")).distinct()
+    ends = written(distinct.join(near, "fp").select(F.col("h").alias("id")))
     buckets = max(1, -(-ends.count() // 2_000_000))
     forms = d.select("t").mapInArrow(_texts(put_set(ends, "id", buckets)), "id long, text string").groupBy("id").agg(F.min("text").alias("text"))
-    texts = forms.join(distinct.withColumnRenamed("h", "id"), "id")
-    groups = components(links(texts.select("fp", "id", "text"), RADIUS, BLOCKS, edit_similar))
+    groups = components(_line_links(written(forms.join(distinct.withColumnRenamed("h", "id"), "id"))))
     order = d.select("rk", "k").distinct()
     of = found.select("rk", "line", "h").join(groups.select(F.col("id").alias("h"), "component"), "h", "left").select("rk", "line", F.coalesce("component", "h").alias("group"))
     many = of.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.components import components
+from meridian.llm.components import components, linked_in_shards
 from meridian.llm.hamming import links
 from meridian.llm.shared import in_set, put_set, slices, small_batches, written
 
@@ -132,27 +132,6 @@ def _similar(similar: float):
     return run
 
 
-def _shard_links(shards: DataFrame, decided, similar: float, limit: int) -> DataFrame:
-    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size).
-
-    First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
-    component with all rows of other components, in parts of about `limit` rows. So a large shard of copies costs a pair
-    a row, and no pair is left out.
-    """
-    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size")).alias("l")).where("n > 1").select("s", "n", F.col("l.sig").alias("least"), F.col("l.size").alias("l"))
-    rows = written(shards.join(least, "s").select("s", "n", "least", "l", "sig", "size"))
-    first = written(decided(rows.where(f"sig != least AND LEAST(size, l) >= {similar} * GREATEST(size, l) - 1e-9").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
-    of = components(first)
-    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", "size", F.coalesce("component", "sig").alias("c")))
-    main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    parts = F.ceil(F.col("n") / limit).cast("int")
-    apart = at.join(main, "s").where("sig != least")
-    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
-    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "main")
-    cross = few.join(every, ["s", "part"]).where(f"cx != cy AND (cy = main OR x < y) AND LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.union(written(decided(cross)))
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.8, limit: int = 1024) -> DataFrame:
     """(key, component_id): least key reachable by links between texts whose shingle sets are at least `similar`.
 
@@ -176,7 +155,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         one, other = (sets.select(F.col("sig").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(_similar(similar), "a long, b long")
 
-    joined = components(_shard_links(shards, decided, similar, limit))
+    joined = components(linked_in_shards(shards, decided, similar, limit))
     least = nodes.select("sig", "least")
     of = joined.join(least, joined["id"] == least["sig"]).select("id", "component", "least")
     named = of.join(of.groupBy("component").agg(F.min("least").alias("c")), "component").select(F.col("id").alias("sig"), "c")

@@ -179,6 +179,12 @@ def test_fuzzy_lines(spark):
     assert line_dedup.levenshtein("kitten", "sitting") == 3 and line_dedup.levenshtein("", "abc") == 3 and not line_dedup.edit_similar("abcdefghij", "abcdeXYZij")
 
 
+def test_many_lines_of_one_fingerprint_end(spark):
+    names = ["".join(chr(97 + i // 17**k % 17) for k in range(3)) for i in range(4500)]
+    d = docs(spark, ["\n".join("same " * 8 + x for x in names[i : i + 90]) for i in range(0, 4500, 90)])
+    assert line_dedup.dedup_lines(d).agg(F.sum("n_removed")).first()[0] == 4499
+
+
 def test_sketch_recovers_likeness(spark):
     texts = ["\n".join(f"p{i}" for i in range(a, b)) for a, b in ((0, 300), (100, 420), (0, 3), (0, 0), (5, 6))] + [None]
     d = docs(spark, texts)
