@@ -1,4 +1,7 @@
-"""Line dedup: SimHash of normalised lines, joined on pigeonhole blocks, verified by edit similarity, one line a group kept."""
+"""Line dedup: normalised lines meet under MinHash bands of word pairs, short ones under themselves without a word, and edit similarity decides; one line a group stays.
+
+Not every pair meets: edits in most of the words (a letter in each, say) leave no common key; recall is in the README.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.components import components, linked_in_shards
-from meridian.llm.hamming import ALL, links, signed, split_masks
 from meridian.llm.shared import in_set, put_set, slices, small_batches, written
-from meridian.llm.words import docs_hashes
+from meridian.llm.words import U, docs_hashes, mix
 
-RADIUS, BLOCKS, SIMILAR, MIN_WORDS = 3, 5, 0.8, 5
+SIMILAR, MIN_WORDS = 0.8, 5
+BANDS, SHORT = 10, 10  #: keys of two least word pairs; most words of a line that is also looked up without each of its words
 #: ASCII letters lower-cased, digits as 0; ASCII punctuation goes.
 _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else i for i in range(256))
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -92,21 +95,36 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b) <= allowed
 
 
-def simhashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of each line's words, repeats included, and their number."""
-    fps, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for _, h, n in docs_hashes(lines):
-        fp = np.zeros(len(n), np.int64)
-        full = np.flatnonzero(n)
-        starts = (np.cumsum(n) - n)[full]
-        for i in range(0, len(full), 2048):
-            lo, hi = starts[i], starts[i + 2048] if i + 2048 < len(full) else len(h)
-            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts[i : i + 2048] - lo, axis=0, dtype=np.int32)
-            fp[full[i : i + 2048]] = np.packbits(2 * ones > n[full[i : i + 2048], None], axis=1, bitorder="little").view(np.int64)[:, 0]
-        fps.append(fp)
-        counts.append(n)
-    return np.concatenate(fps), np.concatenate(counts)
+def line_keys(lines: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which lines meet, and the number of the line of each."""
+    keys, owner, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], U(0x9E3779B97F4A7C15)
+    back = U(pow(int(step), -1, 1 << 64))
+    for first, h, n in docs_hashes(lines):
+        of = np.repeat(np.arange(len(n)), n)
+        h, of = h[n[of] >= min_words], of[n[of] >= min_words]
+        if not len(h):
+            continue
+        start = np.flatnonzero(np.diff(of, prepend=-1))
+        count = np.diff(np.append(start, len(of)))
+        place = np.arange(len(of)) - np.repeat(start, count)
+        pair = mix(h * step + np.append(h[1:], U(0)))
+        pair[start + count - 1] = U(0xFFFFFFFFFFFFFFFF)  # of each line's last word there is none
+        line = of[start] + first
+        for band in range(BANDS):
+            least = [np.minimum.reduceat(mix(pair ^ U((2 * band + k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) | (pair == U(0xFFFFFFFFFFFFFFFF)) * U(0xFFFFFFFFFFFFFFFF), start) for k in (0, 1)]
+            keys.append(mix(least[0] * step + least[1] + U(band)))
+            owner.append(line)
+        few = np.repeat(count <= SHORT, count)
+        if few.any():
+            power = np.cumprod(np.concatenate(([U(1)], np.full(SHORT + 1, step))), dtype=np.uint64)
+            part = np.where(few, h * power[np.minimum(place, SHORT)], U(0))
+            upto = np.cumsum(part, dtype=np.uint64)
+            before = np.repeat(upto[start] - part[start], count)
+            whole = np.repeat(upto[start + count - 1], count) - before
+            without = (upto - part - before) + (whole + before - upto) * back
+            keys += [mix(without[few]), mix(whole[start][count <= SHORT])]
+            owner += [of[few] + first, line[count <= SHORT]]
+    return np.concatenate(keys), np.concatenate(owner)
 
 
 def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
@@ -124,9 +142,25 @@ def _measure(min_words: int):
     def run(batches):
         for batch in slices(batches):
             text, number, forms, h = _lines([x or b"" for x in batch.column(1).cast("binary").to_pylist()])
-            fp, n = simhashes(forms)
-            ok = n >= min_words
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)), pa.array(h[ok].view(np.int64)), pa.array(fp[ok])], names=["rk", "line", "h", "fp"])
+            ok = np.zeros(len(forms), bool)
+            for first, _, n in docs_hashes(forms):
+                ok[first : first + len(n)] = n >= min_words
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)), pa.array(h[ok].view(np.int64))], names=["rk", "line", "h"])
+
+    return run
+
+
+def _shards(min_words: int):
+    """(s, sig, size): each key of each line, its hash and length."""
+
+    def run(batches):
+        for batch in slices(batches):
+            _, _, forms, h = _lines([x or b"" for x in batch.column(0).cast("binary").to_pylist()])
+            h, first = np.unique(h, return_index=True)
+            forms = [forms[i] for i in first]
+            keys, of = line_keys(forms, min_words)
+            size = np.array([len(x.decode("utf-8", "replace")) for x in forms], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h.view(np.int64)[of]), pa.array(size[of])], names=["s", "sig", "size"])
 
     return run
 
@@ -149,18 +183,18 @@ def _edit_similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _line_links(texts: DataFrame, limit: int = 1024) -> DataFrame:
-    """Links (a, b), enough to connect the lines (id, fp, text) that are within RADIUS and edit_similar, however many share a fingerprint."""
-    masks = F.explode(F.array(*(F.lit(signed(m)).cast("long") for m in split_masks(ALL, BLOCKS, BLOCKS - RADIUS))))
-    rows = texts.select(masks.alias("m"), "fp", F.col("id").alias("sig"), F.length("text").alias("size"))
-    shards = rows.select(F.xxhash64("m", F.col("fp").bitwiseAND(F.col("m"))).alias("s"), "sig", "size").distinct()
+def _line_links(lines: DataFrame, min_words: int, limit: int = 1024) -> DataFrame:
+    """Links (a, b) between hashes of lines of the texts t, enough to connect those that share a key and are edit_similar."""
 
     def decided(pairs):
-        one, other = (texts.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-        near = pairs.join(one, "a").join(other, "b").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
-        return near.select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
+        pairs = written(pairs)
+        ends = pairs.select("a").union(pairs.select("b")).distinct()
+        buckets = max(1, -(-ends.count() // 2_000_000))
+        texts = written(lines.mapInArrow(_texts(put_set(ends, "a", buckets)), "id long, text string").groupBy("id").agg(F.min("text").alias("text")))
+        one, other = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
 
-    return linked_in_shards(shards, decided, SIMILAR, limit)
+    return linked_in_shards(written(lines.mapInArrow(_shards(min_words), "s long, sig long, size int").distinct()), decided, SIMILAR, limit)
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -168,15 +202,8 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WO
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("k"), F.col(text).alias("t"))
-    found = written(d.select("rk", "t").mapInArrow(_measure(min_words), "rk long, line int, h long, fp long"))
-    distinct = written(found.groupBy("h").agg(F.first("fp").alias("fp")))
-    fps = distinct.groupBy("fp").count()
-    close = links(fps.select(F.col("fp").alias("id"), "fp"), RADIUS, BLOCKS)
-    near = close.select(F.col("a").alias("fp")).union(close.select("b")).union(fps.where("count > 1").select("fp")).distinct()
-    ends = written(distinct.join(near, "fp").select(F.col("h").alias("id")))
-    buckets = max(1, -(-ends.count() // 2_000_000))
-    forms = d.select("t").mapInArrow(_texts(put_set(ends, "id", buckets)), "id long, text string").groupBy("id").agg(F.min("text").alias("text"))
-    groups = components(_line_links(written(forms.join(distinct.withColumnRenamed("h", "id"), "id"))))
+    found = written(d.select("rk", "t").mapInArrow(_measure(min_words), "rk long, line int, h long"))
+    groups = components(_line_links(d.select("t"), min_words))
     order = d.select("rk", "k").distinct()
     of = found.select("rk", "line", "h").join(groups.select(F.col("id").alias("h"), "component"), "h", "left").select("rk", "line", F.coalesce("component", "h").alias("group"))
     many = of.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")

@@ -179,6 +179,27 @@ def test_fuzzy_lines(spark):
     assert line_dedup.levenshtein("kitten", "sitting") == 3 and line_dedup.levenshtein("", "abc") == 3 and not line_dedup.edit_similar("abcdefghij", "abcdeXYZij")
 
 
+@pytest.mark.parametrize("n", [5, 6, 10, 20, 40, 80])
+def test_lines_with_an_edited_word_meet(n):
+    r = np.random.default_rng(n)
+    word = lambda: "".join(r.choice(list("abcdefghijklmno"), int(r.integers(3, 9))))
+    lines, pairs = [], 0
+    for k in range(300):
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for i in r.choice(n, max(1, n // 10), replace=False):
+            b[i] = word()
+        if line_dedup.edit_similar(" ".join(a), " ".join(b)):
+            lines += [" ".join(a).encode(), " ".join(b).encode()]
+            pairs += 1
+    keys, of = line_dedup.line_keys(lines, 5)
+    under = [set() for _ in lines]
+    for key, i in zip(keys.tolist(), of.tolist()):
+        under[i].add(key)
+    assert pairs > 50 and sum(bool(under[2 * i] & under[2 * i + 1]) for i in range(pairs)) >= 0.98 * pairs
+    assert sum(bool(under[2 * i] & under[2 * i + 2]) for i in range(pairs - 1)) == 0
+
+
 def test_many_lines_of_one_fingerprint_end(spark):
     names = ["".join(chr(97 + i // 17**k % 17) for k in range(3)) for i in range(4500)]
     d = docs(spark, ["\n".join("same " * 8 + x for x in names[i : i + 90]) for i in range(0, 4500, 90)])
