@@ -69,7 +69,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return d.join(least.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id")), "fp").select(key, "fp", "component_id")
 
 
-FREQUENT, SOME = 8, 50_000  #: a shingle in FREQUENT of about SOME texts comes last in the order of shingles
+FREQUENT, SOME = 8, 5_000  #: a shingle in FREQUENT of about SOME texts comes last in the order of shingles
 
 
 def _measured(width: int):
