@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import written
+from meridian.llm.shared import skew_join, written
 
 
 def _stars(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -38,23 +38,64 @@ def components(links: DataFrame) -> DataFrame:
     return found.union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def linked_in_shards(shards: DataFrame, decided, similar: float, limit: int) -> DataFrame:
-    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size).
-    A pair is only proposed where the lesser size is at least `similar` of the greater.
+def _tree_pairs(radius: int):
+    """Streams rows (s, part, query, sig, size, fp) sorted with the rows of a shard's part before its queries; yields pairs (x, y) within the radius.
+
+    The part's rows make a BK-tree, in which each query is looked up.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        from meridian.llm.hamming import BKTree
+
+        at, tree, ids, out = None, BKTree(), [], []
+        for batch in batches:
+            for s, part, query, sig, fp in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (s, part) != at:
+                    at, tree, ids = (s, part), BKTree(), []
+                fp &= (1 << 64) - 1
+                if query:
+                    out += [(sig, ids[j]) for j in tree.near(fp, radius) if ids[j] != sig]
+                else:
+                    tree.add(fp)
+                    ids.append(sig)
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["x", "y"])
+                    out = []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["x", "y"])
+
+    return run
+
+
+def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int, limit: int, tree: bool = False) -> DataFrame:
+    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp).
+    A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits.
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
-    component with all rows of other components, in parts of about `limit` rows. So a large shard of copies costs a pair
-    a row, and no pair is left out.
+    component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part). So a
+    large shard of copies costs a pair a row, and no pair is left out.
     """
-    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size")).alias("l")).where("n > 1").select("s", "n", F.col("l.sig").alias("least"), F.col("l.size").alias("l"))
-    rows = written(shards.join(least, "s").select("s", "n", "least", "l", "sig", "size"))
-    first = written(decided(rows.where(f"sig != least AND LEAST(size, l) >= {similar} * GREATEST(size, l) - 1e-9").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
+    near = f"LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9 AND bit_count(fx ^ fy) <= {radius}"
+    shards = written(shards.select("s", "sig", "size", "fp"))
+    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size", "fp")).alias("l")).where("n > 1").select("s", "n", F.col("l.sig").alias("least"), F.col("l.size").alias("ny"), F.col("l.fp").alias("fy"))
+    rows = written(skew_join(shards.withColumnsRenamed({"size": "nx", "fp": "fx"}), least, "s", least.select("s", "n")))
+    first = written(decided(rows.where(f"sig != least AND {near}").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
     of = components(first)
-    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", "size", F.coalesce("component", "sig").alias("c")))
-    main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", "count").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", "nx", "fx", F.coalesce("component", "sig").alias("c")))
+    main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1")
     parts = F.ceil(F.col("n") / limit).cast("int")
-    apart = at.join(main, "s").where("sig != least")
-    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
-    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "main")
-    cross = few.join(every, ["s", "part"]).where(f"cx != cy AND (cy = main OR x < y) AND LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.union(written(decided(cross)))
+    apart = written(skew_join(at.where("sig != least").drop("n"), main, "s", main.select("s", "n")))
+    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), "nx", "fx", F.col("c").alias("cx"))
+    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("nx").alias("ny"), F.col("fx").alias("fy"), F.col("c").alias("cy"), "main")
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    if tree:
+        both = every.select("s", "part", F.lit(0).alias("query"), F.col("y").alias("sig"), F.col("fy").alias("fp")).union(few.select("s", "part", F.lit(1), "x", "fx"))
+        found = both.repartition("s", "part").sortWithinPartitions("s", "part", "query").mapInArrow(_tree_pairs(radius), "x long, y long").distinct()
+        size = at.select("sig", "nx", "c").distinct()
+        found = found.join(size.withColumnsRenamed({"sig": "x", "c": "cx"}), "x").join(size.withColumnsRenamed({"sig": "y", "nx": "ny", "c": "cy"}), "y")
+        cross = found.where(f"cx != cy AND LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9").select(*pair).distinct()
+    else:
+        cross = few.join(every, ["s", "part"]).where(f"cx != cy AND (cy = main OR x < y) AND {near}").select(*pair).distinct()
+    cross = written(cross)
+    return first if cross.isEmpty() else first.union(written(decided(cross)))

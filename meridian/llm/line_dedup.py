@@ -1,21 +1,32 @@
-"""Line dedup: normalised lines meet under MinHash bands of word pairs, short ones under themselves without a word, and edit similarity decides; one line a group stays.
+"""Line dedup: SimHashes of normalised lines, a join on pigeonhole blocks, edit similarity to decide; one line of each connected group stays.
 
-Not every pair meets: edits in most of the words (a letter in each, say) leave no common key; recall is in the README.
+In the SimHash of a line each word votes in one of a few 64-bit blocks, chosen by the word's hash, not in all. So edits do not flip
+bits everywhere: a word replaced touches at most two blocks, one that comes or goes touches one, and all other blocks stay as they
+are. Lines meet where blocks agree: one block in long lines, two in short ones (BLOCKS), and in very short ones (TINY) all votes
+but those of any one word. Lines near the limit of two lengths do both. All pairs that meet are decided by edit similarity,
+except those whose whole SimHashes differ in over FAR bits, as unrelated lines do (32 on average).
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.components import components, linked_in_shards
-from meridian.llm.shared import in_set, put_set, slices, small_batches, written
-from meridian.llm.words import U, docs_hashes, mix
+from meridian.llm.shared import fresh, in_set, pack, put_set, skew_join, slices, small_batches, text_bytes, unpack, written
+from meridian.llm.words import U, bucket_of, docs_words, mix, pair
 
 SIMILAR, MIN_WORDS = 0.8, 5
-BANDS, SHORT = 10, 10  #: keys of two least word pairs; most words of a line that is also looked up without each of its words
+FAR = 24
+TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
+#: Of lines of so many words: blocks, how many make a key, words, whether short words vote together with the next.
+BLOCKS = ((5, 2, (9, 22), False), (6, 1, (18, 44), True), (10, 1, (36, 1 << 40), True))
+ALONE = 4  #: bytes of the shortest word that votes by itself
+VOTES = 2  #: fewest votes in the blocks of a key: blocks of one or two words say little
 #: ASCII letters lower-cased, digits as 0; ASCII punctuation goes.
 _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else i for i in range(256))
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -95,36 +106,80 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b) <= allowed
 
 
-def line_keys(lines: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which lines meet, and the number of the line of each."""
-    keys, owner, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], U(0x9E3779B97F4A7C15)
-    back = U(pow(int(step), -1, 1 << 64))
-    for first, h, n in docs_hashes(lines):
-        of = np.repeat(np.arange(len(n)), n)
-        h, of = h[n[of] >= min_words], of[n[of] >= min_words]
-        if not len(h):
+def _majority(ones: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """64-bit numbers: a bit is 1 if over half of the votes are."""
+    return np.packbits(2 * ones > votes[:, None], axis=1, bitorder="little").view(U).reshape(-1)
+
+
+_LANES = U(0x0101010101010101)
+
+
+def _votes(h: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell: set bits by place, number of votes. Eight bits of a hash at a time are summed in the bytes of one number."""
+    n = np.bincount(cell, minlength=cells)
+    ones = np.zeros((cells, 64), np.int32)
+    if len(h):
+        order = np.argsort(cell, kind="stable")
+        cell, h = cell[order], h[order]
+        rank = np.arange(len(h)) - (np.cumsum(n) - n)[cell]
+        start = np.flatnonzero((rank % 255 == 0) | (np.diff(cell, prepend=-1) != 0))  # a byte holds up to 255 votes
+        sums = np.stack([np.add.reduceat((h >> U(i)) & _LANES, start) for i in range(8)], axis=1)
+        part = sums.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+        ones[cell[start]] = part
+        again = np.flatnonzero(rank[start] > 0)
+        if len(again):
+            whole = np.flatnonzero(np.isin(cell[start], cell[start[again]]))
+            ones[cell[start[whole]]] = 0
+            np.add.at(ones, cell[start[whole]], part[whole])
+    return ones, n
+
+
+_KIND = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))  #: tells keys of different blocks apart
+
+
+def _key(fp: np.ndarray, votes: np.ndarray, kind: int) -> np.ndarray:
+    return mix(fp ^ _KIND[kind]) + mix(votes.astype(U) ^ _KIND[kind + 1])
+
+
+def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines with word hashes h, words of `size` bytes, n words each: whole SimHashes; keys under which lines meet, and the number of the line of each."""
+    of, keys, owner = np.repeat(np.arange(len(n)), n), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    all_ones, _ = _votes(h, of, len(n))
+    whole = _majority(all_ones, n)
+
+    def add(key, line, votes):
+        ok = votes >= VOTES
+        keys.append(key[ok])
+        owner.append(line[ok])
+
+    tiny = np.flatnonzero((n >= TINY[0]) & (n <= TINY[1]))
+    if len(tiny):
+        add(_key(whole[tiny], n[tiny], 0), tiny, n[tiny])
+        word = np.flatnonzero((n[of] >= TINY[0]) & (n[of] <= TINY[1]))
+        line = of[word]
+        without = all_ones[line] - np.unpackbits(h[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        add(_key(_majority(without, n[line] - 1), n[line] - 1, 0), line, n[line])
+    # short words are the frequent ones: each votes together with the next
+    vote = h.copy()
+    if len(h) > 1:
+        joined = np.flatnonzero((size[:-1] < ALONE) & (of[1:] == of[:-1]))
+        vote[joined] = pair(h[joined], h[joined + 1])
+    for kind, (blocks, agree, (low, high), votes_of) in enumerate(BLOCKS):
+        some = np.flatnonzero((n >= low) & (n <= high))
+        if not len(some):
             continue
-        start = np.flatnonzero(np.diff(of, prepend=-1))
-        count = np.diff(np.append(start, len(of)))
-        place = np.arange(len(of)) - np.repeat(start, count)
-        pair = mix(h * step + np.append(h[1:], U(0)))
-        pair[start + count - 1] = U(0xFFFFFFFFFFFFFFFF)  # of each line's last word there is none
-        line = of[start] + first
-        for band in range(BANDS):
-            least = [np.minimum.reduceat(mix(pair ^ U((2 * band + k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) | (pair == U(0xFFFFFFFFFFFFFFFF)) * U(0xFFFFFFFFFFFFFFFF), start) for k in (0, 1)]
-            keys.append(mix(least[0] * step + least[1] + U(band)))
-            owner.append(line)
-        few = np.repeat(count <= SHORT, count)
-        if few.any():
-            power = np.cumprod(np.concatenate(([U(1)], np.full(SHORT + 1, step))), dtype=np.uint64)
-            part = np.where(few, h * power[np.minimum(place, SHORT)], U(0))
-            upto = np.cumsum(part, dtype=np.uint64)
-            before = np.repeat(upto[start] - part[start], count)
-            whole = np.repeat(upto[start + count - 1], count) - before
-            without = (upto - part - before) + (whole + before - upto) * back
-            keys += [mix(without[few]), mix(whole[start][count <= SHORT])]
-            owner += [of[few] + first, line[count <= SHORT]]
-    return np.concatenate(keys), np.concatenate(owner)
+        at = np.zeros(len(n), np.int64)
+        at[some] = np.arange(len(some))
+        mine = (n[of] >= low) & (n[of] <= high)
+        v = (vote if votes_of else h)[mine]
+        ones, votes = _votes(v, at[of[mine]] * blocks + ((mix(v) >> U(32)) * U(blocks) >> U(32)).astype(np.int64), len(some) * blocks)
+        fp, votes = _majority(ones, votes).reshape(-1, blocks), votes.reshape(-1, blocks)
+        for chosen in combinations(range(blocks), agree):
+            key = np.full(len(some), U(kind + 1))
+            for i in chosen:
+                key = mix(key + _key(fp[:, i], votes[:, i], i))
+            add(key, some, votes[:, list(chosen)].sum(1))
+    return whole, np.concatenate(keys), np.concatenate(owner)
 
 
 def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
@@ -134,35 +189,70 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.
     parts = [x.split(b"\n") for x in texts]
     n = np.array([len(x) for x in parts], np.int64)
     forms = [normal(x) for p in parts for x in p]
-    h = np.fromiter((xxhash.xxh64_intdigest(x) for x in forms), np.uint64, len(forms))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, forms), np.uint64, len(forms))
     return np.repeat(np.arange(len(texts)), n), np.arange(len(forms)) - np.repeat(np.cumsum(n) - n, n), forms, h
 
 
-def _measure(min_words: int):
+FLUSH = 1 << 20  #: keys that a task holds before it sends them on
+
+
+def _measure(min_words: int, buckets: int):
+    """Rows of two kinds: a line (k, rk, line, h, size, fp), or the packed keys and hashes of many lines, by bucket of the key (bucket, packed)."""
+
     def run(batches):
+        kind, held, many = None, [], 0
+
+        def flush():
+            key, sig = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((sig, key))
+            key, sig = key[order], sig[order]
+            first = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])))
+            key, sig = key[first], sig[first]
+            b = bucket_of(key, buckets)
+            cut = np.flatnonzero(np.diff(b, prepend=-1))
+            blobs = [pack(key[i:j], sig[i:j]) for i, j in zip(cut, [*cut[1:], len(key)])]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(cut), kind), *(pa.nulls(len(cut), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())), pa.array(b[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=NAMES)
+
         for batch in slices(batches):
-            text, number, forms, h = _lines([x or b"" for x in batch.column(1).cast("binary").to_pylist()])
+            kind = batch.column(1).type
+            text, number, forms, h = _lines([x or b"" for x in batch.column(2).cast("binary").to_pylist()])
+            distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
+            forms = [forms[i] for i in at]
+            size, fp = np.array([len(x) - sum(map(x.count, _INNER)) if not x.isascii() else len(x) for x in forms], np.int32), np.zeros(len(forms), U)
             ok = np.zeros(len(forms), bool)
-            for first, _, n in docs_hashes(forms):
-                ok[first : first + len(n)] = n >= min_words
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[ok])), pa.array(number[ok].astype(np.int32)), pa.array(h[ok].view(np.int64))], names=["rk", "line", "h"])
+            for first, words, length, n in docs_words(forms):
+                part = slice(first, first + len(n))
+                ok[part] = n >= max(min_words, 1)
+                mine, n_ok = np.repeat(ok[part], n), np.where(ok[part], n, 0)
+                fp[part], key, line = line_keys(words[mine], length[mine], n_ok)
+                held.append((key, distinct[line + first]))
+                many += len(key)
+            keep = ok[back]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[keep])), batch.column(0).take(pa.array(text[keep])), pa.array(number[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(size[back][keep]), pa.array(fp[back][keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.int32()), pa.nulls(int(keep.sum()), pa.binary())], names=NAMES)
+            if many >= FLUSH:
+                yield flush()
+                held, many = [], 0
+        if many:
+            yield flush()
 
     return run
 
 
-def _shards(min_words: int):
-    """(s, sig, size): each key of each line, its hash and length."""
+NAMES = ["k", "rk", "line", "h", "size", "fp", "bucket", "packed"]
+_INNER = [bytes([i]) for i in range(128, 192)]  #: bytes within a character
 
-    def run(batches):
-        for batch in slices(batches):
-            _, _, forms, h = _lines([x or b"" for x in batch.column(0).cast("binary").to_pylist()])
-            h, first = np.unique(h, return_index=True)
-            forms = [forms[i] for i in first]
-            keys, of = line_keys(forms, min_words)
-            size = np.array([len(x.decode("utf-8", "replace")) for x in forms], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h.view(np.int64)[of]), pa.array(size[of])], names=["s", "sig", "size"])
 
-    return run
+def _meetings(key, group):
+    """Of a bucket: (s, sig) for each key that two or more lines have."""
+    parts = [unpack(x) for x in group["packed"].to_pylist()]
+    s, sig = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((sig, s))
+    s, sig = s[order], sig[order]
+    first = np.concatenate(([True], (s[1:] != s[:-1]) | (sig[1:] != sig[:-1])))
+    s, sig = s[first], sig[first]
+    same = s[1:] == s[:-1]
+    ok = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    return pa.table({"s": pa.array(s[ok].view(np.int64)), "sig": pa.array(sig[ok].view(np.int64))})
 
 
 def _texts(wanted):
@@ -183,51 +273,60 @@ def _edit_similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _line_links(lines: DataFrame, min_words: int, limit: int = 1024) -> DataFrame:
-    """Links (a, b) between hashes of lines of the texts t, enough to connect those that share a key and are edit_similar."""
+BUCKET = 1 << 23  #: bytes of text whose lines' keys make one bucket
+
+
+def _line_links(texts: DataFrame, lines: DataFrame, packed: DataFrame, buckets: int, limit: int = 1024) -> DataFrame:
+    """Links (a, b) between hashes of lines, enough to connect those that meet and are edit_similar."""
+    met = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, sig long"))
+    some = met.select("sig").distinct()
+    known = written(lines.select(F.col("h").alias("sig"), "size", "fp").join(some, "sig", "left_semi").dropDuplicates(["sig"]))
+    wanted = put_set(known, "sig", max(1, -(-known.count() // 2_000_000)))
+    forms = written(texts.mapInArrow(_texts(wanted), "id long, text string").dropDuplicates(["id"]))
 
     def decided(pairs):
-        pairs = written(pairs)
-        ends = pairs.select("a").union(pairs.select("b")).distinct()
-        buckets = max(1, -(-ends.count() // 2_000_000))
-        texts = written(lines.mapInArrow(_texts(put_set(ends, "a", buckets)), "id long, text string").groupBy("id").agg(F.min("text").alias("text")))
-        one, other = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return pairs.join(one, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
+        one, other = (forms.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
 
-    return linked_in_shards(written(lines.mapInArrow(_shards(min_words), "s long, sig long, size int").distinct()), decided, SIMILAR, limit)
+    return linked_in_shards(skew_join(met, known, "sig"), decided, SIMILAR, FAR, limit)
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(rk, lines): by xxhash64(key, text), the numbers of the lines that go; of each group the first by key, then rk, stays."""
-    spark = docs.sparkSession
     small_batches(docs.sparkSession)
+    buckets = max(1, text_bytes(docs, text) // BUCKET)
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("k"), F.col(text).alias("t"))
-    found = written(d.select("rk", "t").mapInArrow(_measure(min_words), "rk long, line int, h long"))
-    groups = components(_line_links(d.select("t"), min_words))
-    order = d.select("rk", "k").distinct()
-    of = found.select("rk", "line", "h").join(groups.select(F.col("id").alias("h"), "component"), "h", "left").select("rk", "line", F.coalesce("component", "h").alias("group"))
-    many = of.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    copies = of.join(many, "group").join(order, "rk").select("rk", "group", F.struct("k", "rk", "line").alias("place"))
-    copies = written(copies)
-    first = copies.groupBy("group").agg(F.min("place").alias("first"))
-    return copies.join(first, "group").where("place != first").groupBy("rk").agg(F.collect_set("place.line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with its repeated lines removed, and n_removed.
-
-    Lines end at \\n. Lines with fewer than MIN_WORDS words after normalising (blank ones too) always stay, and so does
-    the first of each group: by key (null first), then place. Rows equal in key and text are one document: all keep the
-    same lines. Null texts stay null; a document may become empty but stays.
+    kind = d.schema["k"].dataType.simpleString()
+    found = written(d.mapInArrow(_measure(min_words, buckets), f"k {kind}, rk long, line int, h long, size int, fp long, bucket int, packed binary"))
+    lines, packed = found.where("packed IS NULL").drop("bucket", "packed"), found.where("packed IS NOT NULL").select("bucket", "packed")
+    groups = components(_line_links(d.select("t"), lines, packed, buckets))
+    place = F.struct("k", "rk", "line")
+    of = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place")).join(groups.select(F.col("id").alias("h"), "component"), "h", "left")
+    of = written(of.select("h", "n", "place", F.coalesce("component", "h").alias("group")))
+    first = of.groupBy("group").agg(F.sum("n").alias("all"), F.min("place").alias("first")).where("all > 1").select("group", "first")
+    stays = written(skew_join(of.select("h", "n", "group"), first, "group").select("h", "n", "first"))
+    gone = skew_join(lines.select("rk", "line", "h", "k"), stays.select("h", "first"), "h", stays.select("h", "n"))
+    return gone.where(~place.eqNullSafe(F.col("first"))).groupBy("rk").agg(F.collect_set("line").alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with its repeated lines removed, and n_removed (which takes the place of a column of that name).
+
+    Lines end at \\n. Lines with fewer than min_words words after normalising always stay (those without words whatever it is), and
+    so does the first of each group: by key (null first), then place. Lines of under TINY[0] words meet only as equal normal
+    forms. Rows equal in key and text are one document: all keep the same lines. Null texts stay null; a document may
+    become empty but stays, and a table without rows gives one without rows.
     """
-    gone = repeated_lines(docs, key, text).withColumnRenamed("rk", "_rk").withColumnRenamed("lines", "_lines")
-    joined = docs.withColumn("_key", F.xxhash64(key, text)).join(gone, F.col("_key") == F.col("_rk"), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    return joined.withColumns({text: F.when(F.col("_lines").isNull(), F.col(text)).otherwise(left), "n_removed": F.coalesce(F.size("_lines"), F.lit(0))}).select(*docs.columns, "n_removed")
+    name, hashed, lines = fresh(docs, "_key", "_rk", "_lines")
+    gone = repeated_lines(docs, key, text, min_words).withColumnsRenamed({"rk": hashed, "lines": lines})
+    joined = docs.withColumn(name, F.xxhash64(key, text)).join(gone, F.col(name) == F.col(hashed), "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    kept = [c for c in docs.columns if c.lower() != "n_removed"]
+    return joined.withColumns({text: F.when(F.col(lines).isNull(), F.col(text)).otherwise(left), "n_removed": F.coalesce(F.size(lines), F.lit(0))}).select(*kept, "n_removed")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document: lines removed, and a digest of the text that is left."""
+    """Per document: lines removed, and a digest of the text that is left. Lines of any length take part."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    left = dedup_lines(docs)
+    left = dedup_lines(docs, min_words=1)
     return left.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

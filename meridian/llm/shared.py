@@ -18,9 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="meridian-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/meridian-{uuid.uuid4().hex}"
+    # a path without a scheme lies in the default file system, as for Spark itself
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/meridian-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df does not have (Spark ignores case in names)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+        have.add(name.lower())
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -44,7 +55,7 @@ def _fs(uri: str):
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def put_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
@@ -106,19 +117,47 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()[0])
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches cut into fewer rows, so that Python objects exist for a few documents at a time.
+def slices(batches, rows: int = 256, most: int = 1 << 23):
+    """Arrow batches cut into parts of at most `rows` rows and about `most` bytes of text, so that Python objects exist for few documents at a time.
 
     At the end Arrow gives back what it no longer uses: workers live on for later tasks.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        size = np.zeros(batch.num_rows, np.int64)
+        for col in batch.columns:
+            if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
+                size += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        upto, i = np.cumsum(size), 0
+        while i < batch.num_rows:
+            before = int(upto[i] - size[i])
+            n = min(rows, max(1, int(np.searchsorted(upto, before + most, side="right")) - i))
+            yield batch.slice(i, n)
+            i += n
     pa.default_memory_pool().release_unused()
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, spread: int = 200) -> DataFrame:
+    """left joined with right (one row a key) on key; no task gets more than about 1 / spread of the rows of left for being of one key.
+
+    Keys with over 1 / spread of all rows are salted on the left and repeated on the right. So there are fewer than
+    `spread` such keys, which bounds the list of them that is broadcast. counts: (key, n) of left, if known. left is read twice.
+    """
+    from pyspark.sql import functions as F
+
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = written(counts.where((F.col("n") > max(1, total // spread)) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), F.ceil(F.col("n") * spread / max(1, total)).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    one = left.join(few, left[key] == few["_hot"], "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))).drop("_hot", "_salts")
+    other = right.join(few, right[key] == few["_hot"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_hot", "_salts")
+    return one.join(other, [key, "_salt"]).drop("_salt")
+
+
 def put_set(df: DataFrame, col: str, buckets: int) -> tuple[str, int]:
     """Write the distinct values of a long column as sorted arrays, by equal ranges of the 64-bit space."""
     from pyspark.sql import functions as F
@@ -137,11 +176,13 @@ def put_set(df: DataFrame, col: str, buckets: int) -> tuple[str, int]:
     def run(key, group):
         import pyarrow as pa
 
-        h = np.unique(group["h"].to_numpy().view(np.uint64))
+        h = np.unique(group["h"].drop_null().to_numpy().view(np.uint64))
         put_arrays(folder, str(key[0].as_py()), h=h)
         return pa.table({"n": pa.array([len(h)], pa.int64())})
 
-    df.select(F.col(col).alias("h")).where("h IS NOT NULL").mapInArrow(numbered, "h long, bucket int").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "n long").agg(F.sum("n")).first()
+    rows = df.select(F.col(col).alias("h")).where("h IS NOT NULL").mapInArrow(numbered, "h long, bucket int")
+    every = df.sparkSession.range(buckets).select(F.lit(None).cast("long").alias("h"), F.col("id").cast("int").alias("bucket"))  # empty buckets get a file too
+    rows.union(every).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "n long").agg(F.sum("n")).first()
     return folder, buckets
 
 
@@ -155,10 +196,7 @@ def in_set(where: tuple[str, int], h: np.ndarray) -> np.ndarray:
     bucket = bucket_of(q, buckets)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for i, j in zip(cut, [*cut[1:], len(q)]):
-        try:
-            have = get_array(folder, str(bucket[i]), "h")
-        except FileNotFoundError:
-            continue
+        have = get_array(folder, str(bucket[i]), "h")
         if len(have):
             at = np.minimum(np.searchsorted(have, q[i:j]), len(have) - 1)
             out[order[i:j]] = np.asarray(have[at]) == q[i:j]

@@ -56,12 +56,17 @@ def spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word in data: its hash and the place where it starts."""
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word in data: its hash, and where it starts and ends."""
     a = _LOWER[np.frombuffer(data, np.uint8)]
     start, end = spans(a)
     p = rolling(a)
-    return mix((p[end] - p[start]) * powers(_INV, len(a) + 1)[start] + (end - start).astype(U)), start
+    return mix((p[end] - p[start]) * powers(_INV, len(a) + 1)[start] + (end - start).astype(U)), start, end
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word in data: its hash and the place where it starts."""
+    return word_spans(data)[:2]
 
 
 def encoded(values) -> list[bytes]:
@@ -85,8 +90,8 @@ def pieces(text: bytes, most: int = PIECE) -> Iterator[bytes]:
     yield text[at:]
 
 
-def docs_hashes(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """In blocks of about `most` bytes: the number of the block's first text, its word hashes, and the words in each text."""
+def docs_words(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """In blocks of about `most` bytes: the number of the block's first text, hashes and bytes of its words, and the words in each text."""
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -94,15 +99,20 @@ def docs_hashes(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, np
             size += len(texts[to]) + 1
             to += 1
         if to == at + 1 and size > most:
-            h = np.concatenate([word_hashes(x)[0] for x in pieces(texts[at], most)])
-            yield at, h, np.array([len(h)])
+            h, start, end = (np.concatenate(x) for x in zip(*(word_spans(x) for x in pieces(texts[at], most))))
+            yield at, h, end - start, np.array([len(h)])
         else:
-            h, start = word_hashes(b"\n".join(texts[at:to]))
+            h, start, end = word_spans(b"\n".join(texts[at:to]))
             ends = np.cumsum([len(x) + 1 for x in texts[at:to]])
-            yield at, h, np.diff(np.searchsorted(start, ends), prepend=0)
+            yield at, h, end - start, np.diff(np.searchsorted(start, ends), prepend=0)
         at = to
 
 
+def docs_hashes(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """docs_words without the words' bytes."""
+    return ((at, h, n) for at, h, _, n in docs_words(texts, most))
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and the sums of their values."""
     if not len(keys):
