@@ -2,7 +2,7 @@
 
 In the SimHash of a line each word votes in one of a few 64-bit blocks, chosen by the word's hash, not in all. So edits do not flip
 bits everywhere: a word replaced touches at most two blocks, one that comes or goes touches one, and all other blocks stay as they
-are. Lines meet where blocks agree: one block in long lines, two in short ones (BLOCKS), and in very short ones (TINY) all votes
+are. Lines meet where blocks agree: one block in long lines, three of six in short ones (BLOCKS), and in very short ones (TINY) all votes
 but those of any one word. Lines near the limit of two lengths do both. All pairs that meet are decided by edit similarity,
 except those whose whole SimHashes differ in over FAR bits, as unrelated lines do (32 on average).
 """
@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from meridian.llm.components import components, linked_in_shards
 from meridian.llm.shared import fresh, in_set, pack, put_set, skew_join, slices, small_batches, text_bytes, unpack, written
-from meridian.llm.words import U, bucket_of, docs_words, mix, pair
+from meridian.llm.words import U, bucket_of, docs_words, lane_votes, majority, mix, pair
 
 SIMILAR, MIN_WORDS = 0.8, 5
-FAR = 24
+FAR = 20
 TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
 #: Of lines of so many words: blocks, how many make a key, words, whether short words vote together with the next.
-BLOCKS = ((5, 2, (9, 22), False), (6, 1, (18, 44), True), (10, 1, (36, 1 << 40), True))
+BLOCKS = ((6, 3, (9, 22), False), (6, 1, (18, 44), True), (10, 1, (36, 1 << 40), True))
 ALONE = 4  #: bytes of the shortest word that votes by itself
-VOTES = 2  #: fewest votes in the blocks of a key: blocks of one or two words say little
+VOTES = 4  #: fewest votes in the blocks of a key: few words say little (a line of three or four words may have fewer)
 #: ASCII letters lower-cased, digits as 0; ASCII punctuation goes.
 _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else i for i in range(256))
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -106,34 +106,6 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b) <= allowed
 
 
-def _majority(ones: np.ndarray, votes: np.ndarray) -> np.ndarray:
-    """64-bit numbers: a bit is 1 if over half of the votes are."""
-    return np.packbits(2 * ones > votes[:, None], axis=1, bitorder="little").view(U).reshape(-1)
-
-
-_LANES = U(0x0101010101010101)
-
-
-def _votes(h: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each cell: set bits by place, number of votes. Eight bits of a hash at a time are summed in the bytes of one number."""
-    n = np.bincount(cell, minlength=cells)
-    ones = np.zeros((cells, 64), np.int32)
-    if len(h):
-        order = np.argsort(cell, kind="stable")
-        cell, h = cell[order], h[order]
-        rank = np.arange(len(h)) - (np.cumsum(n) - n)[cell]
-        start = np.flatnonzero((rank % 255 == 0) | (np.diff(cell, prepend=-1) != 0))  # a byte holds up to 255 votes
-        sums = np.stack([np.add.reduceat((h >> U(i)) & _LANES, start) for i in range(8)], axis=1)
-        part = sums.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
-        ones[cell[start]] = part
-        again = np.flatnonzero(rank[start] > 0)
-        if len(again):
-            whole = np.flatnonzero(np.isin(cell[start], cell[start[again]]))
-            ones[cell[start[whole]]] = 0
-            np.add.at(ones, cell[start[whole]], part[whole])
-    return ones, n
-
-
 _KIND = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))  #: tells keys of different blocks apart
 
 
@@ -141,11 +113,11 @@ def _key(fp: np.ndarray, votes: np.ndarray, kind: int) -> np.ndarray:
     return mix(fp ^ _KIND[kind]) + mix(votes.astype(U) ^ _KIND[kind + 1])
 
 
-def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lines with word hashes h, words of `size` bytes, n words each: whole SimHashes; keys under which lines meet, and the number of the line of each."""
     of, keys, owner = np.repeat(np.arange(len(n)), n), [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    all_ones, _ = _votes(h, of, len(n))
-    whole = _majority(all_ones, n)
+    all_ones, _ = lane_votes(h, of, len(n))
+    whole = majority(all_ones, n)
 
     def add(key, line, votes):
         ok = votes >= VOTES
@@ -154,11 +126,11 @@ def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
     tiny = np.flatnonzero((n >= TINY[0]) & (n <= TINY[1]))
     if len(tiny):
-        add(_key(whole[tiny], n[tiny], 0), tiny, n[tiny])
+        add(_key(whole[tiny], n[tiny], 0), tiny, n[tiny] + VOTES)
         word = np.flatnonzero((n[of] >= TINY[0]) & (n[of] <= TINY[1]))
         line = of[word]
         without = all_ones[line] - np.unpackbits(h[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        add(_key(_majority(without, n[line] - 1), n[line] - 1, 0), line, n[line])
+        add(_key(majority(without, n[line] - 1), n[line] - 1, 0), line, n[line] + VOTES)
     # short words are the frequent ones: each votes together with the next
     vote = h.copy()
     if len(h) > 1:
@@ -172,8 +144,8 @@ def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
         at[some] = np.arange(len(some))
         mine = (n[of] >= low) & (n[of] <= high)
         v = (vote if votes_of else h)[mine]
-        ones, votes = _votes(v, at[of[mine]] * blocks + ((mix(v) >> U(32)) * U(blocks) >> U(32)).astype(np.int64), len(some) * blocks)
-        fp, votes = _majority(ones, votes).reshape(-1, blocks), votes.reshape(-1, blocks)
+        ones, votes = lane_votes(v, at[of[mine]] * blocks + ((mix(v) >> U(32)) * U(blocks) >> U(32)).astype(np.int64), len(some) * blocks)
+        fp, votes = majority(ones, votes).reshape(-1, blocks), votes.reshape(-1, blocks)
         for chosen in combinations(range(blocks), agree):
             key = np.full(len(some), U(kind + 1))
             for i in chosen:
@@ -182,6 +154,17 @@ def line_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return whole, np.concatenate(keys), np.concatenate(owner)
 
 
+def line_keys(lines: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which normalised lines of at least min_words words meet, and the number of the line of each."""
+    keys, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for first, h, size, n in docs_words(lines):
+        mine = np.repeat(n >= min_words, n)
+        _, key, line = word_keys(h[mine], size[mine], np.where(n >= min_words, n, 0))
+        keys.append(key)
+        owner.append(line + first)
+    return np.concatenate(keys), np.concatenate(owner)
+
+
 def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Of all lines of the texts: number of the text, number of the line, normal form, hash of that."""
     import xxhash
@@ -224,7 +207,7 @@ def _measure(min_words: int, buckets: int):
                 part = slice(first, first + len(n))
                 ok[part] = n >= max(min_words, 1)
                 mine, n_ok = np.repeat(ok[part], n), np.where(ok[part], n, 0)
-                fp[part], key, line = line_keys(words[mine], length[mine], n_ok)
+                fp[part], key, line = word_keys(words[mine], length[mine], n_ok)
                 held.append((key, distinct[line + first]))
                 many += len(key)
             keep = ok[back]
@@ -276,11 +259,11 @@ def _edit_similar(batches):
 BUCKET = 1 << 23  #: bytes of text whose lines' keys make one bucket
 
 
-def _line_links(texts: DataFrame, lines: DataFrame, packed: DataFrame, buckets: int, limit: int = 1024) -> DataFrame:
+def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, buckets: int, limit: int = 1024) -> DataFrame:
     """Links (a, b) between hashes of lines, enough to connect those that meet and are edit_similar."""
     met = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, sig long"))
     some = met.select("sig").distinct()
-    known = written(lines.select(F.col("h").alias("sig"), "size", "fp").join(some, "sig", "left_semi").dropDuplicates(["sig"]))
+    known = written(forms_of.select(F.col("h").alias("sig"), "size", "fp").join(some, "sig", "left_semi"))
     wanted = put_set(known, "sig", max(1, -(-known.count() // 2_000_000)))
     forms = written(texts.mapInArrow(_texts(wanted), "id long, text string").dropDuplicates(["id"]))
 
@@ -299,9 +282,10 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WO
     kind = d.schema["k"].dataType.simpleString()
     found = written(d.mapInArrow(_measure(min_words, buckets), f"k {kind}, rk long, line int, h long, size int, fp long, bucket int, packed binary"))
     lines, packed = found.where("packed IS NULL").drop("bucket", "packed"), found.where("packed IS NOT NULL").select("bucket", "packed")
-    groups = components(_line_links(d.select("t"), lines, packed, buckets))
     place = F.struct("k", "rk", "line")
-    of = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place")).join(groups.select(F.col("id").alias("h"), "component"), "h", "left")
+    per = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.min("size").alias("size"), F.min("fp").alias("fp")))
+    groups = components(_line_links(d.select("t"), per, packed, buckets))
+    of = per.join(groups.select(F.col("id").alias("h"), "component"), "h", "left")
     of = written(of.select("h", "n", "place", F.coalesce("component", "h").alias("group")))
     first = of.groupBy("group").agg(F.sum("n").alias("all"), F.min("place").alias("first")).where("all > 1").select("group", "first")
     stays = written(skew_join(of.select("h", "n", "group"), first, "group").select("h", "n", "first"))

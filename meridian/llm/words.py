@@ -126,3 +126,31 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Equal ranges of the hash space: rises with h."""
     return (((h >> U(32)) * U(n)) >> U(32)).astype(np.int64)
+
+
+def majority(ones: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """64-bit numbers: a bit is 1 if over half of the votes are."""
+    return np.packbits(2 * ones > votes[:, None], axis=1, bitorder="little").view(U).reshape(-1)
+
+
+_LANES = U(0x0101010101010101)
+
+
+def lane_votes(h: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell: set bits by place, number of votes. Eight bits of a hash at a time are summed in the bytes of one number."""
+    n = np.bincount(cell, minlength=cells)
+    ones = np.zeros((cells, 64), np.int32)
+    if len(h):
+        order = np.argsort(cell, kind="stable")
+        cell, h = cell[order], h[order]
+        rank = np.arange(len(h)) - (np.cumsum(n) - n)[cell]
+        start = np.flatnonzero((rank % 255 == 0) | (np.diff(cell, prepend=-1) != 0))  # a byte holds up to 255 votes
+        sums = np.stack([np.add.reduceat((h >> U(i)) & _LANES, start) for i in range(8)], axis=1)
+        part = sums.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+        ones[cell[start]] = part
+        again = np.flatnonzero(rank[start] > 0)
+        if len(again):
+            whole = np.flatnonzero(np.isin(cell[start], cell[start[again]]))
+            ones[cell[start[whole]]] = 0
+            np.add.at(ones, cell[start[whole]], part[whole])
+    return ones, n
