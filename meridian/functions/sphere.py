@@ -62,6 +62,8 @@ def clamp(x: Column, low, high) -> Column:
 
 
 def pick(condition: Column, a: Vec, b: Vec) -> Vec:
+    if isinstance(a, Bound) or isinstance(b, Bound):
+        return parts(F.when(condition, whole(a)).otherwise(whole(b)))
     return Vec(*(F.when(condition, p).otherwise(q) for p, q in zip(a, b)))
 
 
@@ -80,16 +82,28 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+class Bound(Vec):
+    """A vector whose components are fields of one struct column."""
+
+    struct: Column
+
+
+def parts(struct: Column) -> Vec:
+    out = Bound(struct["x"], struct["y"], struct["z"])
+    out.struct = struct
+    return out
+
+
+def whole(v: Vec) -> Column:
+    """v as a struct; that which it comes from, if any, so that nested formulas hold it once and not once a component."""
+    return v.struct if isinstance(v, Bound) else F.struct(*(c.alias(n) for c, n in zip(v, "xyz")))
+
+
 def bind_vec(value: Column | Vec, body) -> Vec:
     """bind for a column or a vector, where body gives a vector."""
     many = isinstance(value, Vec)
-    arg = F.struct(*(c.alias(n) for c, n in zip(value, "xyz"))) if many else value
-
-    def run(v):
-        return F.struct(*(c.alias(n) for c, n in zip(body(Vec(v["x"], v["y"], v["z"]) if many else v), "xyz")))
-
-    out = bind(arg, run)
-    return Vec(out["x"], out["y"], out["z"])
+    arg = whole(value) if many else value
+    return parts(bind(arg, lambda v: whole(body(Vec(v["x"], v["y"], v["z"]) if many else v))))
 
 
 def orthogonal(u: Vec, salt: Column | int) -> Vec:
