@@ -21,6 +21,7 @@ from meridian.llm.words import PIECE, U, encoded, mix, pair, pieces, spans, word
 BUCKETS = 1 << 16
 MAX_LABELLED = 50_000  #: labelled rows that the target model and k are fitted on, drawn by hash
 SMOOTH = 1.0
+WIDTH = 8
 
 
 _CLASS = np.full(256, 4, np.uint8)  #: of bytes: 0 punctuation, 1 digit, 2 upper, 3 lower, 4 beyond ASCII
@@ -35,7 +36,7 @@ def _buckets(a: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     shape = (_CLASS[a[start]].astype(U) << U(12)) | (_CLASS[a[end - 1]].astype(U) << U(8)) | (np.minimum(end - start, 15).astype(U) << U(4))
     shape |= (_CLASS[a[np.maximum(end - 2, start)]].astype(U) << U(16)) | U(1)
     h = word_hashes(a.tobytes())[0]
-    shape[1:] |= (h[1:] == h[:-1]).astype(U) << U(1)
+    shape[1:] |= ((h[1:] == h[:-1]) & (start[1:] - end[:-1] < 4)).astype(U) << U(1)  # texts of a block lie four bytes apart
     two = pair(shape[:-1], shape[1:])
     runs = [mix(shape), two, pair(two[:-1], shape[2:])] if len(shape) > 1 else [mix(shape)]
     return [(grams * np.uint32(0x9E3779B1)) >> np.uint32(16), *((r >> U(48)).astype(np.uint32) for r in runs)], [np.arange(len(a)), *(start[len(start) - len(r) :] for r in runs)]
@@ -93,14 +94,15 @@ def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return one.orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
-def fit(docs: DataFrame, sample: DataFrame, text: str = "text") -> np.ndarray:
+def fit(docs: DataFrame, sample: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """log(p_target / p_raw) of each bucket; counts of all documents. Zeros without any good document."""
-    good = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"], "left").select(F.col(text).alias("t"), F.coalesce("_good", F.lit(False)).alias("g"))
+    good = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("k") == sample["_id"], "left").select("t", F.coalesce("_good", F.lit(False)).alias("g"))
     counts = good.mapInArrow(_count, "raw binary, target binary")
-    width = 64
-    while counts.rdd.getNumPartitions() > width:  # tasks' sums meet in ever fewer tasks, not all on the driver
-        counts = counts.repartition(max(width, counts.rdd.getNumPartitions() // width)).mapInArrow(_sum_counts, "raw binary, target binary")
-    rows = counts.toLocalIterator()
+    left = good.rdd.getNumPartitions()
+    while left > WIDTH:  # tasks' sums meet in ever fewer tasks, the last WIDTH of a megabyte each on the driver
+        left = max(WIDTH, left // 64)
+        counts = counts.repartition(left).mapInArrow(_sum_counts, "raw binary, target binary")
+    rows = counts.collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
         raw += np.frombuffer(r["raw"], np.int64)
@@ -159,7 +161,7 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     small_batches(docs.sparkSession)
     sample = written(labelled_sample(labels))
-    weights = written(log_weights(docs, fit(docs, sample, text), key, text).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "row_hash")))
+    weights = written(log_weights(docs, fit(docs, sample, text, key), key, text).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "row_hash")))
     if share is None:
         share = sample.agg(F.avg(F.col("_kept").cast("double"))).first()[0]
         share = 1.0 if share is None else share

@@ -1,16 +1,15 @@
 """Line dedup: SimHashes of normalised lines, a join on pigeonhole blocks, edit similarity to decide; one line of each connected group stays.
 
-In the SimHash of a line each word votes in one of a few 64-bit blocks, chosen by the word's hash, not in all. So edits do not flip
-bits everywhere: a word replaced touches at most two blocks, one that comes or goes touches one, and all other blocks stay as they
-are. Lines meet where blocks agree: one block in long lines, three of six in short ones (BLOCKS), and in very short ones (TINY) all votes
-but those of any one word. Lines near the limit of two lengths do both. All pairs that meet are decided by edit similarity,
-except those whose whole SimHashes differ in over FAR bits, as unrelated lines do (32 on average).
+The SimHash of a line has BLOCKS blocks of 64 bits. Not all features of the line vote in a block, but the VOTERS that come first in
+the block's own orders of all features. So an edit does not flip bits everywhere, but leaves a block as it is unless it takes away
+or displaces one of its voters, and similar lines agree on some blocks. A feature is a word, with the next where it is short, as
+frequent words are. Lines meet where a block agrees; very short ones (TINY) where the votes of all words but any one do. All pairs
+that meet are decided by edit similarity, except those whose SimHashes of all words differ in over FAR bits, as those of
+unrelated lines do (32 on average).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +22,9 @@ from meridian.llm.words import U, bucket_of, docs_words, lane_votes, majority, m
 SIMILAR, MIN_WORDS = 0.8, 5
 FAR = 20
 TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
-#: Of lines of so many words: blocks, how many make a key, words, whether short words vote together with the next.
-BLOCKS = ((6, 3, (9, 22), False), (6, 1, (18, 44), True), (10, 1, (36, 1 << 40), True))
-ALONE = 4  #: bytes of the shortest word that votes by itself
-VOTES = 4  #: fewest votes in the blocks of a key: few words say little (a line of three or four words may have fewer)
+LONGER = 9  #: fewest words of the lines that meet under blocks
+BLOCKS, VOTERS = 10, 3
+ALONE = 6  #: bytes of the shortest word that is a feature by itself
 #: ASCII letters lower-cased, digits as 0; ASCII punctuation goes.
 _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else i for i in range(256))
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -107,10 +105,17 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
 
 
 _KIND = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))  #: tells keys of different blocks apart
+#: Orders of the features: each block's voters are the first in VOTERS orders.
+_ORDERS = [tuple(mix(np.array([2 * i + 101, 2 * i + 102], U) * U(0x9E3779B97F4A7C15)) | U(1)) for i in range(VOTERS * BLOCKS)]
+
+
+def _key(fp: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    return mix(fp ^ _KIND[0]) + mix(votes.astype(U) ^ _KIND[0])
 
 
-def _key(fp: np.ndarray, votes: np.ndarray, kind: int) -> np.ndarray:
-    return mix(fp ^ _KIND[kind]) + mix(votes.astype(U) ^ _KIND[kind + 1])
+def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The SimHash of three votes."""
+    return a & b | a & c | b & c
 
 
 def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,39 +123,28 @@ def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     of, keys, owner = np.repeat(np.arange(len(n)), n), [np.zeros(0, U)], [np.zeros(0, np.int64)]
     all_ones, _ = lane_votes(h, of, len(n))
     whole = majority(all_ones, n)
-
-    def add(key, line, votes):
-        ok = votes >= VOTES
-        keys.append(key[ok])
-        owner.append(line[ok])
-
     tiny = np.flatnonzero((n >= TINY[0]) & (n <= TINY[1]))
     if len(tiny):
-        add(_key(whole[tiny], n[tiny], 0), tiny, n[tiny] + VOTES)
+        keys.append(_key(whole[tiny], n[tiny]))
+        owner.append(tiny)
         word = np.flatnonzero((n[of] >= TINY[0]) & (n[of] <= TINY[1]))
         line = of[word]
         without = all_ones[line] - np.unpackbits(h[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        add(_key(majority(without, n[line] - 1), n[line] - 1, 0), line, n[line] + VOTES)
+        keys.append(_key(majority(without, n[line] - 1), n[line] - 1))
+        owner.append(line)
     # short words are the frequent ones: each votes together with the next
     vote = h.copy()
     if len(h) > 1:
         joined = np.flatnonzero((size[:-1] < ALONE) & (of[1:] == of[:-1]))
         vote[joined] = pair(h[joined], h[joined + 1])
-    for kind, (blocks, agree, (low, high), votes_of) in enumerate(BLOCKS):
-        some = np.flatnonzero((n >= low) & (n <= high))
-        if not len(some):
-            continue
-        at = np.zeros(len(n), np.int64)
-        at[some] = np.arange(len(some))
-        mine = (n[of] >= low) & (n[of] <= high)
-        v = (vote if votes_of else h)[mine]
-        ones, votes = lane_votes(v, at[of[mine]] * blocks + ((mix(v) >> U(32)) * U(blocks) >> U(32)).astype(np.int64), len(some) * blocks)
-        fp, votes = majority(ones, votes).reshape(-1, blocks), votes.reshape(-1, blocks)
-        for chosen in combinations(range(blocks), agree):
-            key = np.full(len(some), U(kind + 1))
-            for i in chosen:
-                key = mix(key + _key(fp[:, i], votes[:, i], i))
-            add(key, some, votes[:, list(chosen)].sum(1))
+    some = np.flatnonzero(n >= LONGER)
+    if len(some):
+        v = vote[n[of] >= LONGER]
+        start = np.cumsum(n[some]) - n[some]
+        for i in range(BLOCKS):
+            voter = [mix(np.minimum.reduceat((v ^ x) * y, start)) for x, y in _ORDERS[VOTERS * i : VOTERS * (i + 1)]]
+            keys.append(mix(_three(*voter) ^ _KIND[i + 1]))
+            owner.append(some)
     return whole, np.concatenate(keys), np.concatenate(owner)
 
 

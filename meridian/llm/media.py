@@ -45,8 +45,9 @@ def read_wav(media: bytes) -> bytes:
 
 def stft_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames and frequencies of each frame's strongest PEAKS local maxima, in time order; frames go through in blocks."""
-    if len(samples) < WINDOW:
-        samples = np.concatenate((samples, np.full(WINDOW - len(samples), 128, np.uint8)))
+    whole = max(WINDOW, -(-len(samples) // HOP) * HOP)  # silence up to a whole number of steps: every sample lies in a frame
+    if whole > len(samples):
+        samples = np.concatenate((samples, np.full(whole - len(samples), 128, np.uint8)))
     frames = np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
     taper = np.hanning(WINDOW)
     at, freq = [], []
@@ -66,7 +67,7 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     """Codes frame << 24 | first frequency << 16 | second frequency << 8 | frames between, for each peak and those up to AHEAD after it."""
     t, f = stft_peaks(samples)
     codes = []
-    for step in range(1, AHEAD * PEAKS + 1):
+    for step in range(1, (AHEAD + 1) * PEAKS):
         dt = t[step:] - t[:-step]
         ok = (dt > 0) & (dt <= AHEAD)
         codes.append((t[:-step][ok] << 24) | (f[:-step][ok] << 16) | (f[step:][ok] << 8) | dt[ok])
@@ -74,7 +75,10 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 
 def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, media (the WAV file), payload (its samples, read back), codes (array<long>). Null is the empty text."""
+    """key, n_bytes, media (the WAV file), payload (its samples, read back), codes (array<long>) of each row.
+
+    Null is the empty text; equal texts have equal values, repeats included; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 

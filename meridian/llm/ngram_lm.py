@@ -166,10 +166,7 @@ def _join_facts(folder: str):
         if by["c"]:
             h, *sums = summed(*map(np.concatenate, zip(*by["c"])))
             facts = np.stack(sums, 1)
-        try:
-            words, count = get_array(f"{folder}/count", name, "h"), get_array(f"{folder}/count", name, "c")
-        except FileNotFoundError:
-            words, count = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        words, count = get_array(f"{folder}/count", name, "h"), get_array(f"{folder}/count", name, "c")
         every = np.union1d(words, h)  # the start of a text is a context but not a word
         table = np.zeros((len(every), 6), np.uint64)
         table[np.searchsorted(every, words), 0] = count
@@ -194,12 +191,14 @@ def fit(docs: DataFrame, text: str = "text", bytes_per_bucket: int = 16 << 20, b
     folder = shared_dir(spark)
     texts = docs.select(F.col(text).alias("text"))
     buckets = buckets or max(1, -(-text_bytes(texts) // bytes_per_bucket))
-    blocks = texts.mapInArrow(_count_words(buckets), BLOCK).repartition(buckets, "bucket")
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))  # empty buckets get files too
+    none = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint32)]
+    blocks = texts.mapInArrow(_count_words(buckets), BLOCK).union(every.withColumn("payload", F.lit(pack(*none[:2])))).repartition(buckets, "bucket")
     seen = blocks.groupBy("bucket").applyInArrow(_join_words(folder), "bucket int, tokens long, words long, top array<long>, top_count array<long>").collect()
     tokens, vocabulary = sum(r.tokens for r in seen), sum(r.words for r in seen)
     limit = max(1, tokens // (4 * buckets))
     hot = tuple(sorted({int(np.int64(h).view(np.uint64)) for r in seen for h, c in zip(r.top, r.top_count) if c > limit} | {int(START)})) if buckets > 1 else ()
-    pairs = texts.mapInArrow(_count_bigrams(buckets, hot), BLOCK).repartition(buckets, "bucket")
+    pairs = texts.mapInArrow(_count_bigrams(buckets, hot), BLOCK).union(every.withColumn("payload", F.lit(pack(*none)))).repartition(buckets, "bucket")
     facts = pairs.groupBy("bucket").applyInArrow(_join_bigrams(folder, buckets), "kind string, " + BLOCK)
     sums = facts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_facts(folder), "sums array<long>").collect()
     s = [sum(r.sums[i] for r in sums) for i in range(10)]
@@ -212,10 +211,7 @@ def _find(folder: str, kind: str, key: str, q: np.ndarray, bucket: np.ndarray) -
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for i, j in zip(cut, [*cut[1:], len(q)]):
         name = str(bucket[i])
-        try:
-            have = get_array(f"{folder}/{kind}", name, key)
-        except FileNotFoundError:
-            continue
+        have = get_array(f"{folder}/{kind}", name, key)
         if not len(have):
             continue
         at = np.minimum(np.searchsorted(have, q[i:j]), len(have) - 1)

@@ -5,7 +5,8 @@ strings in a string of LENGTH bytes, the one with the least hash is its anchor,
 An anchor whose gram occurs once has no repeats around it. One whose gram always comes with the same surroundings
 (the strings that it anchors, as one span) repeats as a whole. Only where the surroundings differ are suffixes sorted: cut
 to LENGTH bytes, range-partitioned by sampled splitters, sorted in their bucket by multikey quicksort, equal neighbours
-marked. Splitters are compared with the leading bytes only, so equal strings never fall on two sides of a boundary.
+marked. Splitters are compared with the gram, or with the whole of a string that is dealt by itself (as those of grams with many
+surroundings are), so equal strings never fall on two sides of a boundary, and long common heads do not share one bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from meridian.llm.words import _INV, U, bucket_of, mix, powers, rolling
 
 LENGTH, GRAM = 200, 128
 SPAN = 1 << 19  #: window starts that are worked on at once
-HEAD = 16  #: leading bytes that splitters look at
 SAMPLE = 20_000  #: heads that splitters are drawn from, at most
 KEEP = 2_000_000
 
@@ -169,7 +169,11 @@ def _join_spans(folder: str, buckets: int):
 
     def run(key, group):
         name = str(key[0].as_py())
-        g, s, c = _distinct(*map(np.concatenate, zip(*(unpack(x) for x in group["payload"].to_pylist()))))
+        parts = [unpack(x) for x in group["payload"].to_pylist() if x is not None]
+        if not parts:
+            put_arrays(f"{folder}/spans", name, h=np.zeros(0, U))
+            return pa.table({"bucket": pa.nulls(0, pa.int32()), "payload": pa.nulls(0, pa.binary())})
+        g, s, c = _distinct(*map(np.concatenate, zip(*parts)))
         put_arrays(f"{folder}/spans", name, h=np.unique(mix(g ^ s)[c > 1]))
         first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         spans = np.diff(first, append=len(g)).astype(np.uint32)
@@ -184,7 +188,10 @@ def _join_grams(folder: str):
     """Writes the grams that occur twice or more, with their numbers of spans."""
 
     def run(key, group):
-        parts = [unpack(x) for x in group["payload"].to_pylist()]
+        parts = [unpack(x) for x in group["payload"].to_pylist() if x is not None]
+        if not parts:
+            put_arrays(f"{folder}/grams", str(key[0].as_py()), h=np.zeros(0, U), spans=np.zeros(0, np.uint32))
+            return pa.table({"n": pa.array([0], pa.int64())})
         g, spans, seen = map(np.concatenate, zip(*parts))
         order = np.argsort(g)
         g, spans, seen = g[order], spans[order].astype(np.uint64), seen[order].astype(np.uint64)
@@ -203,10 +210,7 @@ def _look(folder: str, kind: str, q: np.ndarray, buckets: int, value: str | None
     bucket = bucket_of(h, buckets)
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for i, j in zip(cut, [*cut[1:], len(h)]):
-        try:
-            have = get_array(f"{folder}/{kind}", str(bucket[i]), "h")
-        except FileNotFoundError:
-            continue
+        have = get_array(f"{folder}/{kind}", str(bucket[i]), "h")
         if len(have):
             at = np.minimum(np.searchsorted(have, h[i:j]), len(have) - 1)
             hit = np.asarray(have[at]) == h[i:j]
@@ -216,7 +220,7 @@ def _look(folder: str, kind: str, q: np.ndarray, buckets: int, value: str | None
 
 def _candidates(folder: str, buckets: int, length: int, gram_size: int, hot: int):
     """Rows of RECORD. kind 0: bytes from start on, n of them, that go. kind 1: a body with n strings to be compared, sorted under
-    the suffix that begins at off; rk is null if the strings are there for others' sake only."""
+    the suffix that begins at off (-1: under the string itself, of `length` bytes); rk is null if the strings are there for others' sake only."""
 
     def run(batches):
         given: set[int] = set()
@@ -230,7 +234,7 @@ def _candidates(folder: str, buckets: int, length: int, gram_size: int, hot: int
             """Strings of very frequent grams: equal ones in this task are settled here and go on as one."""
             for body, where in single.items():
                 rows += [(0, rk, s, length, 0, None) for rk, s in where if rk is not None and len(where) > 1]
-                rows.append((1, None, 0, 1, 0, body) if len(where) > 1 else (1, *where[0], 1, 0, body))
+                rows.append((1, None, 0, 1, -1, body) if len(where) > 1 else (1, *where[0], 1, -1, body))
             single.clear()
 
         for batch in slices(batches):
@@ -273,14 +277,14 @@ def _candidates(folder: str, buckets: int, length: int, gram_size: int, hot: int
     return run
 
 
-def _deal(splitters: list[bytes]):
+def _deal(splitters: list[bytes], length: int, gram: int):
     """The bucket of a record: where the leading bytes of its suffix fall among the splitters."""
 
     def run(batches):
-        at = np.array(splitters, f"S{HEAD}")
-        for batch in batches:
-            heads = [b[o : o + HEAD] for b, o in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist())]
-            bucket = np.searchsorted(at, np.array(heads, f"S{HEAD}"), side="right") if heads else np.zeros(0, np.int64)
+        at = np.array(splitters, f"S{length}")
+        for batch in slices(batches, 10_000):
+            heads = [b[:length] if o < 0 else b[o : o + gram] for b, o in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist())]
+            bucket = np.searchsorted(at, np.array(heads, f"S{length}"), side="right") if heads else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket.astype(np.int32), pa.int32())], names=["kind", "rk", "start", "n", "off", "body", "bucket"])
 
     return run
@@ -307,8 +311,9 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(text).alias("t"))
     folder, buckets = shared_dir(spark), max(1, -(-text_bytes(docs, text) // bytes_per_bucket))
     block = "bucket int, payload binary"
-    spans = d.select("t").mapInArrow(_count_spans(buckets, length, gram), block).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_spans(folder, buckets), block)
-    spans.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_grams(folder), "n long").agg(F.sum("n")).first()
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast("binary").alias("payload"))  # empty buckets get files too
+    spans = d.select("t").mapInArrow(_count_spans(buckets, length, gram), block).union(every).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_spans(folder, buckets), block)
+    spans.union(every).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_grams(folder), "n long").agg(F.sum("n")).first()
     found = written(d.mapInArrow(_candidates(folder, buckets, length, gram, hot), RECORD))
     settled = found.where("kind = 0").select("rk", "start", "n")
     # bodies that stand for others come from many tasks: one of each is enough
@@ -317,11 +322,12 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     size = open_.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("bytes")).first()
     if not size["rows"]:
         return settled
-    parts = max(1, -(-size["bytes"] // (bytes_per_bucket // 4)))
-    sample = open_.sample(min(1.0, SAMPLE / size["rows"]), seed=1).select(F.expr(f"substring(body, off + 1, {HEAD})").alias("head")).limit(2 * SAMPLE).collect()
+    parts = max(-(-size["bytes"] // (bytes_per_bucket // 4)), min(size["rows"] // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
+    head = F.expr(f"CASE WHEN off < 0 THEN substring(body, 1, {length}) ELSE substring(body, off + 1, {gram}) END")
+    sample = open_.sample(min(1.0, SAMPLE / size["rows"]), seed=1).select(head.alias("head")).limit(2 * SAMPLE).collect()
     heads = sorted(bytes(r["head"]) for r in sample)
     splitters = sorted({heads[len(heads) * i // parts] for i in range(1, parts)}) if heads else []
-    dealt = open_.mapInArrow(_deal(splitters), RECORD + ", bucket int").repartition(len(splitters) + 1, "bucket")
+    dealt = open_.mapInArrow(_deal(splitters, length, gram), RECORD + ", bucket int").repartition(len(splitters) + 1, "bucket")
     return settled.union(dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), "rk long, start long, n int"))
 
 
