@@ -68,9 +68,9 @@ def _tree_pairs(radius: int):
     return run
 
 
-def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int, limit: int, tree: bool = False) -> DataFrame:
+def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False) -> DataFrame:
     """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp).
-    A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits.
+    A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits (a number, or SQL over the sizes nx, ny).
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
     component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part). So a

@@ -1,11 +1,11 @@
 """Line dedup: SimHashes of normalised lines, a join on pigeonhole blocks, edit similarity to decide; one line of each connected group stays.
 
-The SimHash of a line has BLOCKS blocks of 64 bits. Not all features of the line vote in a block, but the VOTERS that come first in
+The SimHash of a line has BLOCKS blocks of 64 bits. Not all features of the line vote in a block, but the three that come first in
 the block's own orders of all features. So an edit does not flip bits everywhere, but leaves a block as it is unless it takes away
 or displaces one of its voters, and similar lines agree on some blocks. A feature is a word, with the next where it is short, as
 frequent words are. Lines meet where a block agrees; very short ones (TINY) where the votes of all words but any one do. All pairs
-that meet are decided by edit similarity, except those whose SimHashes of all words differ in over FAR bits, as those of
-unrelated lines do (32 on average).
+that meet are decided by edit similarity, except those whose SimHashes of all words differ in over FAR or FAR_LONG bits: unrelated
+lines differ in 32 on average, lines with one word in ten replaced in 9.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from meridian.llm.shared import fresh, in_set, pack, put_set, skew_join, slices,
 from meridian.llm.words import U, bucket_of, docs_words, lane_votes, majority, mix, pair
 
 SIMILAR, MIN_WORDS = 0.8, 5
-FAR = 20
+FAR, FAR_LONG, LENGTHY = 20, 14, 100  #: most bits that may differ, the same for lines of LENGTHY characters or more
 TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
 LONGER = 9  #: fewest words of the lines that meet under blocks
-BLOCKS, VOTERS = 10, 3
+BLOCKS = 10
 ALONE = 6  #: bytes of the shortest word that is a feature by itself
 #: ASCII letters lower-cased, digits as 0; ASCII punctuation goes.
 _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else i for i in range(256))
@@ -105,8 +105,8 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
 
 
 _KIND = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))  #: tells keys of different blocks apart
-#: Orders of the features: each block's voters are the first in VOTERS orders.
-_ORDERS = [tuple(mix(np.array([2 * i + 101, 2 * i + 102], U) * U(0x9E3779B97F4A7C15)) | U(1)) for i in range(VOTERS * BLOCKS)]
+#: Orders of the features: each block's voters are the first in three orders.
+_ORDERS = [(x, y, U(pow(int(y), -1, 1 << 64))) for x, y in (mix(np.array([2 * i + 101, 2 * i + 102], U) * U(0x9E3779B97F4A7C15)) | U(1) for i in range(4 * BLOCKS))]
 
 
 def _key(fp: np.ndarray, votes: np.ndarray) -> np.ndarray:
@@ -142,9 +142,13 @@ def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
         v = vote[n[of] >= LONGER]
         start = np.cumsum(n[some]) - n[some]
         for i in range(BLOCKS):
-            voter = [mix(np.minimum.reduceat((v ^ x) * y, start)) for x, y in _ORDERS[VOTERS * i : VOTERS * (i + 1)]]
-            keys.append(mix(_three(*voter) ^ _KIND[i + 1]))
-            owner.append(some)
+            voter = [mix((np.minimum.reduceat((v ^ x) * y, start) * back) ^ x) for x, y, back in _ORDERS[4 * i : 4 * i + 4]]
+            *voter, other = voter  # a fourth stands in where two are the same
+            voter[1] = np.where(voter[1] == voter[0], other, voter[1])
+            voter[2] = np.where((voter[2] == voter[0]) | (voter[2] == voter[1]), other, voter[2])
+            ok = (voter[0] != voter[1]) & (voter[0] != voter[2]) & (voter[1] != voter[2])  # one or two features say little
+            keys.append(mix(_three(*voter) ^ _KIND[i + 1])[ok])
+            owner.append(some[ok])
     return whole, np.concatenate(keys), np.concatenate(owner)
 
 
@@ -265,7 +269,7 @@ def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, bucket
         one, other = (forms.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
 
-    return linked_in_shards(skew_join(met, known, "sig"), decided, SIMILAR, FAR, limit)
+    return linked_in_shards(skew_join(met, known, "sig"), decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit)
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
