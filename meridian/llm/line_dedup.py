@@ -34,8 +34,8 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.translate(_TABLE, _GONE).split())
 
 
-def levenshtein(a: str, b: str) -> int:
-    """Edits between strings, a column of the table as bits of one number at a time."""
+def levenshtein(a: str, b: str, most: int | None = None) -> int:
+    """Edits between strings, a column of the table as bits of one number at a time; once over `most` is sure, any number over it."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -45,7 +45,8 @@ def levenshtein(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     ones, top = (1 << len(b)) - 1, 1 << len(b) - 1
     up, down, far = ones, 0, len(b)
-    for c in a:
+    end = len(a) + (len(a) + len(b) if most is None else most)
+    for i, c in enumerate(a, 1):
         eq = at.get(c, 0)
         x = eq | down
         d0 = (((x & up) + up) ^ up) | x
@@ -54,6 +55,8 @@ def levenshtein(a: str, b: str) -> int:
             far += 1
         elif left & top:
             far -= 1
+        if far + i > end:  # each column to come takes off one at most
+            return far + i - len(a)
         right = (right << 1 | 1) & ones
         up, down = (left << 1 & ones) | (ones & ~(d0 | right)), right & d0
     return far
@@ -101,7 +104,7 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     while j < n and a[-1 - j] == b[-1 - j]:
         j += 1
     a, b = a[: len(a) - j], b[: len(b) - j]
-    return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b) <= allowed
+    return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b, allowed) <= allowed
 
 
 _KIND = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))  #: tells keys of different blocks apart
@@ -174,7 +177,7 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.
     return np.repeat(np.arange(len(texts)), n), np.arange(len(forms)) - np.repeat(np.cumsum(n) - n, n), forms, h
 
 
-FLUSH = 1 << 20  #: keys that a task holds before it sends them on
+FLUSH = 1 << 18  #: keys that a task holds before it sends them on
 
 
 def _measure(min_words: int, buckets: int):
@@ -284,7 +287,7 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WO
     per = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.min("size").alias("size"), F.min("fp").alias("fp")))
     groups = components(_line_links(d.select("t"), per, packed, buckets))
     of = per.join(groups.select(F.col("id").alias("h"), "component"), "h", "left")
-    of = written(of.select("h", "n", "place", F.coalesce("component", "h").alias("group")))
+    of = written(of.where("n > 1 OR component IS NOT NULL").select("h", "n", "place", F.coalesce("component", "h").alias("group")))
     first = of.groupBy("group").agg(F.sum("n").alias("all"), F.min("place").alias("first")).where("all > 1").select("group", "first")
     stays = written(skew_join(of.select("h", "n", "group"), first, "group").select("h", "n", "first"))
     gone = skew_join(lines.select("rk", "line", "h", "k"), stays.select("h", "first"), "h", stays.select("h", "n"))

@@ -120,8 +120,10 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 def slices(batches, rows: int = 256, most: int = 1 << 23):
     """Arrow batches cut into parts of at most `rows` rows and about `most` bytes of text, so that Python objects exist for few documents at a time.
 
-    At the end Arrow gives back what it no longer uses: workers live on for later tasks.
+    At the end Arrow and the C library give back what they no longer use: workers live on for later tasks.
     """
+    import ctypes
+
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -137,6 +139,9 @@ def slices(batches, rows: int = 256, most: int = 1 << 23):
             yield batch.slice(i, n)
             i += n
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, spread: int = 200) -> DataFrame:
