@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import sphere as S
 from meridian.operators.ranking import gate, mid_rank
+from meridian.sources.state import checkpointed
 
 
 def weighted_mean(points: DataFrame, *group: str, weight: str = "w") -> DataFrame:
@@ -22,16 +23,37 @@ def weighted_mean(points: DataFrame, *group: str, weight: str = "w") -> DataFram
     return g.select(*group, *(c.alias(n) for c, n in zip(m, "xyz")))
 
 
-def medoid(points: DataFrame, group: str, sample: int = 2048) -> DataFrame:
-    """(group, idx): the point with the least sum of angles to those of its group, ties to the lesser idx.
+CELL, SALTS = 0.125, 32  #: side of the cubes that hold points close to each other; parts that the rows of a group are dealt to
 
-    Each point is measured against the group's first `sample` points by a hash; groups of no more than that are exact.
+
+def _meet(points: DataFrame, few: DataFrame, group: str) -> DataFrame:
+    """points joined with few rows a group: those are repeated SALTS times, so that a large group is spread over tasks."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    one = points.withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(SALTS)).cast("int"))
+    return one.join(salted.withColumnRenamed(group, "_few"), (F.col(group).eqNullSafe(F.col("_few"))) & (one["_salt"] == salted["_salt"])).drop("_few", "_salt")
+
+
+def medoid(points: DataFrame, group: str) -> DataFrame:
+    """(group, idx): the point with the least sum of angles to those of its group, ties (of sums rounded to 9 digits) to the lesser idx.
+
+    A point stands for each cube of side CELL; as the sphere has fewer than 13 / CELL^2 such cubes, a group has a bounded
+    number. Sums with a cube's points at its place are off by no more than the sum of all points' angles to their cubes'
+    (triangle inequality), so only points within twice that of the least can be the medoid, and only those meet all points.
     """
-    w = Window.partitionBy(group).orderBy(F.xxhash64("idx"), "idx")
-    against = points.withColumn("_r", F.row_number().over(w)).where(f"_r <= {sample}").select(group, *(F.col(c).alias(f"o{c}") for c in "xyz"))
-    packed = against.groupBy(group).agg(F.collect_list(F.struct("ox", "oy", "oz")).alias("_o"))
-    d = F.aggregate("_o", F.lit(0.0), lambda s, o: s + S.angle(S.vec(), S.Vec(o["ox"], o["oy"], o["oz"])))
-    return points.join(packed, group).withColumn("_d", F.round(d, 9)).groupBy(group).agg(F.min_by("idx", F.struct("_d", "idx")).alias("idx"))
+    cube = F.array(*(F.floor(F.col(c) / CELL) for c in "xyz"))
+    p = points.select(group, "idx", "x", "y", "z", cube.alias("_c"))
+    at = p.groupBy(group, "_c").agg(F.min(F.struct("idx", "x", "y", "z")).alias("o"))
+    cells = checkpointed(at.select(F.col(group).alias("_g"), F.col("_c").alias("_k"), *(F.col(f"o.{c}").alias(f"o{c}") for c in "xyz")))
+    near = p.join(cells, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_c") == F.col("_k")))
+    near = checkpointed(near.groupBy("_g", "_k", "ox", "oy", "oz").agg(F.count("*").alias("n"), F.sum(S.angle(S.vec("o"), S.vec())).alias("off")))
+    packed = near.groupBy(F.col("_g").alias(group)).agg(F.collect_list(F.struct("ox", "oy", "oz", "n")).alias("_o"), F.sum("off").alias("_off"))
+    about = F.aggregate("_o", F.lit(0.0), lambda s, o: s + o["n"] * S.angle(S.vec(), S.Vec(o["ox"], o["oy"], o["oz"])))
+    rough = checkpointed(_meet(p.drop("_c"), packed, group).select(group, "idx", "x", "y", "z", about.alias("_about"), "_off"))
+    least = rough.groupBy(F.col(group).alias("_g")).agg(F.min("_about").alias("_least"))
+    some = rough.join(least, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_about") <= F.col("_least") + 2 * F.col("_off") + 1e-6)
+    some = some.select(group, F.col("idx").alias("_idx"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    sums = _meet(p.drop("_c"), some, group).groupBy(group, "_idx").agg(F.round(F.sum(S.angle(S.vec("o"), S.vec())), 9).alias("_d"))
+    return sums.groupBy(group).agg(F.min_by("_idx", F.struct("_d", "_idx")).alias("idx"))
 
 
 def coverage(points: DataFrame, *group: str) -> DataFrame:
@@ -95,25 +117,25 @@ def port_scores(facts: DataFrame, low: float = 0.2, high: float = 0.65) -> DataF
 
 
 def separated_top(scores: DataFrame, group: str, apart: float, capacity: int) -> DataFrame:
-    """Of each group, greedily by score, coherence, mass, node: those at least `apart` from all taken before, up to `capacity`.
+    """Of each group, greedily by score, coherence, mass (high first, nulls last), node: those at least `apart` from all taken before, up to `capacity`.
 
-    The order decides, so each group is walked in one task; groups are top-level folders, a bounded number of candidates each.
+    A round takes one row of every group that has one left, by a grouped minimum, so no group is in one task; only the
+    rows taken, at most `capacity` a group, are kept between rounds.
     """
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "coherence", "mass", "node"], ascending=[False, False, False, True])
-        taken: list[np.ndarray] = []
-        rows = []
-        for r in g.itertuples(index=False):
-            v = np.array([r.x, r.y, r.z])
-            if all(np.arctan2(np.linalg.norm(np.cross(v, t)), np.clip(v @ t, -1, 1)) >= apart for t in taken):
-                taken.append(v)
-                rows.append(r)
-                if len(rows) == capacity:
-                    break
-        return pd.DataFrame(rows, columns=g.columns)
-
-    return scores.groupBy(group).applyInPandas(walk, scores.schema)
+    rows = checkpointed(scores)
+    rank = F.struct(*(F.coalesce(-F.col(c), F.lit(float("inf"))) for c in ("score", "coherence", "mass")), F.col("node"))
+    taken = None
+    for _ in range(capacity):
+        left = rows
+        if taken is not None:
+            before = taken.groupBy(F.col(group).alias("_g")).agg(F.collect_list(F.struct("x", "y", "z")).alias("_t"))
+            far = F.forall("_t", lambda t: S.angle(S.vec(), S.Vec(t["x"], t["y"], t["z"])) >= apart)
+            left = rows.join(before, F.col(group).eqNullSafe(F.col("_g"))).where(far).select(*rows.columns)
+        best = checkpointed(left.groupBy(F.col(group).alias("_g")).agg(F.min_by(F.struct(*rows.columns), rank).alias("_b")).select("_b.*"))
+        if best.isEmpty():
+            break
+        taken = best if taken is None else taken.union(best)
+    return taken if taken is not None else rows
 
 
 def best_rotation(pairs: DataFrame) -> np.ndarray:

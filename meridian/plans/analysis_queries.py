@@ -12,7 +12,7 @@ from meridian.operators import diff as D
 from meridian.operators import graph as G
 from meridian.operators import indexing, layout, ranking, spatial, traversal, validation
 from meridian.plans.base_sql import with_
-from meridian.plans.graph_queries import early_edges, early_nodes, full_edges, owners
+from meridian.plans.graph_queries import full_edges, full_nodes, owners
 from meridian.sources import tables as T
 from meridian.streaming import changes
 
@@ -45,9 +45,9 @@ def ang(a: str, b: str) -> str:
     return ANG.format(a=a, b=b)
 
 
-# I: traversal, on the early links
-ARCS = "arcs AS (SELECT src_id AS src, dst_id AS dst FROM early UNION SELECT dst_id, src_id FROM early)"
-ENDS = "st AS (SELECT min(src_id) AS s, max(dst_id) AS t FROM early)"
+# I: traversal
+ARCS = "arcs AS (SELECT src_id AS src, dst_id AS dst FROM edges UNION SELECT dst_id, src_id FROM edges)"
+ENDS = "st AS (SELECT min(src_id) AS s, max(dst_id) AS t FROM edges)"
 
 
 def bfs_sql(name: str, seed: str, depth: int) -> str:
@@ -59,63 +59,60 @@ def bfs_sql(name: str, seed: str, depth: int) -> str:
 
 
 def ends_of(spark, d):
-    return early_edges(spark, d).agg(F.min("src_id").alias("s"), F.max("dst_id").alias("t")).first()
+    return full_edges(spark, d).agg(F.min("src_id").alias("s"), F.max("dst_id").alias("t")).first()
 
 
-@query("i2_bfs_distances", with_("early") + f", {ARCS}, {ENDS}, {bfs_sql('r', 'SELECT s AS id FROM st', 10)} SELECT id, distance FROM r10")
+@query("i2_bfs_distances", with_("edges") + f", {ARCS}, {ENDS}, {bfs_sql('r', 'SELECT s AS id FROM st', 10)} SELECT id, distance FROM r10")
 def _(spark, d):
-    return traversal.distances(traversal.both_ways(early_edges(spark, d)), spark.createDataFrame([(ends_of(spark, d)["s"],)], "id string"))
+    return traversal.distances(traversal.both_ways(full_edges(spark, d)), spark.createDataFrame([(ends_of(spark, d)["s"],)], "id string"))
 
 
-@query("i1_m15_shortest_path_union", with_("early") + f""", {ARCS}, {ENDS}, {bfs_sql('p', 'SELECT s AS id FROM st', 10)}, {bfs_sql('q', 'SELECT t AS id FROM st', 10)},
+@query("i1_m15_shortest_path_union", with_("edges") + f""", {ARCS}, {ENDS}, {bfs_sql('p', 'SELECT s AS id FROM st', 10)}, {bfs_sql('q', 'SELECT t AS id FROM st', 10)},
     far AS (SELECT distance AS n FROM p10, st WHERE id = t), onp AS (SELECT a.id, a.distance AS da FROM p10 a JOIN q10 b ON a.id = b.id, far WHERE a.distance + b.distance = far.n)
-    SELECT 'node' AS kind, id AS src, NULL::VARCHAR AS dst, n AS distance FROM onp, far UNION ALL SELECT 'edge', e.src_id, e.dst_id, n FROM early e JOIN onp a ON e.src_id = a.id JOIN onp b ON e.dst_id = b.id, far WHERE abs(a.da - b.da) = 1""")
+    SELECT 'node' AS kind, id AS src, NULL::VARCHAR AS dst, n AS distance FROM onp, far UNION ALL SELECT 'edge', e.src_id, e.dst_id, n FROM edges e JOIN onp a ON e.src_id = a.id JOIN onp b ON e.dst_id = b.id, far WHERE abs(a.da - b.da) = 1""")
 def _(spark, d):
     e = ends_of(spark, d)
-    return traversal.shortest_path_union(early_edges(spark, d), e["s"], e["t"])
+    return traversal.shortest_path_union(full_edges(spark, d), e["s"], e["t"])
 
 
-@query("i3_refresh_plan", with_("early", "notes") + f""", {ARCS}, n AS (SELECT id, NOT id LIKE '%7.md' AS existing FROM notes), {bfs_sql('r', "SELECT id FROM n WHERE NOT existing OR id LIKE '%11.md'", 2)}
+@query("i3_refresh_plan", with_("edges", "notes") + f""", {ARCS}, n AS (SELECT id, NOT id LIKE '%7.md' AS existing FROM notes), {bfs_sql('r', "SELECT id FROM n WHERE NOT existing OR id LIKE '%11.md'", 2)}
     SELECT n.id, coalesce(distance, -1) AS hop, NOT existing AS warm_up, distance IS NOT NULL AS movable, existing AND distance IS NULL AS hard_fixed, round(CASE WHEN existing AND distance IS NOT NULL THEN 0.8 * (0.45 + 0.55 * distance / 2.0) ELSE 0 END, 9)::DOUBLE AS anchor FROM n LEFT JOIN r2 ON n.id = r2.id""")
 def _(spark, d):
     n = T.notes(spark, d).select(F.col("path").alias("id"), (~F.col("path").endswith("7.md")).alias("existing"))
-    return traversal.refresh_plan(n, early_edges(spark, d), n.where(F.col("id").endswith("11.md")).select("id"), 2).withColumns({"anchor": F.round("anchor", 9), "hop": F.coalesce("hop", F.lit(-1))})
+    return traversal.refresh_plan(n, full_edges(spark, d), n.where(F.col("id").endswith("11.md")).select("id"), 2).withColumns({"anchor": F.round("anchor", 9), "hop": F.coalesce("hop", F.lit(-1))})
 
 
-SPARSE = "sparse AS (SELECT least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b FROM early WHERE weight >= 2)"
+def linked(spark, d):
+    return full_edges(spark, d).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
 
 
-def sparse(spark, d):
-    return early_edges(spark, d).where("weight >= 2").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-
-
-@query("i4_i7_components", with_("early", recursive=True) + f", {SPARSE}, w AS (SELECT a AS x, b AS y FROM sparse UNION SELECT b, a FROM sparse), reach AS (SELECT x AS id, x AS m FROM w UNION SELECT w.y, r.m FROM reach r JOIN w ON r.id = w.x WHERE r.m < w.y) SELECT id, min(m) AS component FROM reach GROUP BY id")
+@query("i4_i7_components", with_("edges", recursive=True) + ", w AS (SELECT src_id AS x, dst_id AS y FROM edges UNION SELECT dst_id, src_id FROM edges), reach AS (SELECT x AS id, x AS m FROM w UNION SELECT w.y, r.m FROM reach r JOIN w ON r.id = w.x WHERE r.m < w.y) SELECT id, min(m) AS component FROM reach GROUP BY id")
 def _(spark, d):
-    return traversal.components(sparse(spark, d))
+    return traversal.components(linked(spark, d))
 
 
-@query("i5_component_sizes", with_("early", recursive=True) + f", {SPARSE}, k AS (SELECT * FROM sparse WHERE a LIKE 'A%' AND b LIKE 'A%'), w AS (SELECT a AS x, b AS y FROM k UNION SELECT b, a FROM k), reach AS (SELECT x AS id, x AS m FROM w UNION SELECT w.y, r.m FROM reach r JOIN w ON r.id = w.x WHERE r.m < w.y) SELECT component, count(*) AS n FROM (SELECT id, min(m) AS component FROM reach GROUP BY id) GROUP BY component")
+@query("i5_component_sizes", with_("edges", recursive=True) + ", k AS (SELECT src_id AS a, dst_id AS b FROM edges WHERE regexp_extract(src_id, '^[^/]*', 0) = regexp_extract(dst_id, '^[^/]*', 0)), w AS (SELECT a AS x, b AS y FROM k UNION SELECT b, a FROM k), reach AS (SELECT x AS id, x AS m FROM w UNION SELECT w.y, r.m FROM reach r JOIN w ON r.id = w.x WHERE r.m < w.y) SELECT component, count(*) AS n FROM (SELECT id, min(m) AS component FROM reach GROUP BY id) GROUP BY component")
 def _(spark, d):
-    return traversal.component_sizes(sparse(spark, d).where("src LIKE 'A%' AND dst LIKE 'A%'"))
+    return traversal.component_sizes(linked(spark, d).where(P.top_folder(F.col("src")) == P.top_folder(F.col("dst"))))
 
 
-@query("i8_bounded_weights", with_("early") + f"SELECT src_id AS a, dst_id AS b, {rs('least(4.0, 0.75 + ln(1 + weight))', 'w')} FROM early UNION ALL SELECT dst_id, src_id, {rs('least(4.0, 0.75 + ln(1 + weight))', 'w')} FROM early")
+@query("i8_bounded_weights", with_("edges") + f"SELECT src_id AS a, dst_id AS b, {rs('least(4.0, 0.75 + ln(1 + weight))', 'w')} FROM edges UNION ALL SELECT dst_id, src_id, {rs('least(4.0, 0.75 + ln(1 + weight))', 'w')} FROM edges")
 def _(spark, d):
-    e = early_edges(spark, d).select("src_id", "dst_id", r6(traversal.bounded_weight(F.col("weight")), "w"))
+    e = full_edges(spark, d).select("src_id", "dst_id", r6(traversal.bounded_weight(F.col("weight")), "w"))
     return e.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "w").union(e.select("dst_id", "src_id", "w"))
 
 
 def membership_sql(passes: int) -> str:
-    out = ["arcs AS (SELECT src_id AS id, dst_id AS other, least(4.0, 0.75 + ln(1 + weight)) AS bw FROM early UNION ALL SELECT dst_id, src_id, least(4.0, 0.75 + ln(1 + weight)) FROM early)", "m0 AS (SELECT id, regexp_extract(id, '^[^/]*', 0) AS owner FROM notes WHERE id LIKE '%Supplier%' OR id LIKE '%1.md')"]
+    out = ["arcs AS (SELECT src_id AS id, dst_id AS other, least(4.0, 0.75 + ln(1 + weight)) AS bw FROM edges UNION ALL SELECT dst_id, src_id, least(4.0, 0.75 + ln(1 + weight)) FROM edges)", "m0 AS (SELECT id, regexp_extract(id, '^[^/]*', 0) AS owner FROM notes WHERE id LIKE '%Supplier%' OR id LIKE '%1.md')"]
     for i in range(passes):
         out += [f"t{i} AS (SELECT a.id, m.owner, round(sum(bw), 9) AS w, count(*) AS n FROM arcs a JOIN m{i} m ON a.other = m.id WHERE a.id NOT IN (SELECT id FROM m{i}) GROUP BY 1, 2)", f"k{i} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, owner) AS r, sum(w) OVER (PARTITION BY id) AS whole, lead(w) OVER (PARTITION BY id ORDER BY w DESC, owner) AS nxt FROM t{i})", f"m{i + 1} AS (SELECT * FROM m{i} UNION ALL SELECT id, owner FROM k{i} WHERE r = 1 AND n >= 2 AND w >= 2.4 AND w >= 0.56 * whole AND w >= 1.35 * coalesce(nxt, 0))"]
     return ", ".join(out)
 
 
-@query("i15_membership", with_("early", "notes") + f", {membership_sql(4)} SELECT id, owner FROM m4")
+@query("i15_membership", with_("edges", "notes") + f", {membership_sql(4)} SELECT id, owner FROM m4")
 def _(spark, d):
     m = T.notes(spark, d).where("path LIKE '%Supplier%' OR path LIKE '%1.md'").select(F.col("path").alias("id"), P.top_folder(F.col("path")).alias("owner"))
-    return traversal.complete_membership(early_edges(spark, d), m)
+    return traversal.complete_membership(full_edges(spark, d), m)
 
 
 @query("i22_common_neighbours", "WITH b AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), pairs AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)) SELECT pairs.a, pairs.b, count(y.s) AS n FROM pairs LEFT JOIN b x ON pairs.a = x.p LEFT JOIN b y ON pairs.b = y.p AND x.s = y.s GROUP BY 1, 2")
@@ -143,9 +140,9 @@ def _(spark, d):
     return ranking.apportion(T.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("owner")).agg(F.count("*").alias("n")), 1000, 5)
 
 
-@query("f3_top_labels", with_("early_nodes", offers="SELECT id, CASE WHEN id LIKE '%11.md' THEN 1 ELSE 3 END AS priority FROM early_nodes WHERE id LIKE '%1.md'") + "SELECT n.id, coalesce(priority, 7) AS priority, degree FROM early_nodes n LEFT JOIN offers o ON n.id = o.id ORDER BY 2, degree DESC, n.id LIMIT 40")
+@query("f3_top_labels", with_("nodes", offers="SELECT id, CASE WHEN id LIKE '%11.md' THEN 1 ELSE 3 END AS priority FROM nodes WHERE id LIKE '%1.md'") + "SELECT n.id, coalesce(priority, 7) AS priority, degree FROM nodes n LEFT JOIN offers o ON n.id = o.id ORDER BY 2, degree DESC, n.id LIMIT 40")
 def _(spark, d):
-    n = early_nodes(spark, d)
+    n = full_nodes(spark, d)
     two = n.where("id LIKE '%1.md'").select("id", F.lit(3).alias("priority")).union(n.where("id LIKE '%11.md'").select("id", F.lit(1)))
     return ranking.top_labels(n, two, 40)
 
@@ -157,9 +154,9 @@ def _(spark, d):
     return ranking.top_tags(tags, p.where("id % 97 = 0"))
 
 
-@query("f5_search", with_("early_nodes", s="SELECT id, degree, lower(basename) AS n, lower(id) AS p FROM early_nodes", t="SELECT *, CASE WHEN starts_with(n, 'customer#000') THEN 800 - (length(n) - 12) WHEN contains(n, 'customer#000') THEN 0 END + 30 AS a, CASE WHEN contains(p, 'customer#000') THEN 600 - 2 * (strpos(p, 'customer#000') - 1) - 0.1 * (length(p) - 12) END AS b FROM s") + "SELECT id, round(greatest(coalesce(a, -1), coalesce(b, -1)), 6)::DOUBLE AS score FROM t WHERE coalesce(a, b) IS NOT NULL ORDER BY 2 DESC, degree DESC, id LIMIT 20")
+@query("f5_search", with_("nodes", s="SELECT id, degree, lower(basename) AS n, lower(id) AS p FROM nodes", t="SELECT *, CASE WHEN starts_with(n, 'customer#000') THEN 800 - (length(n) - 12) WHEN contains(n, 'customer#000') THEN 0 END + 30 AS a, CASE WHEN contains(p, 'customer#000') THEN 600 - 2 * (strpos(p, 'customer#000') - 1) - 0.1 * (length(p) - 12) END AS b FROM s") + "SELECT id, round(greatest(coalesce(a, -1), coalesce(b, -1)), 6)::DOUBLE AS score FROM t WHERE coalesce(a, b) IS NOT NULL ORDER BY 2 DESC, degree DESC, id LIMIT 20")
 def _(spark, d):
-    return ranking.search(early_nodes(spark, d), " Customer#000 ").withColumn("score", F.round("score", 6))
+    return ranking.search(full_nodes(spark, d), " Customer#000 ").withColumn("score", F.round("score", 6))
 
 
 @query("f8_nearest_insertion", with_("pos", j=f"SELECT p.idx, q.idx AS other, {ang('p.', 'q.')} AS d FROM pos p JOIN pos q ON p.idx <> q.idx AND p.idx % 20 = 0", r="SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, other) AS rank FROM j") + f"SELECT idx, other, rank::INT AS rank, {rs('d', 'distance')} FROM r WHERE rank <= 5")
@@ -204,14 +201,15 @@ def _(spark, d):
     return A.cap_radius(p, A.weighted_mean(p, "owner"), "owner", F.lit(0.1)).select("owner", r6(F.col("radius"), "radius"))
 
 
-TARGETS = "nodes AS (SELECT idx AS node, owner AS g, x AS ox, y AS oy, z AS oz, 40.0::DOUBLE AS incident FROM pos), tg AS (SELECT a.idx AS node, b.owner AS dest, b.w, b.x, b.y, b.z FROM pos a JOIN pos b ON b.idx IN ((a.idx * 7 + 3) % 500, (a.idx * 11 + 5) % 500, (a.idx * 13 + 8) % 500) AND a.owner <> b.owner), ds AS (SELECT node, dest, sum(w) AS w, sum(w*x) AS x, sum(w*y) AS y, sum(w*z) AS z FROM tg GROUP BY 1, 2), dn AS (SELECT node, dest, w, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM ds)"
+TARGETS = "nodes AS (SELECT idx AS node, owner AS g, x AS ox, y AS oy, z AS oz, 40.0::DOUBLE AS incident FROM pos), tg AS (SELECT a.idx AS node, b.owner AS dest, b.w, b.x, b.y, b.z FROM (SELECT *, count(*) OVER () AS n FROM pos) a JOIN pos b ON b.idx IN ((a.idx * 7 + 3) % a.n, (a.idx * 11 + 5) % a.n, (a.idx * 13 + 8) % a.n) AND a.owner <> b.owner), ds AS (SELECT node, dest, sum(w) AS w, sum(w*x) AS x, sum(w*y) AS y, sum(w*z) AS z FROM tg GROUP BY 1, 2), dn AS (SELECT node, dest, w, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM ds)"
 FACTS = TARGETS + ", dt AS (SELECT d.*, n.ox, n.oy, n.oz, d.x - (d.x*ox+d.y*oy+d.z*oz)*ox AS tx, d.y - (d.x*ox+d.y*oy+d.z*oz)*oy AS ty, d.z - (d.x*ox+d.y*oy+d.z*oz)*oz AS tz FROM dn d JOIN nodes n ON d.node = n.node), dl AS (SELECT *, sqrt(tx*tx+ty*ty+tz*tz) AS tl FROM dt), df AS (SELECT node, sum(w) AS mass, count(*) AS k, sum(w*w) AS w2, sqrt(sum(w*tx/tl)^2 + sum(w*ty/tl)^2 + sum(w*tz/tl)^2) AS s FROM dl GROUP BY node), facts AS (SELECT n.node, n.g, coalesce(mass, 0)::DOUBLE AS mass, round(least(1.0, coalesce(mass, 0) / incident), 9)::DOUBLE AS share, round(coalesce(CASE WHEN k <= 1 THEN 0 ELSE 1 - w2 / (mass*mass) END, 0), 9)::DOUBLE AS diversity, coalesce(least(1.0, s / mass), 0)::DOUBLE AS coherence FROM nodes n LEFT JOIN df ON n.node = df.node)"
 
 
 def port_facts(spark, d):
     p = T.positions(spark, d)
+    n = p.count()
     nodes = p.select(F.col("idx").alias("node"), F.col("owner").alias("group"), F.lit(40.0).alias("incident"), *(F.col(c).alias(f"o{c}") for c in "xyz"))
-    at = p.select(F.col("idx").alias("node"), F.col("owner").alias("mine"), F.explode(F.array_distinct(F.array(*((F.col("idx") * a + b) % 500 for a, b in ((7, 3), (11, 5), (13, 8)))))).alias("to"))
+    at = p.select(F.col("idx").alias("node"), F.col("owner").alias("mine"), F.explode(F.array_distinct(F.array(*((F.col("idx").cast("long") * a + b) % n for a, b in ((7, 3), (11, 5), (13, 8)))))).alias("to"))
     targets = at.join(p.select(F.col("idx").alias("to"), F.col("owner").alias("dest"), "w", "x", "y", "z"), "to").where("mine != dest").select("node", "dest", "w", "x", "y", "z")
     return A.port_facts(nodes, A.destinations(targets))
 
@@ -369,13 +367,11 @@ def _(spark, d):
 # K: one layout step over positions; links tie each position to two others
 def pos_edges(spark, d):
     p = T.positions(spark, d)
-    e = p.select("idx", F.explode(F.array((F.col("idx") + 1) % 500, (F.col("idx") * 7 + 3) % 500)).alias("to"), "w")
+    n, i = p.count(), F.col("idx").cast("long")
+    e = p.select("idx", F.explode(F.array((i + 1) % n, (i * 7 + 3) % n).cast("array<int>")).alias("to"), "w")
     return e.where("idx != to").groupBy(F.least("idx", "to").alias("a"), F.greatest("idx", "to").alias("b")).agg(F.sum("w").alias("weight"))
 
 
-EDGES = "pe AS (SELECT least(idx, t) AS a, greatest(idx, t) AS b, sum(w) AS weight FROM (SELECT idx, (idx + 1) % 500 AS t, w FROM pos UNION ALL SELECT idx, (idx * 7 + 3) % 500, w FROM pos) WHERE idx <> t GROUP BY 1, 2)"
-
-
 @query("k13_anchor_force", with_("pos", j=f"SELECT p.idx, p.x AS px, p.y AS py, p.z AS pz, q.x, q.y, q.z, {ang('p.', 'q.')} AS d FROM pos p JOIN pos q ON q.idx = p.idx + 1", t="SELECT *, x - (x*px+y*py+z*pz)*px AS tx, y - (x*px+y*py+z*pz)*py AS ty, z - (x*px+y*py+z*pz)*pz AS tz FROM j") + f"SELECT idx, {rs('1.6 * d * tx / sqrt(tx*tx+ty*ty+tz*tz)', 'fx')}, {rs('1.6 * d * ty / sqrt(tx*tx+ty*ty+tz*tz)', 'fy')}, {rs('1.6 * d * tz / sqrt(tx*tx+ty*ty+tz*tz)', 'fz')} FROM t")
 def _(spark, d):
     p = T.positions(spark, d)
@@ -465,24 +461,24 @@ def _(spark, d):
     return validation.valid_positions(p).unionByName(validation.valid_positions(raw_positions(spark, d).withColumns({"owner": F.lit(0), "w": F.lit(0.0)}))).select("path", "owner")
 
 
-@query("m3_parsed_edges", with_("early") + "SELECT src_id, dst_id, weight, fwd, bwd FROM early WHERE (fwd + bwd) % 5 <> 0")
+@query("m3_parsed_edges", with_("edges") + "SELECT src_id, dst_id, weight, fwd, bwd FROM edges WHERE (fwd + bwd) % 5 <> 0")
 def _(spark, d):
-    e = early_edges(spark, d)
+    e = full_edges(spark, d)
     turned = e.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), F.when(F.col("weight") % 5 == 0, F.col("weight") + 1).otherwise(F.col("weight")).alias("weight"), F.col("bwd").alias("fwd"), F.col("fwd").alias("bwd"))
     return validation.parsed_edges(turned, T.notes(spark, d).select(F.col("path").alias("id")))
 
 
-@query("m4_m5_snapshot_faults", with_("early", "notes", n="SELECT id FROM notes WHERE NOT id LIKE '%9.md'", p="SELECT id FROM notes WHERE NOT id LIKE '%8.md'", f="SELECT 'unknown-path' AS code, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM n)) AS n UNION ALL SELECT 'missing-position', (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM p)) UNION ALL SELECT 'unknown-end', (SELECT count(*) FROM (SELECT src_id AS id FROM early UNION SELECT dst_id FROM early) WHERE id NOT IN (SELECT id FROM n)) UNION ALL SELECT 'unparsable-edge', (SELECT count(*) FROM early WHERE src_id LIKE '%9.md' OR dst_id LIKE '%9.md')") + "SELECT code, n FROM f WHERE n > 0")
+@query("m4_m5_snapshot_faults", with_("edges", "notes", n="SELECT id FROM notes WHERE NOT id LIKE '%9.md'", p="SELECT id FROM notes WHERE NOT id LIKE '%8.md'", f="SELECT 'unknown-path' AS code, (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM n)) AS n UNION ALL SELECT 'missing-position', (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM p)) UNION ALL SELECT 'unknown-end', (SELECT count(*) FROM (SELECT src_id AS id FROM edges UNION SELECT dst_id FROM edges) WHERE id NOT IN (SELECT id FROM n)) UNION ALL SELECT 'unparsable-edge', (SELECT count(*) FROM edges WHERE src_id LIKE '%9.md' OR dst_id LIKE '%9.md')") + "SELECT code, n FROM f WHERE n > 0")
 def _(spark, d):
     ids = T.notes(spark, d).select(F.col("path").alias("id"))
     placed = ids.where("NOT id LIKE '%8.md'").select(F.col("id").alias("path"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    return validation.snapshot_faults(ids.where("NOT id LIKE '%9.md'"), early_edges(spark, d), placed)
+    return validation.snapshot_faults(ids.where("NOT id LIKE '%9.md'"), full_edges(spark, d), placed)
 
 
-@query("g9_prune", with_("early") + "SELECT src_id, dst_id, weight FROM early WHERE NOT src_id LIKE '%5.md' AND NOT dst_id LIKE '%5.md'")
+@query("g9_prune", with_("edges") + "SELECT src_id, dst_id, weight FROM edges WHERE NOT src_id LIKE '%5.md' AND NOT dst_id LIKE '%5.md'")
 def _(spark, d):
     n = T.notes(spark, d).select(F.col("path").alias("id"))
-    return validation.pruned(n, early_edges(spark, d), n.select(F.col("id").alias("path")), n.where("NOT id LIKE '%5.md'"))[1].select("src_id", "dst_id", "weight")
+    return validation.pruned(n, full_edges(spark, d), n.select(F.col("id").alias("path")), n.where("NOT id LIKE '%5.md'"))[1].select("src_id", "dst_id", "weight")
 
 
 @query("m13_settings", "WITH s AS (SELECT c_custkey, c_custkey % 4 AS k, CASE WHEN c_custkey % 7 = 0 THEN 'none' ELSE c_acctbal::VARCHAR END AS v FROM customer) SELECT CASE k WHEN 0 THEN 'debounceMs' WHEN 1 THEN 'iterations' WHEN 2 THEN 'globeSize' ELSE 'refreshHops' END AS key, CASE k WHEN 0 THEN CASE WHEN v = 'none' THEN 750 ELSE least(10000, greatest(100, v::DOUBLE)) END WHEN 1 THEN CASE WHEN v = 'none' THEN 1500 ELSE least(10000, greatest(1, v::DOUBLE)) END WHEN 2 THEN CASE WHEN v = 'none' THEN 100 ELSE least(400, greatest(60, v::DOUBLE)) END ELSE CASE WHEN v = 'none' THEN 1 ELSE least(6, greatest(0, v::DOUBLE)) END END::DOUBLE AS value FROM s")
@@ -492,9 +488,9 @@ def _(spark, d):
     return validation.parsed_settings(c)
 
 
-@query("m14_selection", with_("early") + "SELECT id, count(*) AS n, array_to_string(list(o ORDER BY o), '|') AS others FROM (SELECT src_id AS id, dst_id AS o FROM early UNION SELECT dst_id, src_id FROM early) WHERE id LIKE '%1.md' GROUP BY id")
+@query("m14_selection", with_("edges") + "SELECT id, count(*) AS n, array_to_string(list(o ORDER BY o), '|') AS others FROM (SELECT src_id AS id, dst_id AS o FROM edges UNION SELECT dst_id, src_id FROM edges) WHERE id LIKE '%1.md' GROUP BY id")
 def _(spark, d):
-    return G.neighbours(early_edges(spark, d)).where("id LIKE '%1.md'").select("id", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", "|").alias("others"))
+    return G.neighbours(full_edges(spark, d)).where("id LIKE '%1.md'").select("id", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", "|").alias("others"))
 
 
 @query("c11_committed_positions", with_("notes", s="SELECT id, length(id)::DOUBLE AS x FROM notes") + "SELECT CASE WHEN starts_with(id, 'ASIA/') THEN 'EAST/' || id[6:] ELSE id END AS id, x FROM s WHERE NOT starts_with(id, 'EUROPE/')")

@@ -14,9 +14,7 @@ CTES = {
     "edges": "SELECT *, fwd + bwd AS weight FROM (SELECT least(src, dst) AS src_id, greatest(src, dst) AS dst_id, sum(CASE WHEN src < dst THEN w ELSE 0 END)::DOUBLE AS fwd, sum(CASE WHEN src > dst THEN w ELSE 0 END)::DOUBLE AS bwd FROM links GROUP BY 1, 2)",
     "early": "SELECT *, fwd + bwd AS weight FROM (SELECT least(src, dst) AS src_id, greatest(src, dst) AS dst_id, sum(CASE WHEN src < dst THEN w ELSE 0 END)::DOUBLE AS fwd, sum(CASE WHEN src > dst THEN w ELSE 0 END)::DOUBLE AS bwd FROM early_links GROUP BY 1, 2)",
     "deg": "SELECT id, count(*) AS degree, sum(weight) AS weighted_degree FROM (SELECT src_id AS id, weight FROM edges UNION ALL SELECT dst_id, weight FROM edges) GROUP BY id",
-    "early_deg": "SELECT id, count(*) AS degree, sum(weight) AS weighted_degree FROM (SELECT src_id AS id, weight FROM early UNION ALL SELECT dst_id, weight FROM early) GROUP BY id",
     "nodes": "SELECT n.id, basename, tag, coalesce(degree, 0) AS degree, coalesce(weighted_degree, 0) AS weighted_degree FROM notes n LEFT JOIN deg d ON n.id = d.id",
-    "early_nodes": "SELECT n.id, basename, tag, coalesce(degree, 0) AS degree, coalesce(weighted_degree, 0) AS weighted_degree FROM notes n LEFT JOIN early_deg d ON n.id = d.id",
     "files": "SELECT 'parts/' || p_partkey || '.pdf' AS id, p_name AS basename FROM part",
     "file_edges": "SELECT supp.path AS src_id, 'parts/' || l_partkey || '.pdf' AS dst_id, count(*)::DOUBLE AS weight FROM lineitem JOIN supp ON l_suppkey = supp.key GROUP BY 1, 2",
     "page_paths": "SELECT regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages",
@@ -27,8 +25,8 @@ CTES = {
 }
 
 NEEDS = {
-    "notes": ("cust", "supp"), "lines": ("cust", "supp"), "links": ("lines",), "early_links": ("lines",), "edges": ("links",), "early": ("early_links",), "deg": ("edges",), "early_deg": ("early",),
-    "nodes": ("notes", "deg"), "early_nodes": ("notes", "early_deg"), "file_edges": ("supp",), "hrefs": ("page_paths",), "pos": ("pos0",),
+    "notes": ("cust", "supp"), "lines": ("cust", "supp"), "links": ("lines",), "early_links": ("lines",), "edges": ("links",), "early": ("early_links",), "deg": ("edges",),
+    "nodes": ("notes", "deg"), "file_edges": ("supp",), "hrefs": ("page_paths",), "pos": ("pos0",),
 }
 
 

@@ -25,8 +25,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def early_graph(spark, d: str, **options) -> G.Graph:
-    return G.build_graph(T.notes(spark, d), T.links(spark, d, early=True), T.attachments(spark, d), T.unresolved_links(spark, d), **options)
+def whole_graph(spark, d: str, **options) -> G.Graph:
+    return G.build_graph(T.notes(spark, d), T.links(spark, d), T.attachments(spark, d), T.unresolved_links(spark, d), **options)
 
 
 def full_edges(spark, d: str):
@@ -37,8 +37,8 @@ def early_edges(spark, d: str):
     return G.canonical_edges(G.valid_links(T.links(spark, d, early=True)))
 
 
-def early_nodes(spark, d: str):
-    return G.with_degrees(G.note_files(T.notes(spark, d)), early_edges(spark, d))
+def full_nodes(spark, d: str):
+    return G.with_degrees(G.note_files(T.notes(spark, d)), full_edges(spark, d))
 
 
 # A: scans
@@ -108,15 +108,15 @@ def _(spark, d):
     return turns.where("a != b")
 
 
-@query("b7_no_orphans", with_("early_nodes") + "SELECT id FROM early_nodes WHERE degree > 0")
+@query("b7_no_orphans", with_("nodes") + "SELECT id FROM nodes WHERE degree > 0")
 def _(spark, d):
-    return G.without_orphans(G.note_files(T.notes(spark, d)), early_edges(spark, d)).select("id")
+    return G.without_orphans(G.note_files(T.notes(spark, d)), full_edges(spark, d)).select("id")
 
 
-@query("b8_induced_edges", with_("early") + "SELECT src_id, dst_id, weight FROM early WHERE starts_with(src_id, 'ASIA/') AND starts_with(dst_id, 'ASIA/')")
+@query("b8_induced_edges", with_("edges") + "SELECT src_id, dst_id, weight FROM edges WHERE starts_with(src_id, 'ASIA/') AND starts_with(dst_id, 'ASIA/')")
 def _(spark, d):
     ids = G.note_files(T.notes(spark, d)).where(F.col("id").startswith("ASIA/"))
-    return G.induced_edges(early_edges(spark, d), ids).select("src_id", "dst_id", "weight")
+    return G.induced_edges(full_edges(spark, d), ids).select("src_id", "dst_id", "weight")
 
 
 @query("b9_basenames", with_("notes") + "SELECT id, regexp_replace(regexp_extract(id, '[^/]*$', 0), '(?i)\\.md$', '') AS name FROM notes")
@@ -129,34 +129,34 @@ def _(spark, d):
     return T.notes(spark, d).select(F.col("path").alias("id"), P.top_folder(F.col("path")).alias("folder"), P.region_key(F.col("path")).alias("region"))
 
 
-@query("b12_b13_islands", with_("early_nodes") + "SELECT id, degree > 0 AS continental, false AS root_island, degree > 0 AND substr(id, 1, 1) = 'A' AS a_root FROM early_nodes")
+@query("b12_b13_islands", with_("nodes") + "SELECT id, degree > 0 AS continental, false AS root_island, degree > 0 AND substr(id, 1, 1) = 'A' AS a_root FROM nodes")
 def _(spark, d):
-    n = early_nodes(spark, d)
+    n = full_nodes(spark, d)
     flat = F.when(F.col("id").startswith("A"), P.basename(F.col("id"))).otherwise(F.col("id"))
     return n.select("id", P.continental(F.col("id"), F.col("degree")).alias("continental"), P.root_island(F.col("id"), F.col("degree")).alias("root_island"), P.root_island(flat, F.col("degree")).alias("a_root"))
 
 
-@query("b14_b15_visible", with_("early_nodes", "files", "file_edges", all_="SELECT id, 'note' AS kind, degree FROM early_nodes UNION ALL SELECT f.id, 'attachment', count(e.dst_id) FROM files f LEFT JOIN file_edges e ON f.id = e.dst_id GROUP BY f.id") + "SELECT id, kind, degree = 0 AS orphan FROM all_ WHERE degree > 0")
+@query("b14_b15_visible", with_("nodes", "files", "file_edges", all_="SELECT id, 'note' AS kind, degree FROM nodes UNION ALL SELECT f.id, 'attachment', count(e.dst_id) FROM files f LEFT JOIN file_edges e ON f.id = e.dst_id GROUP BY f.id") + "SELECT id, kind, degree = 0 AS orphan FROM all_ WHERE degree > 0")
 def _(spark, d):
-    g = early_graph_with_files(spark, d)
+    g = graph_with_files(spark, d)
     return ranking.visible(g, orphans=False).select("id", "kind", ranking.orphan().alias("orphan"))
 
 
-def early_graph_with_files(spark, d):
+def graph_with_files(spark, d):
     edges = G.attachment_edges(G.valid_links(T.attachment_links(spark, d)), G.note_files(T.notes(spark, d)), T.attachments(spark, d))
     files = G.aux_nodes(T.attachments(spark, d), edges.limit(0), edges)
-    return early_nodes(spark, d).select("id", F.lit("note").alias("kind"), "degree", F.lit(None).cast("boolean").alias("is_orphan")).unionByName(files.select("id", "kind", "degree", F.lit(None).cast("boolean").alias("is_orphan")))
+    return full_nodes(spark, d).select("id", F.lit("note").alias("kind"), "degree", F.lit(None).cast("boolean").alias("is_orphan")).unionByName(files.select("id", "kind", "degree", F.lit(None).cast("boolean").alias("is_orphan")))
 
 
 # C: joins
-@query("c1_linked_notes", with_("early_links") + "SELECT src, dst, w FROM early_links")
+@query("c1_linked_notes", with_("links") + "SELECT src, dst, w FROM links")
 def _(spark, d):
-    return G.linked_notes(G.valid_links(T.links(spark, d, early=True)), G.note_files(T.notes(spark, d)))
+    return G.linked_notes(G.valid_links(T.links(spark, d)), G.note_files(T.notes(spark, d)))
 
 
 @query("c2_d2_attachment_edges", with_("file_edges") + "SELECT src_id, dst_id, weight FROM file_edges")
 def _(spark, d):
-    mixed = T.attachment_links(spark, d).unionByName(T.links(spark, d, early=True))
+    mixed = T.attachment_links(spark, d).unionByName(T.links(spark, d))
     return G.attachment_edges(G.valid_links(mixed), G.note_files(T.notes(spark, d)), T.attachments(spark, d))
 
 
@@ -167,9 +167,9 @@ def _(spark, d):
     return G.unresolved_edges(raw, pages)
 
 
-@query("c4_e4_dense_index", with_("early", "notes", n="SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM notes") + "SELECT a.idx::INT AS src, b.idx::INT AS dst, weight, fwd, bwd FROM early JOIN n a ON src_id = a.id JOIN n b ON dst_id = b.id")
+@query("c4_e4_dense_index", with_("edges", "notes", n="SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM notes") + "SELECT a.idx::INT AS src, b.idx::INT AS dst, weight, fwd, bwd FROM edges JOIN n a ON src_id = a.id JOIN n b ON dst_id = b.id")
 def _(spark, d):
-    return G.edges_by_index(early_edges(spark, d), G.indexed(G.note_files(T.notes(spark, d)).select("id")))
+    return G.edges_by_index(full_edges(spark, d), G.indexed(G.note_files(T.notes(spark, d)).select("id")))
 
 
 @query("c5_d4_aux_degrees", with_("files", "file_edges") + "SELECT f.id, count(e.dst_id) AS degree, coalesce(sum(e.weight), 0)::DOUBLE AS weighted_degree FROM files f LEFT JOIN file_edges e ON f.id = e.dst_id GROUP BY f.id")
@@ -183,7 +183,7 @@ LINKED = "linked AS (SELECT src_id AS id FROM edges UNION SELECT dst_id FROM edg
 
 @query("c6_node_diff", with_("edges", "early") + ", " + LINKED + "SELECT 'added' AS kind, id FROM linked WHERE id NOT IN (SELECT id FROM early_linked) UNION ALL SELECT 'removed', id FROM early_linked WHERE id NOT IN (SELECT id FROM linked)")
 def _(spark, d):
-    return D.node_diff(D.ends(early_edges(spark, d)), D.ends(full_edges(spark, d)))
+    return D.node_diff(D.ends(full_edges(spark, d)), D.ends(full_edges(spark, d)))
 
 
 DIFF = "f AS (SELECT coalesce(e.src_id, p.src_id) AS src_id, coalesce(e.dst_id, p.dst_id) AS dst_id, p.weight AS prev_weight, e.weight AS weight, CASE WHEN p.src_id IS NULL THEN 'added' WHEN e.src_id IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM edges e FULL JOIN early p ON e.src_id = p.src_id AND e.dst_id = p.dst_id WHERE p.src_id IS NULL OR e.src_id IS NULL OR e.fwd <> p.fwd OR e.bwd <> p.bwd)"
@@ -191,28 +191,28 @@ DIFF = "f AS (SELECT coalesce(e.src_id, p.src_id) AS src_id, coalesce(e.dst_id,
 
 @query("c7_edge_diff", with_("edges", "early") + ", " + DIFF + " SELECT kind, src_id, dst_id, prev_weight, weight FROM f")
 def _(spark, d):
-    return D.edge_diff(early_edges(spark, d), full_edges(spark, d)).select("kind", "src_id", "dst_id", "prev_weight", "weight")
+    return D.edge_diff(full_edges(spark, d), full_edges(spark, d)).select("kind", "src_id", "dst_id", "prev_weight", "weight")
 
 
 @query("d28_d29_diff_summary", with_("edges", "early") + ", " + LINKED.strip() + ", " + DIFF + """, n AS (SELECT 'added' AS kind, id FROM linked WHERE id NOT IN (SELECT id FROM early_linked) UNION ALL SELECT 'removed', id FROM early_linked WHERE id NOT IN (SELECT id FROM linked)),
     c AS (SELECT (SELECT count(*) FROM n WHERE kind = 'added') AS added_nodes, (SELECT count(*) FROM n WHERE kind = 'removed') AS removed_nodes, (SELECT count(*) FROM f WHERE kind = 'added') AS added_edges, (SELECT count(*) FROM f WHERE kind = 'removed') AS removed_edges, (SELECT count(*) FROM f WHERE kind = 'changed') AS changed_edges, (SELECT count(*) FROM early_linked) AS pn, (SELECT count(*) FROM linked) AS cn, (SELECT count(*) FROM early) AS pe, (SELECT count(*) FROM edges) AS ce)
     SELECT added_nodes, removed_nodes, added_edges, removed_edges, changed_edges, added_nodes + removed_nodes + added_edges + removed_edges + changed_edges = 0 AS is_empty, round(greatest((added_nodes + removed_nodes)::DOUBLE / greatest(1, pn, cn), (added_edges + removed_edges + changed_edges)::DOUBLE / greatest(1, pe, ce)), 9) AS change_ratio FROM c""")
 def _(spark, d):
-    return D.diff_summary(early_edges(spark, d), full_edges(spark, d))
+    return D.diff_summary(full_edges(spark, d), full_edges(spark, d))
 
 
 @query("g2_affected_nodes", with_("edges", "early") + ", " + LINKED.strip() + ", " + DIFF + " SELECT src_id AS id FROM f UNION SELECT dst_id FROM f UNION SELECT id FROM linked WHERE id NOT IN (SELECT id FROM early_linked) UNION SELECT id FROM early_linked WHERE id NOT IN (SELECT id FROM linked)")
 def _(spark, d):
-    prev, cur = early_edges(spark, d), full_edges(spark, d)
+    prev, cur = full_edges(spark, d), full_edges(spark, d)
     return D.affected(D.node_diff(D.ends(prev), D.ends(cur)), D.edge_diff(prev, cur))
 
 
 MOVED = "replace(replace({0}, 'ASIA/NATION_1', 'ASIA/X'), 'AMERICA/', 'AMERICAS/')"
 
 
-@query("c8_rename_edges", with_("early") + f", r AS (SELECT {MOVED.format('src_id')} AS s, {MOVED.format('dst_id')} AS t, fwd, bwd FROM early) SELECT least(s, t) AS src_id, greatest(s, t) AS dst_id, sum(fwd + bwd)::DOUBLE AS weight, sum(CASE WHEN s < t THEN fwd ELSE bwd END)::DOUBLE AS fwd, sum(CASE WHEN s < t THEN bwd ELSE fwd END)::DOUBLE AS bwd FROM r WHERE s <> t GROUP BY 1, 2")
+@query("c8_rename_edges", with_("edges") + f", r AS (SELECT {MOVED.format('src_id')} AS s, {MOVED.format('dst_id')} AS t, fwd, bwd FROM edges) SELECT least(s, t) AS src_id, greatest(s, t) AS dst_id, sum(fwd + bwd)::DOUBLE AS weight, sum(CASE WHEN s < t THEN fwd ELSE bwd END)::DOUBLE AS fwd, sum(CASE WHEN s < t THEN bwd ELSE fwd END)::DOUBLE AS bwd FROM r WHERE s <> t GROUP BY 1, 2")
 def _(spark, d):
-    return D.rename_edges(early_edges(spark, d), renames(spark, d))
+    return D.rename_edges(full_edges(spark, d), renames(spark, d))
 
 
 def renames(spark, d):
@@ -238,13 +238,13 @@ def _(spark, d):
     return D.reconcile(cur, saved, r)
 
 
-@query("c12_cross_owner_edges", with_("early", o="SELECT r_name, (row_number() OVER (ORDER BY r_name) - 1)::INT AS k FROM region", e="SELECT src_id, dst_id, weight, a.k AS oa, b.k AS ob FROM early JOIN o a ON starts_with(src_id, a.r_name || '/') JOIN o b ON starts_with(dst_id, b.r_name || '/') WHERE a.k <> b.k") + "SELECT src_id AS id, dst_id AS other, weight, oa AS owner, ob AS other_owner FROM e UNION ALL SELECT dst_id, src_id, weight, ob, oa FROM e")
+@query("c12_cross_owner_edges", with_("edges", o="SELECT r_name, (row_number() OVER (ORDER BY r_name) - 1)::INT AS k FROM region", e="SELECT src_id, dst_id, weight, a.k AS oa, b.k AS ob FROM edges JOIN o a ON starts_with(src_id, a.r_name || '/') JOIN o b ON starts_with(dst_id, b.r_name || '/') WHERE a.k <> b.k") + "SELECT src_id AS id, dst_id AS other, weight, oa AS owner, ob AS other_owner FROM e UNION ALL SELECT dst_id, src_id, weight, ob, oa FROM e")
 def _(spark, d):
-    return G.cross_owner_edges(early_edges(spark, d), owners(spark, d))
+    return G.cross_owner_edges(full_edges(spark, d), owners(spark, d))
 
 
 def owners(spark, d):
-    n = early_nodes(spark, d)
+    n = full_nodes(spark, d)
     f = G.folder_groups(n)
     return n.withColumn("folder", P.top_folder(F.col("id"))).join(F.broadcast(f), "folder", "left").select("id", F.when(F.col("degree") > 0, F.coalesce("folder_index", F.lit(-1))).otherwise(-1).alias("owner"))
 
@@ -265,9 +265,9 @@ def _(spark, d):
     return G.tag_index(G.note_files(T.notes(spark, d))).withColumn("ids", F.array_join("ids", "|"))
 
 
-@query("d6_neighbours", with_("early") + "SELECT id, array_to_string(list(n ORDER BY n), '|') AS neighbours FROM (SELECT src_id AS id, dst_id AS n FROM early UNION SELECT dst_id, src_id FROM early) GROUP BY id")
+@query("d6_neighbours", with_("edges") + "SELECT id, array_to_string(list(n ORDER BY n), '|') AS neighbours FROM (SELECT src_id AS id, dst_id AS n FROM edges UNION SELECT dst_id, src_id FROM edges) GROUP BY id")
 def _(spark, d):
-    return G.neighbours(early_edges(spark, d)).withColumn("neighbours", F.array_join("neighbours", "|"))
+    return G.neighbours(full_edges(spark, d)).withColumn("neighbours", F.array_join("neighbours", "|"))
 
 
 @query("d7_region_groups", with_("notes") + "SELECT regexp_extract(id, '^[^/]*/[^/]*', 0) AS region, count(*) AS n FROM notes GROUP BY 1")
@@ -275,21 +275,24 @@ def _(spark, d):
     return G.region_groups(G.note_files(T.notes(spark, d)))
 
 
-@query("d8_e5_folder_groups", with_("early_nodes") + "SELECT folder, n, (row_number() OVER (ORDER BY folder) - 1)::INT AS folder_index FROM (SELECT regexp_extract(id, '^[^/]*', 0) AS folder, count(*) AS n FROM early_nodes WHERE degree > 0 GROUP BY 1)")
+@query("d8_e5_folder_groups", with_("nodes") + "SELECT folder, n, (row_number() OVER (ORDER BY folder) - 1)::INT AS folder_index FROM (SELECT regexp_extract(id, '^[^/]*', 0) AS folder, count(*) AS n FROM nodes WHERE degree > 0 GROUP BY 1)")
 def _(spark, d):
-    return G.folder_groups(early_nodes(spark, d))
+    return G.folder_groups(full_nodes(spark, d))
 
 
-@query("d14_conductance", with_("early", e="SELECT regexp_extract(src_id, '^[^/]*', 0) AS a, regexp_extract(dst_id, '^[^/]*', 0) AS b, weight FROM early", s="SELECT a AS g, a = b AS inside, weight FROM e UNION ALL SELECT b, false, weight FROM e WHERE a <> b") + 'SELECT g AS "group", sum(CASE WHEN inside THEN weight ELSE 0 END)::DOUBLE AS internal, sum(CASE WHEN inside THEN 0 ELSE weight END)::DOUBLE AS external, round(sum(CASE WHEN inside THEN 0 ELSE weight END)::DOUBLE / greatest(1.0, sum(CASE WHEN inside THEN 2 * weight ELSE weight END)::DOUBLE), 9) AS conductance FROM s GROUP BY g')
+@query("d14_conductance", with_("edges", e="SELECT regexp_extract(src_id, '^[^/]*', 0) AS a, regexp_extract(dst_id, '^[^/]*', 0) AS b, weight FROM edges", s="SELECT a AS g, a = b AS inside, weight FROM e UNION ALL SELECT b, false, weight FROM e WHERE a <> b") + 'SELECT g AS "group", sum(CASE WHEN inside THEN weight ELSE 0 END)::DOUBLE AS internal, sum(CASE WHEN inside THEN 0 ELSE weight END)::DOUBLE AS external, round(sum(CASE WHEN inside THEN 0 ELSE weight END)::DOUBLE / greatest(1.0, sum(CASE WHEN inside THEN 2 * weight ELSE weight END)::DOUBLE), 9) AS conductance FROM s GROUP BY g')
 def _(spark, d):
     groups = T.notes(spark, d).select(F.col("path").alias("id"), P.top_folder(F.col("path")).alias("group"))
-    return G.conductance(early_edges(spark, d), groups).withColumn("conductance", F.round("conductance", 9))
+    return G.conductance(full_edges(spark, d), groups).withColumn("conductance", F.round("conductance", 9))
 
 
 # the whole build
-@query("build_graph", with_("early_nodes") + "SELECT id, basename, degree, weighted_degree FROM early_nodes WHERE degree > 0 AND NOT starts_with(id, 'ASIA/') AND EXISTS (SELECT 1 FROM early e WHERE (e.src_id = early_nodes.id AND NOT starts_with(e.dst_id, 'ASIA/')) OR (e.dst_id = early_nodes.id AND NOT starts_with(e.src_id, 'ASIA/')))".replace("basename, degree, weighted_degree", "basename, (SELECT count(*) FROM early e WHERE (e.src_id = early_nodes.id AND NOT starts_with(e.dst_id, 'ASIA/')) OR (e.dst_id = early_nodes.id AND NOT starts_with(e.src_id, 'ASIA/'))) AS degree, (SELECT sum(weight) FROM early e WHERE (e.src_id = early_nodes.id AND NOT starts_with(e.dst_id, 'ASIA/')) OR (e.dst_id = early_nodes.id AND NOT starts_with(e.src_id, 'ASIA/'))) AS weighted_degree"))
+KEPT = "kept AS (SELECT * FROM edges WHERE NOT starts_with(src_id, 'ASIA/') AND NOT starts_with(dst_id, 'ASIA/')), kept_deg AS (SELECT id, count(*) AS degree, sum(weight) AS weighted_degree FROM (SELECT src_id AS id, weight FROM kept UNION ALL SELECT dst_id, weight FROM kept) GROUP BY id)"
+
+
+@query("build_graph", with_("edges", "notes") + f", {KEPT} SELECT n.id, basename, degree, weighted_degree FROM notes n JOIN kept_deg d ON n.id = d.id")
 def _(spark, d):
-    return early_graph(spark, d, excluded=["ASIA"], include_orphans=False).nodes.select("id", "basename", "degree", "weighted_degree")
+    return whole_graph(spark, d, excluded=["ASIA"], include_orphans=False).nodes.select("id", "basename", "degree", "weighted_degree")
 
 
 # G: sets
@@ -336,6 +339,6 @@ def _(spark, d):
     return T.notes(spark, d).select(F.col("path").alias("id"), P.relative_id(F.col("path")).alias("relative"), P.display_name(F.replace("basename", F.lit("#"), F.lit("-"))).alias("shown"))
 
 
-@query("h48_edge_layout_weight", with_("early") + "SELECT src_id, dst_id, round(greatest(0.012, weight * CASE WHEN regexp_extract(src_id, '^[^/]*', 0) = regexp_extract(dst_id, '^[^/]*', 0) THEN 1.0 ELSE 0.035 END), 9)::DOUBLE AS w FROM early")
+@query("h48_edge_layout_weight", with_("edges") + "SELECT src_id, dst_id, round(greatest(0.012, weight * CASE WHEN regexp_extract(src_id, '^[^/]*', 0) = regexp_extract(dst_id, '^[^/]*', 0) THEN 1.0 ELSE 0.035 END), 9)::DOUBLE AS w FROM edges")
 def _(spark, d):
-    return early_edges(spark, d).select("src_id", "dst_id", F.round(G.edge_layout_weight(F.col("weight"), P.top_folder(F.col("src_id")), P.top_folder(F.col("dst_id"))), 9).alias("w"))
+    return full_edges(spark, d).select("src_id", "dst_id", F.round(G.edge_layout_weight(F.col("weight"), P.top_folder(F.col("src_id")), P.top_folder(F.col("dst_id"))), 9).alias("w"))

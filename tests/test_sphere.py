@@ -86,3 +86,44 @@ def test_state_store_compares_before_it_commits(spark, tmp_path):
     assert s.load("t").count() == 5 and s.load("t", v1).count() == 3 and s.current() == v2
     with pytest.raises(ValueError):
         s.commit({"t": spark.range(1)}, v1)
+
+
+def _points(n, seed=5):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 3)) + [1.0, 0, 0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1::7] = v[::7][: len(v[1::7])]  # points that repeat
+    return v, [None if i % 11 == 0 else "hot" if i % 3 else "b" for i in range(n)]
+
+
+def _angles(a, b):
+    return np.arctan2(np.linalg.norm(np.cross(a[:, None], b[None]), axis=2), np.clip(a @ b.T, -1, 1))
+
+
+def test_medoid_of_large_groups_equals_brute_force(spark):
+    v, owner = _points(3000)
+    frame = spark.createDataFrame([(o, i, *map(float, p)) for i, (o, p) in enumerate(zip(owner, v))], "owner string, idx int, x double, y double, z double")
+    want = {}
+    for o in (None, "hot", "b"):
+        at = [i for i, x in enumerate(owner) if x == o]
+        d = np.round(_angles(v[at], v[at]).sum(axis=1), 6)
+        want[o] = {at[k] for k in np.flatnonzero(d == d.min())}
+    got = {r["owner"]: r["idx"] for r in A.medoid(frame, "owner").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[o] in want[o] for o in want)
+    assert A.medoid(frame.limit(0), "owner").count() == 0
+
+
+def test_separated_top_equals_a_greedy_walk(spark):
+    v, owner = _points(400)
+    rows = [(i, o, None if i == 9 else float(i * 37 % 50), 0.5, 1.0, *map(float, p)) for i, (o, p) in enumerate(zip(owner, v))]
+    frame = spark.createDataFrame(rows, "node int, grp string, score double, coherence double, mass double, x double, y double, z double")
+    want = set()
+    for o in (None, "hot", "b"):
+        taken = []
+        for r in sorted((r for r in rows if r[1] == o), key=lambda r: (-r[2] if r[2] is not None else float("inf"), r[0])):
+            if len(taken) < 5 and all(_angles(v[[r[0]]], v[[t]])[0, 0] >= 0.42 for t in taken):
+                taken.append(r[0])
+        want |= {(o, t) for t in taken}
+    assert {(r["grp"], r["node"]) for r in A.separated_top(frame, "grp", 0.42, 5).collect()} == want
+    assert A.separated_top(frame.limit(0), "grp", 0.42, 5).count() == 0
