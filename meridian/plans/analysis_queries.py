@@ -202,7 +202,7 @@ def _(spark, d):
 
 
 TARGETS = "nodes AS (SELECT idx AS node, owner AS g, x AS ox, y AS oy, z AS oz, 40.0::DOUBLE AS incident FROM pos), tg AS (SELECT a.idx AS node, b.owner AS dest, b.w, b.x, b.y, b.z FROM (SELECT *, count(*) OVER () AS n FROM pos) a JOIN pos b ON b.idx IN ((a.idx * 7 + 3) % a.n, (a.idx * 11 + 5) % a.n, (a.idx * 13 + 8) % a.n) AND a.owner <> b.owner), ds AS (SELECT node, dest, sum(w) AS w, sum(w*x) AS x, sum(w*y) AS y, sum(w*z) AS z FROM tg GROUP BY 1, 2), dn AS (SELECT node, dest, w, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM ds)"
-FACTS = TARGETS + ", dt AS (SELECT d.*, n.ox, n.oy, n.oz, d.x - (d.x*ox+d.y*oy+d.z*oz)*ox AS tx, d.y - (d.x*ox+d.y*oy+d.z*oz)*oy AS ty, d.z - (d.x*ox+d.y*oy+d.z*oz)*oz AS tz FROM dn d JOIN nodes n ON d.node = n.node), dl AS (SELECT *, sqrt(tx*tx+ty*ty+tz*tz) AS tl FROM dt), df AS (SELECT node, sum(w) AS mass, count(*) AS k, sum(w*w) AS w2, sqrt(sum(w*tx/tl)^2 + sum(w*ty/tl)^2 + sum(w*tz/tl)^2) AS s FROM dl GROUP BY node), facts AS (SELECT n.node, n.g, coalesce(mass, 0)::DOUBLE AS mass, round(least(1.0, coalesce(mass, 0) / incident), 9)::DOUBLE AS share, round(coalesce(CASE WHEN k <= 1 THEN 0 ELSE 1 - w2 / (mass*mass) END, 0), 9)::DOUBLE AS diversity, coalesce(least(1.0, s / mass), 0)::DOUBLE AS coherence FROM nodes n LEFT JOIN df ON n.node = df.node)"
+FACTS = TARGETS + ", dt AS (SELECT d.*, n.ox, n.oy, n.oz, d.x - (d.x*ox+d.y*oy+d.z*oz)*ox AS tx, d.y - (d.x*ox+d.y*oy+d.z*oz)*oy AS ty, d.z - (d.x*ox+d.y*oy+d.z*oz)*oz AS tz FROM dn d JOIN nodes n ON d.node = n.node), dl AS (SELECT *, sqrt(tx*tx+ty*ty+tz*tz) AS tl FROM dt), df AS (SELECT node, sum(w) AS mass, count(*) AS k, sum(w*w) AS w2, sqrt(sum(w*tx/tl)^2 + sum(w*ty/tl)^2 + sum(w*tz/tl)^2) AS s FROM dl GROUP BY node), facts AS (SELECT n.node, n.g, coalesce(mass, 0)::DOUBLE AS mass, round(least(1.0, coalesce(mass, 0) / incident), 9)::DOUBLE AS share, round(coalesce(CASE WHEN k <= 1 THEN 0 ELSE 1 - w2 / (mass*mass) END, 0), 9)::DOUBLE AS diversity, least(1.0, coalesce(s / mass, 0))::DOUBLE AS coherence FROM nodes n LEFT JOIN df ON n.node = df.node)"
 
 
 def port_facts(spark, d):
