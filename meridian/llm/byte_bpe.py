@@ -140,31 +140,41 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     return short.unionByName(long_out).withColumnRenamed("k", key)
 
 
+def _decoded(batches, ranks_path: str, pattern: str, ids: int):
+    """Parts of batches, the id lists of column number `ids`, and the bytes of each list."""
+    enc = encoding(ranks_path, pattern)
+    for batch in slices(batches):
+        lists = id_lists(batch.column(ids))
+        yield batch, lists, [enc.decode_bytes(x) for x in lists]
+
+
 def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """coded with decoded (binary): the bytes of its ids, concatenated; null ids decode to nothing."""
     names = coded.columns
 
     def run(batches):
-        enc = encoding(ranks_path, pattern)
-        for batch in slices(batches):
-            texts = [enc.decode_bytes(x) for x in id_lists(batch.column(names.index("ids")))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
+        for batch, _, raw in _decoded(batches, ranks_path, pattern, names.index("ids")):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*names, "decoded"])
 
     return coded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields) + ", decoded binary")
 
 
-def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes).
+
+    One row a row of docs; null is the empty text. Ids are decoded and digested in one pass, so that a task has one Python
+    worker for both and the bytes stay in it.
+    """
+    coded = encode(docs, ranks_path, pattern, key, text)
 
     def run(batches):
         decimal = [str(i) for i in range(encoding(ranks_path, pattern).n_vocab)].__getitem__
-        for batch in slices(batches):
-            ids = [hashlib.sha256(",".join(map(decimal, x)).encode()).hexdigest() for x in id_lists(batch.column(2))]
-            raw = [hashlib.sha256(x).hexdigest() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(raw)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch, lists, raw in _decoded(batches, ranks_path, pattern, 2):
+            ids = [hashlib.sha256(",".join(map(decimal, x)).encode()).hexdigest() for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return both.select("doc_id", "n_tokens", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = coded.schema[key].dataType.simpleString()
+    return coded.select(key, "n_tokens", "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
