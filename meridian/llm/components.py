@@ -98,4 +98,5 @@ def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | s
     else:
         cross = few.join(every, ["s", "part"]).where(f"cx != cy AND (cy = main OR x < y) AND {near}").select(*pair).distinct()
     cross = written(cross)
-    return first if cross.isEmpty() else first.union(written(decided(cross)))
+    joined = of.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return joined if cross.isEmpty() else joined.union(written(decided(cross)))

@@ -25,13 +25,16 @@ TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
 LONGER = 9  #: fewest words of the lines that meet under blocks
 BLOCKS = 10
 ALONE = 6  #: bytes of the shortest word that is a feature by itself
-#: ASCII letters lower-cased, digits as 0; ASCII punctuation goes.
-_TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else i for i in range(256))
+#: ASCII letters lower-cased, digits as 0, white space as a space; ASCII punctuation goes.
+_TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else 32 if 9 <= i < 14 else i for i in range(256))
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
 def normal(line: bytes) -> bytes:
-    return b" ".join(line.translate(_TABLE, _GONE).split())
+    out = line.translate(_TABLE, _GONE)
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out.strip(b" ")
 
 
 def levenshtein(a: str, b: str, most: int | None = None) -> int:
@@ -202,7 +205,7 @@ def _measure(min_words: int, buckets: int):
             text, number, forms, h = _lines([x or b"" for x in batch.column(2).cast("binary").to_pylist()])
             distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
             forms = [forms[i] for i in at]
-            size, fp = np.array([len(x) - sum(map(x.count, _INNER)) if not x.isascii() else len(x) for x in forms], np.int32), np.zeros(len(forms), U)
+            size, fp = np.array([len(x) if x.isascii() else len(x.translate(None, _INNER)) for x in forms], np.int32), np.zeros(len(forms), U)
             ok = np.zeros(len(forms), bool)
             for first, words, length, n in docs_words(forms):
                 part = slice(first, first + len(n))
@@ -223,7 +226,7 @@ def _measure(min_words: int, buckets: int):
 
 
 NAMES = ["k", "rk", "line", "h", "size", "fp", "bucket", "packed"]
-_INNER = [bytes([i]) for i in range(128, 192)]  #: bytes within a character
+_INNER = bytes(range(128, 192))  #: bytes within a character
 
 
 def _meetings(key, group):
@@ -283,14 +286,14 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WO
     kind = d.schema["k"].dataType.simpleString()
     found = written(d.mapInArrow(_measure(min_words, buckets), f"k {kind}, rk long, line int, h long, size int, fp long, bucket int, packed binary"))
     lines, packed = found.where("packed IS NULL").drop("bucket", "packed"), found.where("packed IS NOT NULL").select("bucket", "packed")
-    place = F.struct("k", "rk", "line")
-    per = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.min("size").alias("size"), F.min("fp").alias("fp")))
+    per = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.min("fp").alias("fp")))
     groups = components(_line_links(d.select("t"), per, packed, buckets))
     of = per.join(groups.select(F.col("id").alias("h"), "component"), "h", "left")
-    of = written(of.where("n > 1 OR component IS NOT NULL").select("h", "n", "place", F.coalesce("component", "h").alias("group")))
-    first = of.groupBy("group").agg(F.sum("n").alias("all"), F.min("place").alias("first")).where("all > 1").select("group", "first")
-    stays = written(skew_join(of.select("h", "n", "group"), first, "group").select("h", "n", "first"))
-    gone = skew_join(lines.select("rk", "line", "h", "k"), stays.select("h", "first"), "h", stays.select("h", "n"))
+    of = written(of.where("n > 1 OR component IS NOT NULL").select("h", "n", F.coalesce("component", "h").alias("group")))
+    members = written(skew_join(lines.select("rk", "line", "h", "k"), of.select("h", "group"), "h", of.select("h", "n")))
+    place = F.struct("k", "rk", "line")
+    first = members.groupBy("group").agg(F.min(place).alias("first"))
+    gone = skew_join(members, first, "group", of.groupBy("group").agg(F.sum("n").alias("n")))
     return gone.where(~place.eqNullSafe(F.col("first"))).groupBy("rk").agg(F.collect_set("line").alias("lines"))
 
 
