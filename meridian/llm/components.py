@@ -68,13 +68,17 @@ def _tree_pairs(radius: int):
     return run
 
 
+SHOWN = 16  #: about so many rows of a large shard are compared with what is outside its largest component before all others are
+
+
 def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False) -> DataFrame:
     """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp).
     A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits (a number, or SQL over the sizes nx, ny).
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
-    component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part). So a
-    large shard of copies costs a pair a row, and no pair is left out.
+    component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part); without
+    `tree`, with about SHOWN rows first and then, if no link to the largest component came of it, with the rest. So a large
+    shard of copies costs a pair a row, and no pair is left out that could connect anything.
     """
     near = f"LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9 AND bit_count(fx ^ fy) <= {radius}"
     shards = written(shards.select("s", "sig", "size", "fp"))
@@ -86,17 +90,29 @@ def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | s
     main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1")
     parts = F.ceil(F.col("n") / limit).cast("int")
     apart = written(skew_join(at.where("sig != least").drop("n"), main, "s", main.select("s", "n")))
-    few = apart.where("c != main").select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("sig").alias("x"), "nx", "fx", F.col("c").alias("cx"))
-    every = apart.select("s", F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.col("sig").alias("y"), F.col("nx").alias("ny"), F.col("fx").alias("fy"), F.col("c").alias("cy"), "main")
+    part, all_parts = F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    outside = (F.col("sig").alias("x"), "nx", "fx", F.col("c").alias("cx"))
+    inside = (F.col("sig").alias("y"), F.col("nx").alias("ny"), F.col("fx").alias("fy"), F.col("c").alias("cy"))
+    few, every = apart.where("c != main").select("s", all_parts, *outside), apart.select("s", part, *inside)
     pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    joined = of.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     if tree:
         both = every.select("s", "part", F.lit(0).alias("query"), F.col("y").alias("sig"), F.col("fy").alias("fp")).union(few.select("s", "part", F.lit(1), "x", "fx"))
         found = both.repartition("s", "part").sortWithinPartitions("s", "part", "query").mapInArrow(_tree_pairs(radius), "x long, y long").distinct()
         size = at.select("sig", "nx", "c").distinct()
         found = found.join(size.withColumnsRenamed({"sig": "x", "c": "cx"}), "x").join(size.withColumnsRenamed({"sig": "y", "nx": "ny", "c": "cy"}), "y")
         cross = found.where(f"cx != cy AND LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9").select(*pair).distinct()
-    else:
-        cross = few.join(every, ["s", "part"]).where(f"cx != cy AND (cy = main OR x < y) AND {near}").select(*pair).distinct()
-    cross = written(cross)
-    joined = of.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return joined if cross.isEmpty() else joined.union(written(decided(cross)))
+        cross = written(cross)
+        return joined if cross.isEmpty() else joined.union(written(decided(cross)))
+    shown = F.pmod(F.xxhash64(F.lit(SHOWN), "sig"), F.ceil(F.col("n") / SHOWN)) == 0
+    met = apart.where("c != main").select("s", part, "main", *outside).join(apart.where(shown).select("s", all_parts, *inside), ["s", "part"])
+    met = written(met.where(f"cx != cy AND (cy = main OR x < y) AND {near}").select(*pair).distinct())
+    found = written(decided(met))
+    of_main = at.join(main.select("s", "main"), "s").select(F.col("sig").alias("id"), "c").distinct()
+    ends = found.join(of_main.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(of_main.withColumnsRenamed({"id": "b", "c": "cb"}), "b").select("ca", "cb")
+    done = written(ends.union(ends.select("cb", "ca")).distinct().select(F.col("ca").alias("c"), F.col("cb").alias("main"), F.lit(True).alias("done")))
+    few = apart.where("c != main").where(f"n > {SHOWN}").join(done, ["c", "main"], "left").select("s", all_parts, "main", "done", *outside)
+    cross = few.join(apart.where(~shown).select("s", part, *inside), ["s", "part"])
+    cross = written(cross.where(f"cx != cy AND (cy = main AND done IS NULL OR cy != main AND x < y) AND {near}").select(*pair).distinct())
+    every = joined.union(found)
+    return every if cross.isEmpty() else every.union(written(decided(cross)))
