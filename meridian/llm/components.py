@@ -71,16 +71,17 @@ def _tree_pairs(radius: int):
 SHOWN = 16  #: about so many rows of a large shard are compared with what is outside its largest component before all others are
 
 
-def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False) -> DataFrame:
+def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False, bits: str = "bit_count(fx ^ fy)") -> DataFrame:
     """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp).
-    A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits (a number, or SQL over the sizes nx, ny).
+    A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits (a number, or SQL over the sizes nx, ny);
+    `bits` is SQL for how many bits differ, where fp is not one number.
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
     component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part); without
     `tree`, with about SHOWN rows first and then, if no link to the largest component came of it, with the rest. So a large
     shard of copies costs a pair a row, and no pair is left out that could connect anything.
     """
-    near = f"LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9 AND bit_count(fx ^ fy) <= {radius}"
+    near = f"LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9 AND {bits} <= {radius}"
     shards = written(shards.select("s", "sig", "size", "fp"))
     least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size", "fp")).alias("l")).where("n > 1").select("s", "n", F.col("l.sig").alias("least"), F.col("l.size").alias("ny"), F.col("l.fp").alias("fy"))
     rows = written(skew_join(shards.withColumnsRenamed({"size": "nx", "fp": "fx"}), least, "s", least.select("s", "n")))

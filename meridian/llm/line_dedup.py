@@ -4,8 +4,8 @@ The SimHash of a line has BLOCKS blocks of 64 bits. Not all features of the line
 the block's own orders of all features. So an edit does not flip bits everywhere, but leaves a block as it is unless it takes away
 or displaces one of its voters, and similar lines agree on some blocks. A feature is a word, with the next where it is short, as
 frequent words are. Lines meet where a block agrees; very short ones (TINY) where the votes of all words but any one do. All pairs
-that meet are decided by edit similarity, except those whose SimHashes of all words differ in over FAR or FAR_LONG bits: unrelated
-lines differ in 32 on average, lines with one word in ten replaced in 9.
+that meet are decided by edit similarity, except those whose two SimHashes of all words differ in over FAR or FAR_LONG of 128 bits:
+unrelated lines differ in 64 on average, lines with one word in ten replaced in 18.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from meridian.llm.shared import fresh, in_set, pack, put_set, skew_join, slices,
 from meridian.llm.words import U, bucket_of, docs_words, lane_votes, majority, mix, pair
 
 SIMILAR, MIN_WORDS = 0.8, 5
-FAR, FAR_LONG, LENGTHY = 20, 14, 100  #: most bits that may differ, the same for lines of LENGTHY characters or more
+FAR, FAR_LONG, LENGTHY = 40, 28, 100  #: most bits that may differ, the same for lines of LENGTHY characters or more
 TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
 LONGER = 9  #: fewest words of the lines that meet under blocks
 BLOCKS = 10
@@ -124,11 +124,12 @@ def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return a & b | a & c | b & c
 
 
-def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines with word hashes h, words of `size` bytes, n words each: whole SimHashes; keys under which lines meet, and the number of the line of each."""
+def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines with word hashes h, words of `size` bytes, n words each: two SimHashes of all words; keys under which lines meet, and the number of the line of each."""
     of, keys, owner = np.repeat(np.arange(len(n)), n), [np.zeros(0, U)], [np.zeros(0, np.int64)]
     all_ones, _ = lane_votes(h, of, len(n))
     whole = majority(all_ones, n)
+    second = majority(lane_votes(mix(h ^ _KIND[-1]), of, len(n))[0], n)
     tiny = np.flatnonzero((n >= TINY[0]) & (n <= TINY[1]))
     if len(tiny):
         keys.append(_key(whole[tiny], n[tiny]))
@@ -155,7 +156,7 @@ def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
             ok = (voter[0] != voter[1]) & (voter[0] != voter[2]) & (voter[1] != voter[2])  # one or two features say little
             keys.append(mix(_three(*voter) ^ _KIND[i + 1])[ok])
             owner.append(some[ok])
-    return whole, np.concatenate(keys), np.concatenate(owner)
+    return whole, second, np.concatenate(keys), np.concatenate(owner)
 
 
 def line_keys(lines: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +164,7 @@ def line_keys(lines: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarra
     keys, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for first, h, size, n in docs_words(lines):
         mine = np.repeat(n >= min_words, n)
-        _, key, line = word_keys(h[mine], size[mine], np.where(n >= min_words, n, 0))
+        _, _, key, line = word_keys(h[mine], size[mine], np.where(n >= min_words, n, 0))
         keys.append(key)
         owner.append(line + first)
     return np.concatenate(keys), np.concatenate(owner)
@@ -184,7 +185,7 @@ FLUSH = 1 << 18  #: keys that a task holds before it sends them on
 
 
 def _measure(min_words: int, buckets: int):
-    """Rows of two kinds: a line (k, rk, line, h, size, fp), or the packed keys and hashes of many lines, by bucket of the key (bucket, packed)."""
+    """Rows of two kinds: a line (k, rk, line, h, size, fp, fp2), or the packed keys and hashes of many lines, by bucket of the key (bucket, packed)."""
 
     def run(batches):
         kind, held, many = None, [], 0
@@ -198,7 +199,7 @@ def _measure(min_words: int, buckets: int):
             b = bucket_of(key, buckets)
             cut = np.flatnonzero(np.diff(b, prepend=-1))
             blobs = [pack(key[i:j], sig[i:j]) for i, j in zip(cut, [*cut[1:], len(key)])]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(cut), kind), *(pa.nulls(len(cut), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())), pa.array(b[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(cut), kind), *(pa.nulls(len(cut), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array(b[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=NAMES)
 
         for batch in slices(batches):
             kind = batch.column(1).type
@@ -206,16 +207,17 @@ def _measure(min_words: int, buckets: int):
             distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
             forms = [forms[i] for i in at]
             size, fp = np.array([len(x) if x.isascii() else len(x.translate(None, _INNER)) for x in forms], np.int32), np.zeros(len(forms), U)
+            fp2 = fp.copy()
             ok = np.zeros(len(forms), bool)
             for first, words, length, n in docs_words(forms):
                 part = slice(first, first + len(n))
                 ok[part] = n >= max(min_words, 1)
                 mine, n_ok = np.repeat(ok[part], n), np.where(ok[part], n, 0)
-                fp[part], key, line = word_keys(words[mine], length[mine], n_ok)
+                fp[part], fp2[part], key, line = word_keys(words[mine], length[mine], n_ok)
                 held.append((key, distinct[line + first]))
                 many += len(key)
             keep = ok[back]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[keep])), batch.column(0).take(pa.array(text[keep])), pa.array(number[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(size[back][keep]), pa.array(fp[back][keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.int32()), pa.nulls(int(keep.sum()), pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[keep])), batch.column(0).take(pa.array(text[keep])), pa.array(number[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(size[back][keep]), pa.array(fp[back][keep].view(np.int64)), pa.array(fp2[back][keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.int32()), pa.nulls(int(keep.sum()), pa.binary())], names=NAMES)
             if many >= FLUSH:
                 yield flush()
                 held, many = [], 0
@@ -225,7 +227,7 @@ def _measure(min_words: int, buckets: int):
     return run
 
 
-NAMES = ["k", "rk", "line", "h", "size", "fp", "bucket", "packed"]
+NAMES = ["k", "rk", "line", "h", "size", "fp", "fp2", "bucket", "packed"]
 _INNER = bytes(range(128, 192))  #: bytes within a character
 
 
@@ -267,7 +269,7 @@ def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, bucket
     """Links (a, b) between hashes of lines, enough to connect those that meet and are edit_similar."""
     met = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, sig long"))
     some = met.select("sig").distinct()
-    known = written(forms_of.select(F.col("h").alias("sig"), "size", "fp").join(some, "sig", "left_semi"))
+    known = written(forms_of.select(F.col("h").alias("sig"), "size", F.struct("fp", "fp2").alias("fp")).join(some, "sig", "left_semi"))
     wanted = put_set(known, "sig", max(1, -(-known.count() // 2_000_000)))
     forms = written(texts.mapInArrow(_texts(wanted), "id long, text string").dropDuplicates(["id"]))
 
@@ -275,7 +277,7 @@ def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, bucket
         one, other = (forms.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
 
-    return linked_in_shards(skew_join(met, known, "sig"), decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit)
+    return linked_in_shards(skew_join(met, known, "sig"), decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit, bits="bit_count(fx.fp ^ fy.fp) + bit_count(fx.fp2 ^ fy.fp2)")
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -284,9 +286,9 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WO
     buckets = max(1, text_bytes(docs, text) // BUCKET)
     d = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("k"), F.col(text).alias("t"))
     kind = d.schema["k"].dataType.simpleString()
-    found = written(d.mapInArrow(_measure(min_words, buckets), f"k {kind}, rk long, line int, h long, size int, fp long, bucket int, packed binary"))
+    found = written(d.mapInArrow(_measure(min_words, buckets), f"k {kind}, rk long, line int, h long, size int, fp long, fp2 long, bucket int, packed binary"))
     lines, packed = found.where("packed IS NULL").drop("bucket", "packed"), found.where("packed IS NOT NULL").select("bucket", "packed")
-    per = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.min("fp").alias("fp")))
+    per = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")))
     groups = components(_line_links(d.select("t"), per, packed, buckets))
     of = per.join(groups.select(F.col("id").alias("h"), "component"), "h", "left")
     of = written(of.where("n > 1 OR component IS NOT NULL").select("h", "n", F.coalesce("component", "h").alias("group")))
