@@ -25,6 +25,7 @@ TINY = (3, 10)  #: words of the lines that meet under all votes but one word's
 LONGER = 9  #: fewest words of the lines that meet under blocks
 BLOCKS = 10
 ALONE = 6  #: bytes of the shortest word that is a feature by itself
+FEW = 5  #: lines with at most so many different features, as far as the orders show, meet under each of them too
 #: ASCII letters lower-cased, digits as 0, white space as a space; ASCII punctuation goes.
 _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else 32 if 9 <= i < 14 else i for i in range(256))
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -147,7 +148,7 @@ def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     some = np.flatnonzero(n >= LONGER)
     if len(some):
         v = vote[n[of] >= LONGER]
-        start = np.cumsum(n[some]) - n[some]
+        start, drawn = np.cumsum(n[some]) - n[some], []
         for i in range(BLOCKS):
             voter = [mix((np.minimum.reduceat((v ^ x) * y, start) * back) ^ x) for x, y, back in _ORDERS[4 * i : 4 * i + 4]]
             *voter, other = voter  # a fourth stands in where two are the same
@@ -156,6 +157,18 @@ def word_keys(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
             ok = (voter[0] != voter[1]) & (voter[0] != voter[2]) & (voter[1] != voter[2])  # one or two features say little
             keys.append(mix(_three(*voter) ^ _KIND[i + 1])[ok])
             owner.append(some[ok])
+            drawn += [*voter, other]
+        # lines of few different features: any one of them, with the number of words to within a fifth
+        kinds = np.sort(np.stack(drawn, axis=1), axis=1)
+        few = np.flatnonzero((kinds[:, 1:] != kinds[:, :-1]).sum(axis=1) < FEW)
+        if len(few):
+            span = np.floor(np.log(n[some[few]]) / np.log(1.25)).astype(U)
+            kinds = kinds[few]
+            new = np.concatenate((np.ones((len(few), 1), bool), kinds[:, 1:] != kinds[:, :-1]), axis=1)
+            line, at = np.nonzero(new)
+            for more in (U(0), U(1)):
+                keys.append(mix(kinds[line, at] ^ _KIND[BLOCKS + 1]) + mix((span[line] + more) ^ _KIND[BLOCKS + 2]))
+                owner.append(some[few[line]])
     return whole, second, np.concatenate(keys), np.concatenate(owner)
 
 
@@ -310,7 +323,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     name, hashed, lines = fresh(docs, "_key", "_rk", "_lines")
     gone = repeated_lines(docs, key, text, min_words).withColumnsRenamed({"rk": hashed, "lines": lines})
     joined = docs.withColumn(name, F.xxhash64(key, text)).join(gone, F.col(name) == F.col(hashed), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    parts = F.split(text, "\n")
+    # runs of lines between those that go, so that each line is looked at once
+    whole = F.struct(parts.alias("p"), F.array_append(F.array_sort(lines), F.size(parts)).alias("g"))
+    last = lambda s, i: F.when(i == 0, -1).otherwise(F.get(s["g"], i - 1))
+    runs = lambda s: F.flatten(F.transform(s["g"], lambda x, i: F.slice(s["p"], last(s, i) + 2, x - last(s, i) - 1)))
+    left = F.get(F.transform(F.array(whole), lambda s: F.array_join(runs(s), "\n")), F.lit(0))
     kept = [c for c in docs.columns if c.lower() != "n_removed"]
     return joined.withColumns({text: F.when(F.col(lines).isNull(), F.col(text)).otherwise(left), "n_removed": F.coalesce(F.size(lines), F.lit(0))}).select(*kept, "n_removed")
 

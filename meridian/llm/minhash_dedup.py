@@ -15,27 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.components import components, linked_in_shards
+from meridian.llm.components import components
 from meridian.llm.shared import fresh, put_set, skew_join, slices, small_batches, written
 from meridian.llm.simhash_dedup import _blocks, _similar, _texts_of
-from meridian.llm.words import U, encoded, lane_votes, majority, mix
+from meridian.llm.words import U, encoded, mix
 
 COLLECTIONS, WIDTH = 10, 2
-NEAR = 24  #: bits in which SimHashes of similar sets may differ (6 to 10 on average at 0.85, standard deviation 3)
 
 
 def _measured(width: int, many: int, wide: int):
-    """Streams (k, t); yields (k, sig, size, fp, u): hash of the shingle set, its size, SimHash, and the hashes of its collections."""
+    """Streams (k, t); yields (k, sig, size, u): hash of the shingle set, its size, and the hashes of its collections."""
     salts = mix(np.arange(1, many * wide + 1, dtype=U) * U(0xD1342543DE82EF95))
 
     def run(batches):
         for batch in slices(batches):
             texts = encoded(batch.column(1))
-            sig, size, fp, u = np.zeros(len(texts), U), np.zeros(len(texts), np.int64), np.zeros(len(texts), U), np.zeros((len(texts), many), U)
+            sig, size, u = np.zeros(len(texts), U), np.zeros(len(texts), np.int64), np.zeros((len(texts), many), U)
             for at, s, n in _blocks(texts, width):
                 part, some = slice(at, at + len(n)), np.flatnonzero(n) + at
                 size[part] = n
-                fp[part] = majority(*lane_votes(s, np.repeat(np.arange(len(n)), n), len(n)))
                 if len(s):
                     start = (np.cumsum(n) - n)[n > 0]
                     sig[some] = mix(np.add.reduceat(mix(s), start) + n[n > 0].astype(U))
@@ -45,12 +43,66 @@ def _measured(width: int, many: int, wide: int):
                             name = mix(name + np.minimum.reduceat(mix(s ^ x), start))
                         u[some, c] = name
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * many, pa.int32()), pa.array(u.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), lists], names=["k", "sig", "size", "fp", "u"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig.view(np.int64)), pa.array(size), lists], names=["k", "sig", "size", "u"])
 
     return run
 
 
-def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.85, many: int = COLLECTIONS, wide: int = WIDTH, limit: int = 1024) -> DataFrame:
+def _compatible(x: str, y: str, similar: float) -> str:
+    return f"LEAST({x}, {y}) >= {similar} * GREATEST({x}, {y}) - 1e-9"
+
+
+def _with_pivots(shards: DataFrame, similar: float) -> DataFrame:
+    """(a, b): each set of shards(s, sig, size, m) with the pivot of each of its tables' rows: the one whose keys are the most common, as those of the text that others were made from are."""
+    known = skew_join(shards, shards.groupBy("sig").agg(F.sum("m").alias("common")), "sig")
+    known = written(known.select("s", "sig", "size", "common"))
+    pivot = known.groupBy("s").agg(F.max(F.struct("common", "sig", "size")).alias("p"), F.count("*").alias("n")).select("s", "n", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    met = skew_join(known, pivot.drop("n"), "s", pivot.select("s", "n")).where("sig != pivot").where(_compatible("size", "pivot_size", similar))
+    return met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
+
+
+def _tokens(width: int):
+    """Streams (sig, t); yields (sig, token) for each distinct shingle."""
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            sig = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, s, n in _blocks(encoded(batch.column(1)), width):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig[at : at + len(n)], n)), pa.array(s.view(np.int64))], names=["sig", "token"])
+
+    return run
+
+
+def _apart(shards: DataFrame, nodes: DataFrame, forms: DataFrame, at: DataFrame, similar: float, width: int) -> DataFrame:
+    """(a, b): pairs that meet in a table, lie in different components (at: id, component), and may be similar.
+
+    Where all of a table's row is one component, nothing is left to do. Of the other sets, two that are similar have a shingle in
+    common among the rarest of either: as many as may be missing from the other, and one. That leaves out no similar pair,
+    and copies that were each edited on their own share none of those. Of a shingle's sets, those outside its largest component
+    look at all others.
+    """
+    of = at.select(F.col("id").alias("sig"), F.col("component").alias("c"))
+    placed = written(shards.select("s", "sig").join(of, "sig", "left").select("s", "sig", F.coalesce("c", "sig").alias("c")))
+    open_ = placed.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
+    v = written(placed.join(open_, "s").select("sig", "c").distinct())
+    tokens = written(forms.join(v.select("sig"), "sig").select("sig", "t").mapInArrow(_tokens(width), "sig long, token long"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = skew_join(tokens, df.where("n > 1"), "token", df).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("x"))
+    # shingles of one set only come first, and need no place in the list
+    sized = ranked.join(nodes.select("sig", "size", "u"), "sig").withColumn("alone", F.col("size") - F.size("x"))
+    most = F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1 - F.col("alone")
+    rare = sized.where(most > 0).join(v, "sig").select("sig", "c", "size", "u", F.explode(F.slice("x", F.lit(1), most.cast("int"))).alias("x"))
+    rare = written(rare.select("sig", "c", "size", "u", F.col("x.token").alias("token")))
+    main = rare.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("n")).where("kinds > 1")
+    known = written(skew_join(rare, main.select("token", "main"), "token", main.select("token", "n")))
+    few = known.where("c != main").select("token", "main", F.col("sig").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("u").alias("ux"))
+    every = known.select("token", F.col("sig").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("u").alias("uy"))
+    met = few.join(every, "token").where("cx != cy AND (cy = main OR x < y)").where(_compatible("nx", "ny", similar))
+    tabled = F.size(F.filter(F.zip_with("ux", "uy", lambda p, q: p == q), lambda e: e)) >= 2  # two collections agree, so a table has both under one key
+    return met.where(tabled).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.85, many: int = COLLECTIONS, wide: int = WIDTH) -> DataFrame:
     """(key, n_shingles long, component_id, kept boolean) for each row.
 
     A text's set has its distinct shingles of `width` words (runs of other than space and \\t..\\r, A-Z as a-z), or all words
@@ -59,25 +111,29 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     empty sets and link with nothing. Equal sets are one node, whatever their number. A null key is least only among null keys, and is
     then kept. Rows of one key get a row each. An empty table gives no rows.
 
-    Candidates (equal table keys, sizes that allow the similarity, SimHashes within NEAR bits) are decided on the full sets
-    of the whole texts.
+    Candidates have equal keys in a table and sizes that allow the similarity. Each set is compared with its tables' pivots first; pairs
+    of what is not connected then go through a filter that leaves out no similar pair. All are decided on the full sets of
+    the whole texts.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    found = written(texts.mapInArrow(_measured(width, many, wide), f"k {texts.schema['k'].dataType.simpleString()}, sig long, size long, fp long, u array<long>"))
-    nodes = written(found.where("size > 0").groupBy("sig").agg(F.min("k").alias("least"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.first("u").alias("u")))
+    found = written(texts.mapInArrow(_measured(width, many, wide), f"k {texts.schema['k'].dataType.simpleString()}, sig long, size long, u array<long>"))
+    nodes = written(found.where("size > 0").groupBy("sig").agg(F.min("k").alias("least"), F.count("*").alias("n"), F.min("size").alias("size"), F.first("u").alias("u")))
     tables = F.array(*(F.xxhash64(F.lit(many * i + j), F.get("u", F.lit(i)), F.get("u", F.lit(j))) for i, j in combinations(range(many), 2)))
-    tabled = nodes.select(F.explode(tables).alias("s"), "sig", "size", "fp")
-    met = tabled.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s")
+    tabled = nodes.select(F.explode(tables).alias("s"), "sig", "size")
+    met = tabled.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     shards = written(tabled.join(met, "s"))
     some = put_set(shards.select("sig").distinct(), "sig", 1 + nodes.count() // 2_000_000)
     forms = written(texts.select("t").mapInArrow(_texts_of(some, width), "sig long, t string").dropDuplicates(["sig"]))
 
     def decided(pairs: DataFrame) -> DataFrame:
         one, other = (forms.select(F.col("sig").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
-        return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(similar, width), "a long, b long")
+        return written(skew_join(written(pairs.distinct()).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(similar, width), "a long, b long"))
 
-    joined = components(linked_in_shards(shards, decided, similar, NEAR, limit, tree=True))
+    first = decided(_with_pivots(shards, similar))
+    at = written(components(first))
+    more = decided(_apart(shards, nodes, forms, at, similar, width))
+    joined = components(first.union(more))
     of = written(nodes.select("sig", "least", "n").join(joined.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "least", "n", F.coalesce("component", "sig").alias("c")))
     named = written(skew_join(of, of.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sig", "n", "component_id"))
     sized, lone = found.where("size > 0").select("k", "sig", "size"), found.where("size = 0").select("k", "size", F.col("k").alias("component_id"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import written
+from meridian.llm.shared import fresh, written
 
 DIGIT = 3  #: hex digits of the digest that a histogram resolves: 4096 cells
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,22 +120,22 @@ def _edges(slim: DataFrame, plan: DataFrame) -> list[DataFrame]:
         edge = sums.where("before < rest AND before + words >= rest").select("pattern", "cell", "before")
         out.append(edge.select("pattern", F.col("cell").alias(f"edge{i}")))
         level = level.drop("before").join(F.broadcast(edge), ["pattern", "cell"]).drop("cell")
-    w = Window.partitionBy("pattern").orderBy("digest", "doc_key").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("pattern").orderBy("digest", "doc_key", "rid").rowsBetween(Window.unboundedPreceding, -1)
     sums = level.withColumn("upto", F.col("before") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.col("upto") <= F.col("rest")
-    last = sums.groupBy("pattern").agg(F.max(F.when(fits, F.struct("digest", "doc_key"))).alias("last"), (F.max("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("before"))).alias("gap"))
+    last = sums.groupBy("pattern").agg(F.max(F.when(fits, F.struct("digest", "doc_key", "rid"))).alias("last"), (F.max("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("before"))).alias("gap"))
     out.append(last)
     left = slim.where("size > 0")
     for e in (plan, *out):
         left = left.join(F.broadcast(e), "pattern")
     left = left.where("rest > 0 AND size <= gap").where(~_before_edge())
-    out.append(left.groupBy("pattern").agg(F.max(F.struct("size", "digest", "doc_key")).alias("filler")))
+    out.append(left.groupBy("pattern").agg(F.max(F.struct("size", "digest", "doc_key", "rid")).alias("filler")))
     return out
 
 
 def _before_edge() -> Column:
     at = F.concat("edge0", "edge1")
-    return F.when(F.substring("digest", 1, 2 * DIGIT) < at, True).otherwise(F.coalesce(F.struct("digest", "doc_key") <= F.col("last"), F.lit(False)))
+    return F.when(F.substring("digest", 1, 2 * DIGIT) < at, True).otherwise(F.coalesce(F.struct("digest", "doc_key", "rid") <= F.col("last"), F.lit(False)))
 
 
 def _select(docs: DataFrame, plan: DataFrame, edges: list[DataFrame]) -> DataFrame:
@@ -143,36 +143,48 @@ def _select(docs: DataFrame, plan: DataFrame, edges: list[DataFrame]) -> DataFra
     d = docs.join(F.broadcast(plan), "pattern", "left")
     for e in edges:
         d = d.join(F.broadcast(e), "pattern", "left")
-    filler = F.coalesce(F.struct("digest", "doc_key") == F.struct("filler.digest", "filler.doc_key"), F.lit(False))
+    filler = F.coalesce(F.struct("digest", "doc_key", "rid") == F.struct("filler.digest", "filler.doc_key", "filler.rid"), F.lit(False))
     more = F.when(F.coalesce("rest", F.lit(0)) <= 0, False).otherwise(_before_edge() | filler)
     return d.withColumn("taken", F.col("size") * (F.coalesce("whole", F.lit(0)) + more.cast("long"))).drop("whole", "rest", "edge0", "edge1", "last", "gap", "filler")
 
 
-def mix(docs: DataFrame, quota_of, sources: str = "sources", key: str = "doc_id", text: str = "text", repeats: int = 3, seed: int = 7, max_patterns: int = 100_000) -> DataFrame:
-    """docs with size, pattern, and taken: the words that the mix takes of a document, a multiple of its size.
-
-    sources is a column of arrays (null and empty: no source). quota_of gets {source: words} and returns
-    {source: quota}. A null key sorts first; rows that repeat are documents of their own and, having the same digest,
-    are taken together up to the one at the edge. A document of size 0 is taken 0 times.
-    """
+def _mixed(docs: DataFrame, quota_of, sources: Column, key: str, text: str, keep: Sequence[str], repeats: int, seed: int, max_patterns: int) -> DataFrame:
+    """(row, pattern, of, size, taken) for each row of docs: its size, its set of sources and how many words are taken; row is a struct of the columns to keep, so no name of theirs meets one of these."""
     spark = docs.sparkSession
-    pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast("array<string>"))))
-    d = docs.withColumns({"size": n_words(text), "pattern": F.to_json(F.struct(pattern.alias("p")), {"ignoreNullFields": "false"}), "doc_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "digest": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), "_sources": pattern})
-    slim = written(d.select("pattern", "_sources", "size", "doc_key", "digest"))
-    found = slim.groupBy("pattern", "_sources").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
+    pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+    k = F.col(key).cast("string")
+    like = F.lower(F.hex(F.xxhash64(*(F.col(c) if not t.startswith("map") else F.map_entries(c) for c, t in docs.dtypes))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k, F.concat(F.lit(" "), like))).cast("binary"))
+    names = F.to_json(F.struct(pattern.alias("p")), {"ignoreNullFields": "false"})
+    d = docs.select(F.struct(*keep).alias("row"), n_words(text).alias("size"), names.alias("pattern"), pattern.alias("of"), F.concat(F.coalesce(k, F.lit("")), F.lit(" "), like).alias("doc_key"), digest.alias("digest"), F.monotonically_increasing_id().alias("rid"))
+    d = written(d)  # rows keep their numbers
+    found = d.groupBy("pattern", "of").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns: merge rare sources first")
-    names = {tuple(r["_sources"]): r["pattern"] for r in found}
-    capacity = {tuple(r["_sources"]): r["words"] for r in found}
+    named = {tuple(r["of"]): r["pattern"] for r in found}
+    capacity = {tuple(r["of"]): r["words"] for r in found}
     of_source: dict = {}
     for p, n in capacity.items():
         for s in p:
             of_source[s] = of_source.get(s, 0) + n
     quota = quota_of(of_source)
     flow = min_cost_flow({p: n for p, n in capacity.items() if n > 0}, {s: round(q) for s, q in quota.items()}, repeats)
-    rows = [(names[p], sum(f.values()) // capacity[p], sum(f.values()) % capacity[p]) for p, f in flow.items()]
+    rows = [(named[p], sum(f.values()) // capacity[p], sum(f.values()) % capacity[p]) for p, f in flow.items()]
     plan = spark.createDataFrame(rows, "pattern string, whole long, rest long")
-    return _select(d, plan, _edges(slim.drop("_sources"), plan)).drop("digest", "doc_key", "_sources")
+    return _select(d, plan, _edges(d.select("pattern", "size", "doc_key", "digest", "rid"), plan)).select("row", "pattern", "of", "size", "taken")
+
+
+def mix(docs: DataFrame, quota_of, sources: str = "sources", key: str = "doc_id", text: str = "text", repeats: int = 3, seed: int = 7, max_patterns: int = 100_000) -> DataFrame:
+    """docs with size, pattern, and taken: the words that the mix takes of a document, a multiple of its size.
+
+    sources is a column of arrays (null and empty: no source). quota_of gets {source: words} and returns
+    {source: quota}. Documents are taken in the order of a seeded digest of their keys; without a key, of the whole row. Rows that
+    repeat are documents of their own: as many of them are taken as fit. A document of size 0 is taken 0 times. Where docs
+    has columns of the new names, these get an underscore.
+    """
+    mixed = _mixed(docs, quota_of, F.col(sources), key, text, docs.columns, repeats, seed, max_patterns)
+    size, pattern, taken = fresh(docs, "size", "pattern", "taken")
+    return mixed.select("row.*", F.col("size").alias(size), F.col("pattern").alias(pattern), F.col("taken").alias(taken))
 
 
 def cycling_quotas(of_source: dict, most: int = 3) -> dict:
@@ -181,22 +193,31 @@ def cycling_quotas(of_source: dict, most: int = 3) -> dict:
     return dict(zip(order, water_fill([of_source[s] for s in order], [1 + i % 3 for i in range(len(order))], sum(of_source.values()), most)))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """The columns of documents and size, source_size, target, taken, for documents of one source each."""
+def _one_source(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(row, size, source_size, target, taken) for documents of one source each."""
     held: dict = {}
 
     def quotas(of_source: dict) -> dict:
         held.update({s: (n, q) for (s, n), q in zip(of_source.items(), map(cycling_quotas(of_source).get, of_source))})
         return {s: q for s, (_, q) in held.items()}
 
-    mixed = mix(docs.withColumn("_of", F.array("source")), quotas, "_of")
+    mixed = _mixed(docs, quotas, F.array(F.col("source").cast("string")), "doc_id", "text", keep, 3, 7, 100_000)
     facts = docs.sparkSession.createDataFrame([(s, n, float(q)) for s, (n, q) in held.items()], "s string, source_size long, target double")
-    return mixed.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s"))).select(*docs.columns, "size", "source_size", "target", "taken")
+    return mixed.join(F.broadcast(facts), F.get("of", F.lit(0)).eqNullSafe(F.col("s"))).select("row", "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents and size, source_size, target, taken, for documents of one source each (null is a source).
+
+    Where docs has columns of the new names, these get an underscore. Keys, repeats and texts as in mix(). An empty table gives no rows.
+    """
+    new = ("size", "source_size", "target", "taken")
+    return _one_source(docs, docs.columns).select("row.*", *(F.col(c).alias(n) for c, n in zip(new, fresh(docs, *new))))
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return _one_source(docs, ["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def sizes_sql(docs: str) -> str:
@@ -220,6 +241,5 @@ OP2_SQL = f"WITH {sizes_sql('documents')} SELECT doc_id, CAST(size AS BIGINT) AS
 
 def taken_documents(docs: DataFrame) -> DataFrame:
     """The columns of documents: each document as often as the mix takes it; those of no words stay once, as they cost nothing."""
-    taken = mix_documents(docs)
     times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)
-    return taken.withColumn("_n", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))))).select(*docs.columns)
+    return _one_source(docs, docs.columns).select("row", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))))).select("row.*")

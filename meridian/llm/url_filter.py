@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.shared import written
+from meridian.llm.shared import fresh, written
 
 #: (verdict, host/path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -62,7 +62,7 @@ def _ratios(counts: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """pages with host, path, rule, verdict (allow or block: the rule's, else the method's), url_score.
+    """pages with host, path, rule, verdict (allow or block: the rule's, else the method's), url_score (with an underscore where pages has such a column).
 
     Every distinct url is scored once. Null urls count as empty ones. Without rejected urls the method allows all,
     without accepted ones it blocks all that no rule decides; without either it allows.
@@ -85,10 +85,12 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] =
     else:
         sd = m["allow_sd"] + m["block_sd"]
         limit = round((m["allow_mean"] * m["block_sd"] + m["block_mean"] * m["allow_sd"]) / sd if sd else (m["allow_mean"] + m["block_mean"]) / 2, 6)
-    scored = pages.withColumn("_url", u).join(scores.select(F.col("url").alias("_scored"), "score"), F.col("_url") == F.col("_scored"))
-    h, p = host(F.col("_url")), path(F.col("_url"))
-    decided = rule(h, p, rules, 0)
-    return scored.select(*pages.columns, h.alias("host"), p.alias("path"), rule(h, p, rules, 1).alias("rule"), F.coalesce(decided, F.when(F.round("score", 9) >= limit, "allow").otherwise("block")).alias("verdict"), F.col("score").alias("url_score"))
+    # a page's own columns go as one, so that no name of theirs meets one of these
+    scored = pages.select(F.struct("*").alias("row"), u.alias("u")).join(scores.select(F.col("url").alias("u"), "score"), "u")
+    h, p = host(F.col("u")), path(F.col("u"))
+    verdict = F.coalesce(rule(h, p, rules, 0), F.when(F.round("score", 9) >= limit, "allow").otherwise("block"))
+    new = fresh(pages, "host", "path", "rule", "verdict", "url_score")
+    return scored.select("row.*", *(c.alias(n) for c, n in zip((h, p, rule(h, p, rules, 1), verdict, F.col("score")), new)))
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
