@@ -112,3 +112,34 @@ def signature(parts: Column, prefix: str) -> Column:
 
 def filter_signature(orphans: bool, prefixes: Column) -> Column:
     return signature(F.concat(F.array(F.lit(f"orphans:{int(orphans)}")), F.transform(prefixes, lambda p: F.concat(F.lit("exclude:"), p))), "gf1")
+
+
+def times(a: Column, b: Column) -> Column:
+    """Product modulo 2**32 of two numbers below 2**32, by halves."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16)
+    top = (high * b.bitwiseAND(F.lit(0xFFFF)) + low * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF))
+    return _mask(F.shiftleft(top, 16) + low * b.bitwiseAND(F.lit(0xFFFF)))
+
+
+DRAW_STEP = 0x6D2B79F5  #: fixed value of the generator
+
+
+def draw(seed, n) -> Column:
+    """The n-th number (from 1), below 2**32, of the generator with this seed. Its state only counts, so any draw is a formula of n.
+
+    With seeds below 2**32 and n below 2**31.
+    """
+    v = _mask(mix32(_c(seed)) + times(_mask(_c(n)), F.lit(DRAW_STEP).cast("long")))
+    v = times(v.bitwiseXOR(F.shiftright(v, 15)), v.bitwiseOR(F.lit(1)))
+    v = v.bitwiseXOR(_mask(v + times(v.bitwiseXOR(F.shiftright(v, 7)), v.bitwiseOR(F.lit(61)))))
+    return v.bitwiseXOR(F.shiftright(v, 14))
+
+
+def draw_unit(seed, n) -> Column:
+    """The n-th draw within 0 and 1, without 1."""
+    return draw(seed, n) / F.lit(float(1 << 32))
+
+
+def draw_below(seed, n, most) -> Column:
+    """The n-th draw as a whole number from 0 to most - 1."""
+    return F.floor(draw_unit(seed, n) * _c(most)).cast("long")

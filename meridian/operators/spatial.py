@@ -23,12 +23,25 @@ def _around(size: float) -> Column:
     return F.explode(F.array(*steps)).alias("c")
 
 
-def within(points: DataFrame, others: DataFrame, angle: float) -> DataFrame:
-    """(idx, other, distance): each point (idx, x, y, z) with the others (idx, x, y, z) within the angle. Points look into 27 cells of that size."""
+def first_radius(points: DataFrame, most: int = 64) -> float:
+    """The greatest of the angles pi / 2, pi / 4, ... for whose cells no cell holds more than `most` points (idx, x, y, z), down to 2**-24 of pi.
+
+    One pass counts the cells of all sizes.
+    """
+    sizes = {i: max(chord(float(np.pi) / 2**i), 1e-9) for i in range(1, 25)}
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), *_cell(s)) for i, s in sizes.items()))).alias("c")
+    counts = points.select("x", "y", "z", cells).groupBy("c").agg(F.count("*").alias("n")).groupBy("c.level").agg(F.max("n").alias("n"))
+    small = counts.where(F.col("n") <= most).agg(F.min("level")).first()[0]
+    return float(np.pi) / 2 ** (small or 24)
+
+
+def within(points: DataFrame, others: DataFrame, angle: float, by: str | None = None) -> DataFrame:
+    """(idx, other, distance): each point (idx, x, y, z) with the others (idx, x, y, z) within the angle, of the same value of `by` if that is given. Points look into 27 cells of that size."""
     size = max(chord(angle), 1e-9)
-    p = points.select("idx", *(F.col(c).alias(f"p{c}") for c in "xyz"), _around(size)).select("idx", "px", "py", "pz", "c.*")
-    o = others.select(F.col("idx").alias("other"), "x", "y", "z", *_cell(size))
-    j = p.join(o, ["cx", "cy", "cz"])
+    group = [by] if by else []
+    p = points.select("idx", *group, *(F.col(c).alias(f"p{c}") for c in "xyz"), _around(size)).select("idx", *group, "px", "py", "pz", "c.*")
+    o = others.select(F.col("idx").alias("other"), *group, "x", "y", "z", *_cell(size))
+    j = p.join(o, [*group, "cx", "cy", "cz"])
     return j.select("idx", "other", S.angle(S.Vec(F.col("px"), F.col("py"), F.col("pz")), S.vec()).alias("distance")).where(F.col("distance") <= angle)
 
 
@@ -41,11 +54,14 @@ def near_pairs(points: DataFrame, angle: float) -> DataFrame:
     return p.join(m.withColumnRenamed("idx", "a").withColumnRenamed("movable", "_ma"), "a").join(m.withColumnRenamed("idx", "b").withColumnRenamed("movable", "_mb"), "b").where("_ma OR _mb").select("a", "b", "distance")
 
 
-def k_nearest(points: DataFrame, others: DataFrame, k: int, start: float = 0.1, same: bool = False) -> DataFrame:
-    """(idx, other, distance, rank): the k nearest others of each point, ties to the lesser other. Points without k within a radius try twice it."""
-    left, out, radius = points, None, start
+def k_nearest(points: DataFrame, others: DataFrame, k: int, start: float | None = None, same: bool = False, by: str | None = None) -> DataFrame:
+    """(idx, other, distance, rank): the k nearest others of each point (of the same value of `by`), ties to the lesser other.
+
+    The first radius follows from how densely the others lie, so that a cell holds few; points without k within a radius try twice it.
+    """
+    left, out, radius = points, None, start or first_radius(others, 16 * k)
     while True:
-        near = within(left, others, radius)
+        near = within(left, others, radius, by)
         if not same:
             near = near.where("idx != other")
         w = Window.partitionBy("idx")
@@ -62,12 +78,12 @@ def k_nearest(points: DataFrame, others: DataFrame, k: int, start: float = 0.1,
         radius = min(radius * 2, float(np.pi))
 
 
-def nearest(points: DataFrame, grid: DataFrame, start: float = 0.1) -> DataFrame:
+def nearest(points: DataFrame, grid: DataFrame, start: float | None = None) -> DataFrame:
     """(idx, cell, distance): the nearest grid point (idx, x, y, z) of each point, ties to the lesser."""
     return k_nearest(points, grid, 1, start, same=True).select("idx", F.col("other").alias("cell"), "distance")
 
 
-def spacing(points: DataFrame, k: int = 4, start: float = 0.1) -> DataFrame:
+def spacing(points: DataFrame, k: int = 4, start: float | None = None) -> DataFrame:
     """(idx, kth, characteristic, local): the k-th nearest angle; its median clamped to .035 to .7; the former within .5 to 2.2 times the latter."""
     kth = k_nearest(points, points, k, start).where(f"rank = {k}").select("idx", F.col("distance").alias("kth"))
     c = kth.agg(F.least(F.lit(0.7), F.greatest(F.lit(0.035), F.median("kth"))).alias("characteristic"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -268,12 +270,14 @@ def raster(spark, d):
     return q.select("idx", *(c.alias(n) for n, c in zip("xyz", S.fibonacci(F.col("idx").cast("double"), F.col("n")))))
 
 
-def raster_links(spark, d, angle=0.09):
-    p = spatial.near_pairs(raster(spark, d), angle)
+def raster_links(spark, d):
+    """Links both ways between cells within an angle that shrinks as cells get more, so that each has about as many links at every size."""
+    cells = raster(spark, d)
+    p = spatial.near_pairs(cells, 0.09 * math.sqrt(2000 / max(1, cells.count())))
     return p.select("a", "b").union(p.select("b", "a"))
 
 
-LINKS = CELLS + f", links AS (SELECT p.cell AS a, q.cell AS b FROM cells p JOIN cells q ON p.cell <> q.cell AND {ang('p.', 'q.')} <= 0.09)"
+LINKS = CELLS + f", links AS (SELECT p.cell AS a, q.cell AS b FROM cells p JOIN cells q ON p.cell <> q.cell AND {ang('p.', 'q.')} <= (SELECT 0.09 * sqrt(2000 / greatest(1, count(*))) FROM part))"
 
 
 @query("c14_near_pairs", with_("pos") + f"SELECT p.idx AS a, q.idx AS b, {rs(ang('p.', 'q.'), 'distance')} FROM pos p JOIN pos q ON p.idx < q.idx AND {ang('p.', 'q.')} <= 0.12 AND (p.idx % 3 = 0 OR q.idx % 3 = 0)")
@@ -349,7 +353,10 @@ def _(spark, d):
     return spatial.drop_unanchored(o, raster_links(spark, d), o.where("cell % 41 = 0 AND owner >= 0"))
 
 
-@query("j5_ascent_roots")
+UPS = "v5 AS (SELECT cell, round(sum(density), 9) AS v FROM fo GROUP BY cell), up AS (SELECT cell, CASE WHEN bv > v THEN nb ELSE cell END AS up FROM (SELECT x.cell, x.v, y.v AS bv, y.cell AS nb, row_number() OVER (PARTITION BY x.cell ORDER BY y.v DESC NULLS LAST, y.cell) AS r FROM v5 x LEFT JOIN links ON links.a = x.cell LEFT JOIN v5 y ON links.b = y.cell) WHERE r = 1), ro AS (SELECT cell, up AS root FROM up UNION SELECT ro.cell, up.up FROM ro JOIN up ON ro.root = up.cell WHERE up.up <> up.cell)"
+
+
+@query("j5_ascent_roots", with_("pos", recursive=True) + f", {FIELD}, {LINKS.removeprefix(CELLS + ', ')}, {UPS} SELECT ro.cell, ro.root FROM ro JOIN up ON ro.root = up.cell WHERE up.up = up.cell")
 def _(spark, d):
     p = T.positions(spark, d)
     f = spatial.density(raster(spark, d), p, spatial.spacing(p)).select("cell", F.round("density", 9).alias("value"))
