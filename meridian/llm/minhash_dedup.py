@@ -53,10 +53,13 @@ def _compatible(x: str, y: str, similar: float) -> str:
 
 
 def _with_pivots(shards: DataFrame, similar: float) -> DataFrame:
-    """(a, b): each set of shards(s, sig, size, m) with the pivot of each of its tables' rows: the one whose keys are the most common, as those of the text that others were made from are."""
+    """(a, b): each set of shards(s, sig, size, copies, m) with the pivot of each of its tables' rows.
+
+    That is the one whose keys are the most common, as those of the text that others were made from are; of several the one of most copies.
+    """
     known = skew_join(shards, shards.groupBy("sig").agg(F.sum("m").alias("common")), "sig")
-    known = written(known.select("s", "sig", "size", "common"))
-    pivot = known.groupBy("s").agg(F.max(F.struct("common", "sig", "size")).alias("p"), F.count("*").alias("n")).select("s", "n", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    known = written(known.select("s", "sig", "size", "common", "copies"))
+    pivot = known.groupBy("s").agg(F.max(F.struct("common", "copies", "sig", "size")).alias("p"), F.count("*").alias("n")).select("s", "n", F.col("p.sig").alias("pivot"), F.col("p.size").alias("pivot_size"))
     met = skew_join(known, pivot.drop("n"), "s", pivot.select("s", "n")).where("sig != pivot").where(_compatible("size", "pivot_size", similar))
     return met.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
 
@@ -77,8 +80,8 @@ def _apart(shards: DataFrame, nodes: DataFrame, forms: DataFrame, at: DataFrame,
     """(a, b): pairs that meet in a table, lie in different components (at: id, component), and may be similar.
 
     Where all of a table's row is one component, nothing is left to do. Of the other sets, two that are similar have a shingle in
-    common among the rarest of either: as many as may be missing from the other, and one. That leaves out no similar pair,
-    and copies that were each edited on their own share none of those. Of a shingle's sets, those outside its largest component
+    common among the rarest of either: as many as may be missing from the other, and one; and from the first such on, both must have as
+    many as the similarity takes. That leaves out no similar pair, and copies that were each edited on their own share none of those. Of a shingle's sets, those outside its largest component
     look at all others.
     """
     of = at.select(F.col("id").alias("sig"), F.col("component").alias("c"))
@@ -91,13 +94,15 @@ def _apart(shards: DataFrame, nodes: DataFrame, forms: DataFrame, at: DataFrame,
     # shingles of one set only come first, and need no place in the list
     sized = ranked.join(nodes.select("sig", "size", "u"), "sig").withColumn("alone", F.col("size") - F.size("x"))
     most = F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1 - F.col("alone")
-    rare = sized.where(most > 0).join(v, "sig").select("sig", "c", "size", "u", F.explode(F.slice("x", F.lit(1), most.cast("int"))).alias("x"))
-    rare = written(rare.select("sig", "c", "size", "u", F.col("x.token").alias("token")))
+    rare = sized.where(most > 0).join(v, "sig").select("sig", "c", "size", "u", "alone", F.posexplode(F.slice("x", F.lit(1), most.cast("int"))).alias("p", "x"))
+    # left: the shingles from this one on, the most that a pair can have in common whose first common one this is
+    rare = written(rare.select("sig", "c", "size", "u", (F.col("size") - F.col("alone") - F.col("p")).alias("left"), F.col("x.token").alias("token")))
     main = rare.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("n")).where("kinds > 1")
     known = written(skew_join(rare, main.select("token", "main"), "token", main.select("token", "n")))
-    few = known.where("c != main").select("token", "main", F.col("sig").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("u").alias("ux"))
-    every = known.select("token", F.col("sig").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("u").alias("uy"))
-    met = few.join(every, "token").where("cx != cy AND (cy = main OR x < y)").where(_compatible("nx", "ny", similar))
+    few = known.where("c != main").select("token", "main", F.col("sig").alias("x"), F.col("c").alias("cx"), F.col("size").alias("nx"), F.col("left").alias("lx"), F.col("u").alias("ux"))
+    every = known.select("token", F.col("sig").alias("y"), F.col("c").alias("cy"), F.col("size").alias("ny"), F.col("left").alias("ly"), F.col("u").alias("uy"))
+    enough = f"LEAST(lx, ly) >= {similar} / (1 + {similar}) * (nx + ny) - 1e-9"
+    met = few.join(every, "token").where(f"cx != cy AND (cy = main OR x < y) AND {enough}").where(_compatible("nx", "ny", similar))
     tabled = F.size(F.filter(F.zip_with("ux", "uy", lambda p, q: p == q), lambda e: e)) >= 2  # two collections agree, so a table has both under one key
     return met.where(tabled).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -120,7 +125,7 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", width: i
     found = written(texts.mapInArrow(_measured(width, many, wide), f"k {texts.schema['k'].dataType.simpleString()}, sig long, size long, u array<long>"))
     nodes = written(found.where("size > 0").groupBy("sig").agg(F.min("k").alias("least"), F.count("*").alias("n"), F.min("size").alias("size"), F.first("u").alias("u")))
     tables = F.array(*(F.xxhash64(F.lit(many * i + j), F.get("u", F.lit(i)), F.get("u", F.lit(j))) for i, j in combinations(range(many), 2)))
-    tabled = nodes.select(F.explode(tables).alias("s"), "sig", "size")
+    tabled = nodes.select(F.explode(tables).alias("s"), "sig", "size", F.col("n").alias("copies"))
     met = tabled.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     shards = written(tabled.join(met, "s"))
     some = put_set(shards.select("sig").distinct(), "sig", 1 + nodes.count() // 2_000_000)
