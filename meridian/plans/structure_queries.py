@@ -160,8 +160,8 @@ def _(spark, d):
 
 # signatures, seeded numbers, orders
 @query("h3_graph_signature", with_("edges", "notes") + f""", rows_ AS (SELECT 0 AS kind, '' AS a, NULL AS b, 'filter:all' AS t UNION ALL SELECT 1, id, NULL, 'node:' || id FROM notes UNION ALL SELECT 2, src_id, dst_id, 'edge:' || to_json([src_id, dst_id, fwd::VARCHAR, bwd::VARCHAR]) FROM edges),
-    b AS (SELECT i // {signatures.FAN} AS at, sha256(string_agg(sha256('=' || t), '' ORDER BY i)) AS h FROM (SELECT t, row_number() OVER (ORDER BY kind, a, b) - 1 AS i FROM rows_) GROUP BY 1)
-    SELECT CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY at)) END AS digest FROM b""")
+    b AS (SELECT i // {signatures.FAN} AS blk, sha256(string_agg(sha256('=' || t), '' ORDER BY i)) AS h FROM (SELECT t, row_number() OVER (ORDER BY kind, a, b) - 1 AS i FROM rows_) GROUP BY 1)
+    SELECT CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY blk)) END AS digest FROM b""")
 def _(spark, d):
     return signatures.graph_signature(T.notes(spark, d).select(F.col("path").alias("id")), full_edges(spark, d), F.lit("all"))
 
