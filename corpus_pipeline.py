@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridian.llm import byte_bpe, importance, line_dedup, mixing, simhash_dedup
-from meridian.llm.shared import written
+from meridian.llm.shared import fresh, written
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that importance resampling keeps."""
+    """Documents that importance resampling keeps; rows equal in doc_id and text stay or go together. An empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    kept = importance.resample(docs, labels).where("kept").select(F.col("row_hash").alias("_kept")).distinct()
-    return docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_kept"), "left_semi")
+    name, = fresh(docs, "_kept")
+    kept = importance.resample(docs, labels).where("kept").select(F.col("row_hash").alias(name)).distinct()
+    return docs.join(kept, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(name), "left_semi")
 
 
 def lines(spark, docs, sf_dir):
-    """Documents without the lines that others, or they themselves, have before; all documents stay."""
+    """Documents without the lines that others, or they themselves, have before; all documents stay, null texts as null. n_chars follows the text."""
     left = line_dedup.dedup_lines(docs)
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -32,7 +35,7 @@ def source_mix(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    """Digests of each document's token ids and of the bytes decoded from them."""
+    """Digests of each document's token ids and of the bytes decoded from them; a null text is empty, a repeated row has a row each."""
     import public_tokenizers as P
 
     return byte_bpe.encoded_digests(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
