@@ -1,21 +1,28 @@
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from meridian.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["build_graph", "d1_undirected_edges", "c8_rename_edges", "d14_conductance", "e7_apportion", "h1_h2_signatures", "h24_slerp", "j9_sea_between"]
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in os.listdir(DIR):
+        c.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DIR}/{f}'")
+    return c
 
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "pages"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_equals_sql(spark, con, name):
     want = con.sql(entry.oracle_sql()[name])
     cols = sorted(want.columns)
     got = entry.queries()[name](spark, DIR)

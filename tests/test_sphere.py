@@ -127,3 +127,95 @@ def test_separated_top_equals_a_greedy_walk(spark):
         want |= {(o, t) for t in taken}
     assert {(r["grp"], r["node"]) for r in A.separated_top(frame, "grp", 0.42, 5).collect()} == want
     assert A.separated_top(frame.limit(0), "grp", 0.42, 5).count() == 0
+
+
+def test_one_of_two_writers_wins_and_changes_come_in_one_commit(spark, tmp_path):
+    import threading
+
+    from meridian.sources.state import StateStore
+
+    folder = str(tmp_path / "state")
+    s = StateStore(spark, folder)
+    first = s.commit({"a": spark.range(3), "b": spark.range(4)}, None)
+    done = []
+
+    def write(n):
+        try:
+            done.append((n, StateStore(spark, folder).commit({"a": spark.range(n)}, first)))
+        except ValueError:
+            done.append((n, None))
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (10, 20, 30)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [n for n, v in done if v]
+    assert len(done) == 3 and len(won) == 1 and s.load("a").count() == won[0] and set(s.tables()) == {"a"}
+    assert not s._create(s.current(), {}) and s.load("a").count() == won[0]
+    s.commit({"a": spark.range(5), "b": spark.range(6)}, s.current())
+    calls = []
+
+    def change(tables):
+        calls.append(1)
+        if len(calls) == 1:  # another writer comes between
+            s.commit({"a": spark.range(7)}, s.current(), keep=True)
+        return {"a": tables["a"].where("id > 0")}
+
+    s.amend(change)
+    assert s.load("a").count() == 6 and s.load("b").count() == 6 and len(calls) == 2
+    old = s.versions()
+    s.forget(1)
+    assert s.versions() == old[-1:] and s.load("b").count() == 6
+
+
+def test_signature_ignores_row_order_and_sees_a_changed_weight(spark):
+    from meridian.operators import signatures
+
+    n = spark.createDataFrame([(f"n{i:04d}",) for i in range(5000)], "id string")
+    e = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}", 1.0, 2.0) for i in range(50)], "src_id string, dst_id string, fwd double, bwd double")
+    sign = lambda n, e, f="x": signatures.graph_signature(n, e, F.lit(f)).first()["digest"]
+    base = sign(n, e)
+    assert sign(n.repartition(7), e.orderBy(F.desc("src_id"))) == base
+    assert base not in {sign(n, e.withColumn("bwd", F.when(F.col("src_id") == "n0007", 2.5).otherwise(F.col("bwd")))), sign(n, e, "y"), sign(n.where("id != 'n4000'"), e), sign(n, e.limit(49))}
+    assert signatures.ordered_digest(n.limit(0), F.col("id"), F.col("id")).first()["digest"] == sign_of_nothing()
+
+
+def sign_of_nothing():
+    import hashlib
+
+    return hashlib.sha256().hexdigest()
+
+
+def test_draws_follow_the_walk(spark):
+    from meridian.functions import hashing as H
+
+    m = (1 << 32) - 1
+
+    def mix(x):
+        x = (x ^ x >> 16) * H.MIX_A & m
+        x = (x ^ x >> 15) * H.MIX_B & m
+        return x ^ x >> 15
+
+    for seed in (0, 7, 4294967295):
+        state, want = mix(seed), []
+        for _ in range(40):
+            state = (state + H.DRAW_STEP) & m
+            v = (state ^ state >> 15) * (state | 1) & m
+            v ^= (v + ((v ^ v >> 7) * (v | 61) & m)) & m
+            want.append(v ^ v >> 14)
+        got = spark.range(1, 41).select("id", H.draw(F.lit(seed).cast("long"), F.col("id")).alias("d"), H.draw_below(F.lit(seed).cast("long"), F.col("id"), 10).alias("b")).orderBy("id").collect()
+        assert [r["d"] for r in got] == want and [r["b"] for r in got] == [int(w / 2**32 * 10) for w in want]
+
+
+def test_orders_of_letters(spark):
+    from meridian.operators import signatures
+
+    t = ["￿", "\U0001f600", "b", "B", "a", "é", "f", "Z"]
+    df = spark.createDataFrame([(x,) for x in t], "t string")
+    assert [r["t"] for r in df.orderBy(signatures.code_units(F.col("t"))).collect()] == sorted(t, key=lambda x: x.encode("utf-16-be"))
+    assert [r["t"] for r in df.where("length(t) = 1 AND t < 'ÿ'").orderBy(signatures.locale_key(F.col("t"))).collect()] == ["a", "b", "B", "é", "f", "Z"]
+    placed = signatures.seeded_order(spark.range(200).toDF("id"), 9, "id").collect()
+    assert sorted(r["place"] for r in placed) == list(range(200)) and any(r["place"] != r["id"] for r in placed)
+    again = signatures.seeded_order(spark.range(200).toDF("id").repartition(5), 9, "id").collect()
+    assert {r["id"]: r["place"] for r in placed} == {r["id"]: r["place"] for r in again}
