@@ -17,7 +17,11 @@ def both_ways(edges: DataFrame, a: str = "src_id", b: str = "dst_id") -> DataFra
 
 def distances(arcs: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(id, distance) of what the seeds (id) reach over arcs (src, dst), up to `most` steps. Each round joins the frontier only."""
-    arcs = checkpointed(arcs)
+    return _walk(checkpointed(arcs), seeds, most)
+
+
+def _walk(arcs: DataFrame, seeds: DataFrame, most: int | None = None, until=None) -> DataFrame:
+    """distances() over arcs that are stored already; ends with the step that reaches the id `until`, if that is given."""
     seen = frontier = checkpointed(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
     step = 0
     while most is None or step < most:
@@ -27,6 +31,8 @@ def distances(arcs: DataFrame, seeds: DataFrame, most: int | None = None) -> Dat
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if until is not None and not frontier.where(F.col("id") == F.lit(until)).isEmpty():
+            break
         if step % 8 == 0:
             seen = checkpointed(seen)
     return seen
@@ -37,17 +43,17 @@ def shortest_path_union(edges: DataFrame, s, t, a: str = "src_id", b: str = "dst
 
     No rows if t is not reached. s = t gives that node at distance 0. Two distance fields decide, so paths are never listed.
     """
-    arcs = both_ways(edges, a, b)
+    arcs = checkpointed(both_ways(edges, a, b))
     spark = edges.sparkSession
     kind = arcs.schema["src"].dataType.simpleString()
     one = lambda v: spark.createDataFrame([(v,)], f"id {kind}")
-    ds = distances(arcs, one(s))
+    ds = _walk(arcs, one(s), until=t)
     hit = ds.where(F.col("id") == F.lit(t)).first()
     none = spark.createDataFrame([], f"kind string, src {kind}, dst {kind}, distance int")
     if hit is None:
         return none
     far = hit["distance"]
-    dt = distances(arcs, one(t), far)
+    dt = _walk(arcs, one(t), far)
     on = checkpointed(ds.join(dt.withColumnRenamed("distance", "back"), "id").where(F.col("distance") + F.col("back") == far).select("id", "distance"))
     nodes = on.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(far).alias("distance"))
     x, y = on.select(F.col("id").alias("src"), F.col("distance").alias("dx")), on.select(F.col("id").alias("dst"), F.col("distance").alias("dy"))

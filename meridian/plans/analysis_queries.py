@@ -16,6 +16,7 @@ from meridian.operators import indexing, layout, ranking, spatial, traversal, va
 from meridian.plans.base_sql import with_
 from meridian.plans.graph_queries import full_edges, full_nodes, owners
 from meridian.sources import tables as T
+from meridian.sources.state import checkpointed
 from meridian.streaming import changes
 
 QUERIES: dict = {}
@@ -60,21 +61,23 @@ def bfs_sql(name: str, seed: str, depth: int) -> str:
     return ", ".join(out)
 
 
-def ends_of(spark, d):
-    return full_edges(spark, d).agg(F.min("src_id").alias("s"), F.max("dst_id").alias("t")).first()
+def ends_of(edges):
+    return edges.agg(F.min("src_id").alias("s"), F.max("dst_id").alias("t")).first()
 
 
 @query("i2_bfs_distances", with_("edges") + f", {ARCS}, {ENDS}, {bfs_sql('r', 'SELECT s AS id FROM st', 10)} SELECT id, distance FROM r10")
 def _(spark, d):
-    return traversal.distances(traversal.both_ways(full_edges(spark, d)), spark.createDataFrame([(ends_of(spark, d)["s"],)], "id string"))
+    edges = checkpointed(full_edges(spark, d).select("src_id", "dst_id"))
+    return traversal.distances(traversal.both_ways(edges), spark.createDataFrame([(ends_of(edges)["s"],)], "id string"))
 
 
 @query("i1_m15_shortest_path_union", with_("edges") + f""", {ARCS}, {ENDS}, {bfs_sql('p', 'SELECT s AS id FROM st', 10)}, {bfs_sql('q', 'SELECT t AS id FROM st', 10)},
     far AS (SELECT distance AS n FROM p10, st WHERE id = t), onp AS (SELECT a.id, a.distance AS da FROM p10 a JOIN q10 b ON a.id = b.id, far WHERE a.distance + b.distance = far.n)
     SELECT 'node' AS kind, id AS src, NULL::VARCHAR AS dst, n AS distance FROM onp, far UNION ALL SELECT 'edge', e.src_id, e.dst_id, n FROM edges e JOIN onp a ON e.src_id = a.id JOIN onp b ON e.dst_id = b.id, far WHERE abs(a.da - b.da) = 1""")
 def _(spark, d):
-    e = ends_of(spark, d)
-    return traversal.shortest_path_union(full_edges(spark, d), e["s"], e["t"])
+    edges = checkpointed(full_edges(spark, d).select("src_id", "dst_id"))
+    e = ends_of(edges)
+    return traversal.shortest_path_union(edges, e["s"], e["t"])
 
 
 @query("i3_refresh_plan", with_("edges", "notes") + f""", {ARCS}, n AS (SELECT id, NOT id LIKE '%7.md' AS existing FROM notes), {bfs_sql('r', "SELECT id FROM n WHERE NOT existing OR id LIKE '%11.md'", 2)}
