@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from meridian.functions import hashing as H
 from meridian.functions import paths as P
-from meridian.operators import communities, indexing, signatures, spatial, trees
+from meridian.operators import communities, indexing, signatures, spatial, trees, validation
 from meridian.plans.analysis_queries import r6, raster, raster_links
 from meridian.plans.base_sql import with_
+from meridian.plans.function_queries import _fold
 from meridian.plans.graph_queries import MOVED, full_edges, full_nodes, renames
 from meridian.sources import tables as T
 from meridian.sources.state import StateStore, shared_folder
@@ -214,3 +215,34 @@ def _(spark, d):
 
     store.amend(change)
     return store.load("layout")
+
+
+# saved state
+@query("l10_effective_seeds", f"WITH a AS (SELECT c_custkey, 'x' || c_mktsegment AS s FROM customer), t AS (SELECT c_custkey, length(c_custkey::VARCHAR) || ':' || c_custkey || ';1:3;' || length(s) || ':' || s || ';2:10;' AS p FROM a) SELECT c_custkey, {_fold('p', str(H.OFFSET))} AS seed FROM t")
+def _(spark, d):
+    return T.table(spark, d, "customer").select("c_custkey", H.effective_seed(F.col("c_custkey"), F.lit(3), F.concat(F.lit("x"), "c_mktsegment")).alias("seed"))
+
+
+@query("m8_usable_snapshots", with_("notes", "cust") + ", s AS (SELECT n_nationkey AS snapshot_id, 7 + n_nationkey % 5 AS v FROM nation), p AS (SELECT c_nationkey AS snapshot_id, path FROM customer JOIN cust ON c_custkey = key WHERE c_custkey % 2 = 1) SELECT snapshot_id::INT AS snapshot_id, v BETWEEN 9 AND 10 AND EXISTS (SELECT 1 FROM p JOIN notes ON path = id WHERE p.snapshot_id = s.snapshot_id AND NOT starts_with(id, 'ASIA/')) AS usable FROM s")
+def _(spark, d):
+    snapshots = T.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("snapshot_id"), (7 + F.col("n_nationkey") % 5).alias("algorithm_version"))
+    c = T.table(spark, d, "customer").where("c_custkey % 2 = 1").select("c_custkey", F.col("c_nationkey").cast("int").alias("snapshot_id"))
+    positions = c.join(T.customers(spark, d).select(F.col("key").alias("c_custkey"), "path"), "c_custkey").select("snapshot_id", "path")
+    nodes = T.notes(spark, d).select(F.col("path").alias("id")).where("NOT startswith(id, 'ASIA/')")
+    return validation.usable(snapshots, nodes, positions).select("snapshot_id", "usable")
+
+
+@query("m9_migrated_state", "SELECT c_custkey, 4 AS schema_version, CASE WHEN v <= 3 THEN CASE k WHEN 0 THEN 'globeSize' WHEN 1 THEN 'tagOrbitPercent' ELSE 'iterations' END ELSE CASE k WHEN 0 THEN 'nodeSize' WHEN 1 THEN 'tagOrbitHeight' ELSE 'iterations' END END || '=' || c_nationkey AS setting, CASE WHEN v <= 4 THEN c_name END AS layout FROM (SELECT *, c_custkey % 7 AS v, c_custkey % 3 AS k FROM customer)")
+def _(spark, d):
+    name = F.when(F.col("c_custkey") % 3 == 0, "nodeSize").when(F.col("c_custkey") % 3 == 1, "tagOrbitHeight").otherwise("iterations")
+    # the layout carries the key through
+    state = T.table(spark, d, "customer").select((F.col("c_custkey") % 7).alias("schema_version"), F.create_map(name, F.col("c_nationkey").cast("string"), F.lit("key"), F.col("c_custkey").cast("string")).alias("settings"), F.col("c_name").alias("layout"))
+    out = validation.migrated(state)
+    first = F.element_at(F.filter(F.map_entries("settings"), lambda e: e["key"] != "key"), 1)
+    return out.select(F.try_element_at("settings", F.lit("key")).cast("long").alias("c_custkey"), "schema_version", F.concat(first["key"], F.lit("="), first["value"]).alias("setting"), "layout")
+
+
+@query("g10_renamed_positions", with_("notes") + f" SELECT {MOVED.format('id')} AS path, length(id)::INT AS x FROM notes")
+def _(spark, d):
+    positions = T.notes(spark, d).select("path", F.length("path").alias("x"))
+    return validation.renamed_positions(positions, renames(spark, d)).select("path", "x")
