@@ -42,7 +42,7 @@ def _byte_fold(s: str, seed: str) -> str:
 
 @query("h4_h6_text_hashes", f"WITH a AS (SELECT p_partkey, {_fold('length(p_name) || chr(58) || p_name || chr(59)', str(H.OFFSET))} AS h4, {_byte_fold('p_name', str(H.OFFSET))} AS f FROM part) SELECT p_partkey, h4, {_mix('f')} AS h6 FROM a")
 def _(spark, d):
-    return T.table(spark, d, "part").select("p_partkey", H.parts_hash(F.array("p_name")).alias("h4"), H.byte_hash(F.col("p_name")).alias("h6"))
+    return T.table(spark, d, "part").select("p_partkey", H.parts_hash(F.array("p_name")).alias("h4"), H.byte_hash(F.coalesce("p_name", F.lit(""))).alias("h6"))
 
 
 @query("h5_h7_h10_number_hashes", f"WITH a AS (SELECT p_partkey, p_size, {_mix('p_partkey')} AS m, {_mix('7::BIGINT')} AS s FROM part), b AS (SELECT *, {_mix('xor(s, p_partkey)')} AS t FROM a), c AS (SELECT *, {_mix('xor(t, p_size::BIGINT)')} AS h FROM b) SELECT p_partkey, m AS h5, h AS h7, h::DOUBLE / 4294967296 AS unit, h::DOUBLE / 4294967296 * 2 - 1 AS signed FROM c")
