@@ -71,36 +71,43 @@ def _tree_pairs(radius: int):
 SHOWN = 16  #: about so many rows of a large shard are compared with what is outside its largest component before all others are
 
 
-def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False, bits: str = "bit_count(fx ^ fy)") -> DataFrame:
-    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp).
+def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False, bits: str = "bit_count(fx ^ fy)", known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp),
+    or distinct (s, n, least, sig), with the rows and the least sig of each shard, and known: (sig, size, fp), a row each.
     A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits (a number, or SQL over the sizes nx, ny);
     `bits` is SQL for how many bits differ, where fp is not one number.
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
     component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part); without
-    `tree`, with about SHOWN rows first and then, if no link to the largest component came of it, with the rest. So a large
-    shard of copies costs a pair a row, and no pair is left out that could connect anything.
+    `tree`, with about SHOWN rows first and then, of what that did not connect, with the rest, a pair in the first shard that
+    it shares. So a large shard of copies costs a pair a row, and no pair is left out that could connect anything.
     """
     near = f"LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9 AND {bits} <= {radius}"
-    shards = written(shards.select("s", "sig", "size", "fp"))
-    least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("sig", "size", "fp")).alias("l")).where("n > 1").select("s", "n", F.col("l.sig").alias("least"), F.col("l.size").alias("ny"), F.col("l.fp").alias("fy"))
-    rows = written(skew_join(shards.withColumnsRenamed({"size": "nx", "fp": "fx"}), least, "s", least.select("s", "n")))
-    first = written(decided(rows.where(f"sig != least AND {near}").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct()))
+    if known is None:
+        shards = written(shards.select("s", "sig", "size", "fp"))
+        known = written(shards.select("sig", "size", "fp").dropDuplicates(["sig"]))
+        least = shards.groupBy("s").agg(F.count("*").alias("n"), F.min("sig").alias("least")).where("n > 1")
+        shards = written(skew_join(shards.select("s", "sig"), least, "s", least.select("s", "n")))
+    one = known.select(F.col("sig").alias("b"), F.col("size").alias("nx"), F.col("fp").alias("fx"))
+    other = known.select(F.col("sig").alias("a"), F.col("size").alias("ny"), F.col("fp").alias("fy"))
+    begun = written(shards.where("sig != least").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct())
+    first = written(decided(skew_join(begun, other, "a").join(one, "b").where(near).select("a", "b")))
     of = components(first)
-    at = written(rows.join(of, rows["sig"] == of["id"], "left").select("s", "n", "least", "sig", "nx", "fx", F.coalesce("component", "sig").alias("c")))
+    at = written(shards.join(of, shards["sig"] == of["id"], "left").select("s", "least", "sig", F.coalesce("component", "sig").alias("c")))
     main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1")
     parts = F.ceil(F.col("n") / limit).cast("int")
-    apart = written(skew_join(at.where("sig != least").drop("n"), main, "s", main.select("s", "n")))
+    main = written(main)
+    apart = written(skew_join(at.where("sig != least").select("s", "sig", "c"), main, "s", main.select("s", "n")).join(known.withColumnsRenamed({"size": "nx", "fp": "fx"}), "sig"))
     part, all_parts = F.pmod(F.xxhash64("sig"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
     outside = (F.col("sig").alias("x"), "nx", "fx", F.col("c").alias("cx"))
     inside = (F.col("sig").alias("y"), F.col("nx").alias("ny"), F.col("fx").alias("fy"), F.col("c").alias("cy"))
-    few, every = apart.where("c != main").select("s", all_parts, *outside), apart.select("s", part, *inside)
     pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     joined = of.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     if tree:
+        few, every = apart.where("c != main").select("s", all_parts, *outside), apart.select("s", part, *inside)
         both = every.select("s", "part", F.lit(0).alias("query"), F.col("y").alias("sig"), F.col("fy").alias("fp")).union(few.select("s", "part", F.lit(1), "x", "fx"))
         found = both.repartition("s", "part").sortWithinPartitions("s", "part", "query").mapInArrow(_tree_pairs(radius), "x long, y long").distinct()
-        size = at.select("sig", "nx", "c").distinct()
+        size = apart.select("sig", "nx", "c").distinct()
         found = found.join(size.withColumnsRenamed({"sig": "x", "c": "cx"}), "x").join(size.withColumnsRenamed({"sig": "y", "nx": "ny", "c": "cy"}), "y")
         cross = found.where(f"cx != cy AND LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9").select(*pair).distinct()
         cross = written(cross)
@@ -109,11 +116,12 @@ def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | s
     met = apart.where("c != main").select("s", part, "main", *outside).join(apart.where(shown).select("s", all_parts, *inside), ["s", "part"])
     met = written(met.where(f"cx != cy AND (cy = main OR x < y) AND {near}").select(*pair).distinct())
     found = written(decided(met))
-    of_main = at.join(main.select("s", "main"), "s").select(F.col("sig").alias("id"), "c").distinct()
-    ends = found.join(of_main.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(of_main.withColumnsRenamed({"id": "b", "c": "cb"}), "b").select("ca", "cb")
-    done = written(ends.union(ends.select("cb", "ca")).distinct().select(F.col("ca").alias("c"), F.col("cb").alias("main"), F.lit(True).alias("done")))
-    few = apart.where("c != main").where(f"n > {SHOWN}").join(done, ["c", "main"], "left").select("s", all_parts, "main", "done", *outside)
-    cross = few.join(apart.where(~shown).select("s", part, *inside), ["s", "part"])
-    cross = written(cross.where(f"cx != cy AND (cy = main AND done IS NULL OR cy != main AND x < y) AND {near}").select(*pair).distinct())
+    now = components(joined.union(found))
+    # where each row is: its component by now, and its shards, so that a pair is proposed in the first it shares
+    where = apart.groupBy("sig").agg(F.array_sort(F.collect_list("s")).alias("ss")).join(now.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "ss", F.coalesce("component", "sig").alias("d"))
+    rest = written(apart.where(f"n > {SHOWN}").join(where, "sig"))
+    few = rest.where("c != main").select("s", all_parts, "main", F.col("d").alias("dx"), F.col("ss").alias("sx"), *outside)
+    cross = few.join(rest.where(~shown).select("s", part, F.col("d").alias("dy"), F.col("ss").alias("sy"), *inside), ["s", "part"])
+    cross = written(cross.where(f"cx != cy AND (cy = main OR x < y) AND dx != dy AND {near} AND s = array_min(array_intersect(sx, sy))").select(*pair).distinct())
     every = joined.union(found)
     return every if cross.isEmpty() else every.union(written(decided(cross)))

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from meridian.llm import line_dedup
+from meridian.llm import components, line_dedup
 
 DIR = "/root/testdata/sf0.001"
 
@@ -66,3 +66,17 @@ def test_query_gives_digests_of_what_is_left(spark, tmp_path):
     got = {r["doc_id"]: (r["n_removed"], r["n_bytes"], r["kept_sha256"]) for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {0: (0, 29, sha(texts[0])), 1: (1, 5, sha("third")), 2: (0, None, None), 3: (1, 0, sha(""))}
+
+
+def test_rows_that_the_shown_ones_connect_are_not_compared_again(spark):
+    """Two shards of the same rows: 1 links with 2 to 40, which link with all others; the others do not link with each other."""
+    asked = []
+
+    def decided(pairs):
+        asked.append(sorted(map(tuple, pairs.select("a", "b").collect())))
+        return pairs.where("a = 1 AND b <= 40 OR a BETWEEN 2 AND 40 AND b > 40").select("a", "b")
+
+    shards = spark.sql("SELECT s, id AS sig, 10 AS size, 0L AS fp FROM range(1, 61) CROSS JOIN (SELECT explode(array(7L, 8L)) AS s)")
+    links = components.linked_in_shards(shards, decided, 0.8, 3, 1024)
+    assert {r["component"] for r in components.components(links).collect()} == {1}
+    assert all(len(x) == len(set(x)) for x in asked) and sum(map(len, asked[2:])) == 0
