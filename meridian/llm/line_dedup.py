@@ -94,21 +94,122 @@ def _script_cost(a: str, b: str, most: int, anchor: int = 10, reach: int = 24) -
     return cost + max(len(a) - i, len(b) - j)
 
 
+def _unlike(a: str, b: str, least: float) -> tuple[str, str, int]:
+    """What is left of both, the longer first, without the beginning and end that they share, and the edits that are allowed."""
+    allowed = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    i = _common(a, 0, b, 0)
+    a, b = a[i:], b[i:]
+    j = _common(a[::-1], 0, b[::-1], 0)
+    a, b = a[: len(a) - j], b[: len(b) - j]
+    return (a, b, allowed) if len(a) >= len(b) else (b, a, allowed)
+
+
 def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
     """1 - edits / longer length is at least `least`."""
-    most = max(len(a), len(b))
-    allowed = int((1 - least) * most + 1e-9)
-    if abs(len(a) - len(b)) > allowed:
-        return False
-    i, n = 0, min(len(a), len(b))
-    while i < n and a[i] == b[i]:
-        i += 1
-    a, b, n = a[i:], b[i:], n - i
-    j = 0
-    while j < n and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[: len(a) - j], b[: len(b) - j]
-    return max(len(a), len(b)) <= allowed or _script_cost(a, b, allowed) <= allowed or levenshtein(a, b, allowed) <= allowed
+    return bool(all_edit_similar([a], [b], least)[0])
+
+
+def all_edit_similar(a: list[str], b: list[str], least: float = SIMILAR) -> np.ndarray:
+    """edit_similar of each pair: most are decided by what they share, the rest by their distances, many of about one length at once."""
+    out, rest = np.zeros(len(a), bool), []
+    for k, (x, y) in enumerate(zip(a, b)):
+        x, y, allowed = _unlike(x, y, least)
+        if len(x) - len(y) > allowed:
+            continue
+        if len(x) <= allowed or _script_cost(x, y, allowed) <= allowed:
+            out[k] = True
+        else:
+            rest.append((k, x, y, allowed))
+    rest.sort(key=lambda r: -len(r[1]))
+    at = 0
+    while at < len(rest):
+        longest = len(rest[at][1])
+        part = rest[at : at + max(1, SIDE_BY_SIDE // (longest + 256))]
+        part = [r for i, r in enumerate(part) if i < 2 * MANY or len(r[1]) >= 0.75 * longest]
+        at += len(part)
+        coded = [(k, *c, allowed) for k, x, y, allowed in part if (c := _coded(x, y))] if len(part) >= MANY else []
+        if len(coded) >= MANY:
+            out[[r[0] for r in coded]] = _within([r[1] for r in coded], [r[2] for r in coded], np.array([r[3] for r in coded]))
+            alone = {r[0] for r in part} - {r[0] for r in coded}
+            part = [r for r in part if r[0] in alone]
+        for k, x, y, allowed in part:
+            out[k] = levenshtein(x, y, allowed) <= allowed
+    return out
+
+
+SIDE_BY_SIDE = 1 << 20  #: bytes of texts whose distances are computed at once
+MANY = 32  #: fewest pairs for which that is faster
+
+
+def _coded(a: str, b: str) -> tuple[bytes, bytes] | None:
+    """Both with a byte for each character, under 255; none where they have too many different ones."""
+    if a.isascii() and b.isascii():
+        return a.encode(), b.encode()
+    kinds, code = np.unique(np.frombuffer((a + b).encode("utf-32-le"), np.uint32), return_inverse=True)
+    code = code.astype(np.uint8).tobytes()
+    return (code[: len(a)], code[len(a) :]) if len(kinds) <= 255 else None
+
+
+def _within(a: list[bytes], b: list[bytes], most: np.ndarray) -> np.ndarray:
+    """Which pairs have at most `most` edits; a no shorter than b, in falling order of length.
+
+    As levenshtein, for all pairs at once and only in the band of diagonals that a script of `most` edits can reach. Bit k
+    of column i is row i + low + k of the table; the distance is followed along the last diagonal.
+    """
+    n, m = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+    side = (most - (n - m)) // 2
+    low = m - n - side
+    words = int((n - m + 2 * side).max()) // 64 + 1
+    front = (int(-low.min()) // 64 + 1) * 64
+    width = front + (max(int(m.max()), int((n + low).max())) // 64 + words + 2) * 64
+    chars = np.zeros((len(b), width), np.uint8)
+    for k, x in enumerate(b):
+        chars[k, front : front + len(x)] = np.frombuffer(x, np.uint8) + 1
+    text = np.zeros((int(n.max()), len(a)), np.uint8)
+    for k, x in enumerate(a):
+        text[: len(x), k] = np.frombuffer(x, np.uint8) + 1
+    used = np.flatnonzero(np.bincount(chars.reshape(-1), minlength=256)[1:]) + 1
+    number = np.zeros(256, np.int64)  # 0: a character that no b has
+    number[used] = np.arange(1, len(used) + 1)
+    places = np.zeros((len(used) + 1, len(b), width // 64), U)
+    for k, c in enumerate(used):
+        places[k + 1] = np.packbits(chars == c, axis=1, bitorder="little").view(U)
+    places, stride, cells = places.reshape(-1), len(b) * (width // 64), np.arange(words + 1)[:, None]
+    row = np.arange(len(b)) * (width // 64)
+    # before the first column all rows of b go up by one, those above them nowhere
+    up = np.ascontiguousarray(np.packbits(np.arange(words * 64) >= -low[:, None], axis=1, bitorder="little").view(U).T)
+    down, far, who, ok = np.zeros_like(up), n - m, np.arange(len(a)), np.zeros(len(a), bool)
+    offset, last, shift_last, begins = front + low, side // 64, (side % 64).astype(U), n - m
+    one, top = U(1), U(63)
+    for i in range(len(text)):
+        if i % 32 == 0:
+            ended, hopeless = i >= n, far > most
+            if (ended | hopeless).any():
+                ok[who[ended & ~hopeless]] = True
+                go = ~(ended | hopeless)
+                if not go.any():
+                    return ok
+                who, n, most, far, row, offset, last, shift_last, begins = (x[go] for x in (who, n, most, far, row, offset, last, shift_last, begins))
+                up, down = np.ascontiguousarray(up[:, go]), np.ascontiguousarray(down[:, go])
+        at = np.minimum(offset + i, width - 64 * (words + 1))
+        found = places.take(number[text[i, who]] * stride + row + (at >> 6) + cells)
+        by = (at & 63).astype(U)
+        eq = found[:-1] >> by | found[1:] << one << (top - by)
+        x = eq & up
+        total = x + up
+        over = total < up
+        for w in range(1, words):
+            total[w] += over[w - 1]
+            over[w] |= over[w - 1] & (total[w] == 0)
+        d0 = (total ^ up) | eq | down
+        right, left = down | ~(d0 | up), d0 & up
+        same = d0[last, np.arange(len(who))] >> shift_last & one
+        far = far + ((i >= begins) & (i < n) & (same == 0))
+        moved = d0 >> one
+        moved[:-1] |= d0[1:] << top
+        up, down = left | ~(moved | right), moved & right
+    ok[who[far <= most]] = True
+    return ok
 
 
 _KIND = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))  #: tells keys of different blocks apart
@@ -245,7 +346,7 @@ _INNER = bytes(range(128, 192))  #: bytes within a character
 
 
 def _meetings(key, group):
-    """Of a bucket: (s, sig) for each key that two or more lines have."""
+    """Of a bucket: (s, n, least, sig) for each key that two or more lines have, with their number and the least of them."""
     parts = [unpack(x) for x in group["packed"].to_pylist()]
     s, sig = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((sig, s))
@@ -254,7 +355,11 @@ def _meetings(key, group):
     s, sig = s[first], sig[first]
     same = s[1:] == s[:-1]
     ok = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    return pa.table({"s": pa.array(s[ok].view(np.int64)), "sig": pa.array(sig[ok].view(np.int64))})
+    s, sig = s[ok].view(np.int64), sig[ok].view(np.int64)
+    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(s)))
+    least = np.minimum.reduceat(sig, start) if len(s) else sig
+    return pa.table({"s": s, "n": np.repeat(n, n), "least": np.repeat(least, n), "sig": sig})
 
 
 def _texts(wanted):
@@ -268,11 +373,26 @@ def _texts(wanted):
     return run
 
 
+AT_ONCE = 4096  #: pairs that are decided together
+
+
 def _edit_similar(batches):
     """Streams pairs with both texts; yields those that are edit_similar."""
+
+    def decided():
+        a, b, ta, tb = (pa.chunked_array([x.column(i) for x in held]) for i in range(4))
+        ok = pa.array(all_edit_similar(ta.to_pylist(), tb.to_pylist()), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x.filter(ok).to_numpy(), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    held, rows, size = [], 0, 0
     for batch in slices(batches):
-        ok = [edit_similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= AT_ONCE or size >= 1 << 23:
+            yield decided()
+            held, rows, size = [], 0, 0
+    if held:
+        yield decided()
 
 
 BUCKET = 1 << 23  #: bytes of text whose lines' keys make one bucket
@@ -280,7 +400,7 @@ BUCKET = 1 << 23  #: bytes of text whose lines' keys make one bucket
 
 def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, buckets: int, limit: int = 1024) -> DataFrame:
     """Links (a, b) between hashes of lines, enough to connect those that meet and are edit_similar."""
-    met = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, sig long"))
+    met = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, n long, least long, sig long"))
     some = met.select("sig").distinct()
     known = written(forms_of.select(F.col("h").alias("sig"), "size", F.struct("fp", "fp2").alias("fp")).join(some, "sig", "left_semi"))
     wanted = put_set(known, "sig", max(1, -(-known.count() // 2_000_000)))
@@ -290,7 +410,7 @@ def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, bucket
         one, other = (forms.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
 
-    return linked_in_shards(skew_join(met, known, "sig"), decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit, bits="bit_count(fx.fp ^ fy.fp) + bit_count(fx.fp2 ^ fy.fp2)")
+    return linked_in_shards(met, decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit, bits="bit_count(fx.fp ^ fy.fp) + bit_count(fx.fp2 ^ fy.fp2)", known=known)
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line dedup as a whole, and as a stage, against all pairs of lines by edit similarity."""
 
 import hashlib
+import random
 
 import duckdb
 import numpy as np
@@ -68,6 +69,24 @@ def test_query_gives_digests_of_what_is_left(spark, tmp_path):
     assert got == {0: (0, 29, sha(texts[0])), 1: (1, 5, sha("third")), 2: (0, None, None), 3: (1, 0, sha(""))}
 
 
+def test_distances_side_by_side_equal_one_by_one():
+    rng, a, b = random.Random(3), [], []
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for letters in ("ab", "abcdefgh ", "abcdefghijklm nopqrs\0", "aé漢b", "".join(map(chr, range(200, 600)))):
+        for n in (0, 1, 5, 63, 64, 65, 130, 300):
+            for _ in range(30):
+                x = some(n, letters)
+                y = list(x)
+                for _ in range(int(n * rng.random() * 0.3)):
+                    i = rng.randrange(len(y) + 1)
+                    y[i : i + rng.randrange(3)] = some(rng.randrange(4), letters)
+                a.append(x)
+                b.append("".join(y) if rng.random() < 0.9 else some(n, letters))
+    for least in (0.6, 0.8, 0.95):
+        want = [line_dedup.levenshtein(x, y) <= int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)]
+        assert line_dedup.all_edit_similar(a, b, least).tolist() == want and 300 < sum(want) < len(want)
+
+
 def test_rows_that_the_shown_ones_connect_are_not_compared_again(spark):
     """Two shards of the same rows: 1 links with 2 to 40, which link with all others; the others do not link with each other."""
     asked = []
