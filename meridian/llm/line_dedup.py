@@ -110,7 +110,7 @@ def edit_similar(a: str, b: str, least: float = SIMILAR) -> bool:
 
 
 def all_edit_similar(a: list[str], b: list[str], least: float = SIMILAR) -> np.ndarray:
-    """edit_similar of each pair: most are decided by what they share, the rest by their distances, many of about one length at once."""
+    """edit_similar of each pair: most are decided by what they share, the rest by their distances, many at once where that costs less."""
     out, rest = np.zeros(len(a), bool), []
     for k, (x, y) in enumerate(zip(a, b)):
         x, y, allowed = _unlike(x, y, least)
@@ -118,36 +118,37 @@ def all_edit_similar(a: list[str], b: list[str], least: float = SIMILAR) -> np.n
             continue
         if len(x) <= allowed or _script_cost(x, y, allowed) <= allowed:
             out[k] = True
+        elif len(set(x + y)) > 255:  # more than a byte tells apart
+            out[k] = levenshtein(x, y, allowed) <= allowed
         else:
             rest.append((k, x, y, allowed))
     rest.sort(key=lambda r: -len(r[1]))
     at = 0
     while at < len(rest):
-        longest = len(rest[at][1])
-        part = rest[at : at + max(1, SIDE_BY_SIDE // (longest + 256))]
-        part = [r for i, r in enumerate(part) if i < 2 * MANY or len(r[1]) >= 0.75 * longest]
-        at += len(part)
-        coded = [(k, *c, allowed) for k, x, y, allowed in part if (c := _coded(x, y))] if len(part) >= MANY else []
-        if len(coded) >= MANY:
-            out[[r[0] for r in coded]] = _within([r[1] for r in coded], [r[2] for r in coded], np.array([r[3] for r in coded]))
-            alone = {r[0] for r in part} - {r[0] for r in coded}
-            part = [r for r in part if r[0] in alone]
-        for k, x, y, allowed in part:
+        k, x, y, allowed = rest[at]
+        part = rest[at : at + max(1, SIDE_BY_SIDE // (len(x) + 256))]
+        words = max(r[3] for r in part) // 64 + 1
+        if len(x) * (COLUMN + COLUMN_WORD * words) < sum(len(r[1]) for r in part):
+            coded = [_coded(*r[1:3]) for r in part]
+            out[[r[0] for r in part]] = _within([c[0] for c in coded], [c[1] for c in coded], np.array([r[3] for r in part]))
+            at += len(part)
+        else:
             out[k] = levenshtein(x, y, allowed) <= allowed
+            at += 1
     return out
 
 
 SIDE_BY_SIDE = 1 << 20  #: bytes of texts whose distances are computed at once
-MANY = 32  #: fewest pairs for which that is faster
+COLUMN, COLUMN_WORD = 30, 4  #: what a column costs there, and more for each word of the band; 1: a column of one pair by itself
 
 
-def _coded(a: str, b: str) -> tuple[bytes, bytes] | None:
-    """Both with a byte for each character, under 255; none where they have too many different ones."""
+def _coded(a: str, b: str) -> tuple[bytes, bytes]:
+    """Both with a byte under 255 for each character; at most 255 different ones."""
     if a.isascii() and b.isascii():
         return a.encode(), b.encode()
-    kinds, code = np.unique(np.frombuffer((a + b).encode("utf-32-le"), np.uint32), return_inverse=True)
+    _, code = np.unique(np.frombuffer((a + b).encode("utf-32-le"), np.uint32), return_inverse=True)
     code = code.astype(np.uint8).tobytes()
-    return (code[: len(a)], code[len(a) :]) if len(kinds) <= 255 else None
+    return code[: len(a)], code[len(a) :]
 
 
 def _within(a: list[bytes], b: list[bytes], most: np.ndarray) -> np.ndarray:
