@@ -68,19 +68,23 @@ def _tree_pairs(radius: int):
     return run
 
 
+BLOCK = 256  #: about so many rows of a shard are compared beside each other in a task
 SHOWN = 16  #: about so many rows of a large shard are compared with what is outside its largest component before all others are
 
 
-def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False, bits: str = "bit_count(fx ^ fy)", known: DataFrame | None = None) -> DataFrame:
+def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | str, limit: int, tree: bool = False, bits: str = "bit_count(fx ^ fy)", known: DataFrame | None = None, beside=None) -> DataFrame:
     """Links (a, b), enough to connect all pairs of a shard that decided(pairs) lets through. shards: distinct (s, sig, size, fp),
     or distinct (s, n, least, sig), with the rows and the least sig of each shard, and known: (sig, size, fp), a row each.
     A pair is only proposed where the lesser size is at least `similar` of the greater, and fingerprints fp differ in at most `radius` bits (a number, or SQL over the sizes nx, ny);
-    `bits` is SQL for how many bits differ, where fp is not one number.
+    `bits` is SQL for how many bits differ, where fp is not one number. Pairs are given to `decided` as a written table.
 
     First each row is compared with its shard's least. Then what is not connected yet: the rows outside a shard's largest
     component with all rows of other components, in parts of about `limit` rows (with `tree`, a BK-tree a part); without
     `tree`, with about SHOWN rows first and then, of what that did not connect, with the rest, a pair in the first shard that
     it shares. So a large shard of copies costs a pair a row, and no pair is left out that could connect anything.
+    beside(rows) may give the links of the last step instead, from (s, part, query, sig, size, fp, d, inner, ss): in each part of a
+    shard all rows that are no query, and as queries the rows that each of them has to be compared with, if their d differ, the
+    query is less or the other `inner`, and the shard is the first in the ss of both. So rows, not pairs, go through joins.
     """
     near = f"LEAST(nx, ny) >= {similar} * GREATEST(nx, ny) - 1e-9 AND {bits} <= {radius}"
     if known is None:
@@ -91,7 +95,7 @@ def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | s
     one = known.select(F.col("sig").alias("b"), F.col("size").alias("nx"), F.col("fp").alias("fx"))
     other = known.select(F.col("sig").alias("a"), F.col("size").alias("ny"), F.col("fp").alias("fy"))
     begun = written(shards.where("sig != least").select(F.col("least").alias("a"), F.col("sig").alias("b")).distinct())
-    first = written(decided(skew_join(begun, other, "a").join(one, "b").where(near).select("a", "b")))
+    first = written(decided(written(skew_join(begun, other, "a").join(one, "b").where(near).select("a", "b"))))
     of = components(first)
     at = written(shards.join(of, shards["sig"] == of["id"], "left").select("s", "least", "sig", F.coalesce("component", "sig").alias("c")))
     main = at.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("count").alias("n")).where("kinds > 1")
@@ -113,15 +117,23 @@ def linked_in_shards(shards: DataFrame, decided, similar: float, radius: int | s
         cross = written(cross)
         return joined if cross.isEmpty() else joined.union(written(decided(cross)))
     shown = F.pmod(F.xxhash64(F.lit(SHOWN), "sig"), F.ceil(F.col("n") / SHOWN)) == 0
+    if beside:  # blocks of smaller shards compare no more, as what a block connects is not compared again in it
+        shown = shown & (F.col("n") > SHOWN * BLOCK)
     met = apart.where("c != main").select("s", part, "main", *outside).join(apart.where(shown).select("s", all_parts, *inside), ["s", "part"])
     met = written(met.where(f"cx != cy AND (cy = main OR x < y) AND {near}").select(*pair).distinct())
-    found = written(decided(met))
-    now = components(joined.union(found))
+    every, now = joined, of
+    if not met.isEmpty():
+        every = joined.union(written(decided(met)))
+        now = components(every)
     # where each row is: its component by now, and its shards, so that a pair is proposed in the first it shares
     where = apart.groupBy("sig").agg(F.array_sort(F.collect_list("s")).alias("ss")).join(now.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "ss", F.coalesce("component", "sig").alias("d"))
-    rest = written(apart.where(f"n > {SHOWN}").join(where, "sig"))
+    rest = written((apart if beside else apart.where(f"n > {SHOWN}")).join(where, "sig"))
+    if beside:
+        block = F.ceil(F.col("n") / BLOCK).cast("int")
+        row = ("sig", F.col("nx").alias("size"), F.col("fx").alias("fp"), "d", (F.col("c") == F.col("main")).alias("inner"), "ss")
+        rows = rest.where(~shown).select("s", F.pmod(F.xxhash64("sig"), block).cast("int").alias("part"), F.lit(0).alias("query"), *row)
+        return every.union(written(beside(rows.union(rest.where("c != main").select("s", F.explode(F.sequence(F.lit(0), block - 1)).alias("part"), F.lit(1), *row)))))
     few = rest.where("c != main").select("s", all_parts, "main", F.col("d").alias("dx"), F.col("ss").alias("sx"), *outside)
     cross = few.join(rest.where(~shown).select("s", part, F.col("d").alias("dy"), F.col("ss").alias("sy"), *inside), ["s", "part"])
     cross = written(cross.where(f"cx != cy AND (cy = main OR x < y) AND dx != dy AND {near} AND s = array_min(array_intersect(sx, sy))").select(*pair).distinct())
-    every = joined.union(found)
     return every if cross.isEmpty() else every.union(written(decided(cross)))

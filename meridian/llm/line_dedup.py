@@ -31,13 +31,21 @@ _TABLE = bytes(ord("0") if 48 <= i < 58 else i + 32 if 65 <= i < 91 else 32 if 9
 _GONE = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
-def normal(line: bytes) -> bytes:
-    out = line.translate(_TABLE, _GONE)
+_BY_LINE = bytes(10 if i == 10 else x for i, x in enumerate(_TABLE))
+
+
+def normal(line: bytes, table: bytes = _TABLE) -> bytes:
+    out = line.translate(table, _GONE)
     while b"  " in out:
         out = out.replace(b"  ", b" ")
     return out.strip(b" ")
 
 
+def normal_lines(text: bytes) -> list[bytes]:
+    """normal() of each line of a text."""
+    return [x.strip(b" ") for x in normal(text, _BY_LINE).split(b"\n")]
+
+
 def levenshtein(a: str, b: str, most: int | None = None) -> int:
     """Edits between strings, a column of the table as bits of one number at a time; once over `most` is sure, any number over it."""
     if len(a) < len(b):
@@ -289,9 +297,9 @@ def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.
     """Of all lines of the texts: number of the text, number of the line, normal form, hash of that."""
     import xxhash
 
-    parts = [x.split(b"\n") for x in texts]
+    parts = [normal_lines(x) for x in texts]
     n = np.array([len(x) for x in parts], np.int64)
-    forms = [normal(x) for p in parts for x in p]
+    forms = [x for p in parts for x in p]
     h = np.fromiter(map(xxhash.xxh64_intdigest, forms), np.uint64, len(forms))
     return np.repeat(np.arange(len(texts)), n), np.arange(len(forms)) - np.repeat(np.cumsum(n) - n, n), forms, h
 
@@ -347,20 +355,47 @@ _INNER = bytes(range(128, 192))  #: bytes within a character
 
 
 def _meetings(key, group):
-    """Of a bucket: (s, n, least, sig) for each key that two or more lines have, with their number and the least of them."""
+    """Of a bucket: for each key that two or more lines have, (s, chunk, n, least, sigs): a hash of the set of these lines, their number,
+    the least of them, and their sorted hashes in chunks. A set comes once, whatever the number of its keys."""
     parts = [unpack(x) for x in group["packed"].to_pylist()]
     s, sig = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((sig, s))
     s, sig = s[order], sig[order]
     first = np.concatenate(([True], (s[1:] != s[:-1]) | (sig[1:] != sig[:-1])))
     s, sig = s[first], sig[first]
-    same = s[1:] == s[:-1]
-    ok = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    s, sig = s[ok].view(np.int64), sig[ok].view(np.int64)
     start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
     n = np.diff(np.append(start, len(s)))
-    least = np.minimum.reduceat(sig, start) if len(s) else sig
-    return pa.table({"s": s, "n": np.repeat(n, n), "least": np.repeat(least, n), "sig": sig})
+    least = np.minimum.reduceat(sig.view(np.int64), start) if len(s) else np.zeros(0, np.int64)
+    start, n, least = start[n > 1], n[n > 1], least[n > 1]
+    if not len(n):
+        return pa.table({"s": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "sigs": pa.array([], pa.binary())})
+    upto = np.concatenate((np.zeros(1, U), np.cumsum(mix(sig), dtype=U)))
+    name, at = np.unique(mix(upto[start + n] - upto[start] + n.astype(U)), return_index=True)
+    start, n, least, sig = start[at], n[at], least[at], sig.view(np.int64)
+    chunks = -(-n // CHUNK)
+    which = np.repeat(np.arange(len(n)), chunks)
+    chunk = np.arange(len(which)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    begin = start[which] + chunk * CHUNK
+    end = np.minimum(begin + CHUNK, (start + n)[which])
+    return pa.table({"s": name.view(np.int64)[which], "chunk": pa.array(chunk, pa.int32()), "n": n[which], "least": least[which], "sigs": pa.array([sig[i:j].tobytes() for i, j in zip(begin, end)], pa.binary())})
+
+
+CHUNK = 1024  #: hashes of lines that go in one value
+
+
+def _sets(batches):
+    """Streams rows of _meetings, all of one s and chunk in one task; yields (s, n, least, sig), each set once."""
+    seen = set()
+    for batch in batches:
+        new = []
+        for i, x in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if x not in seen:
+                seen.add(x)
+                new.append(i)
+        s, n, least = (batch.column(i).to_numpy()[new] for i in (0, 2, 3))
+        sigs = [np.frombuffer(x, np.int64) for x in batch.column(4).take(pa.array(new, pa.int64())).to_pylist()]
+        many = [len(x) for x in sigs]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, many)) for x in (s, n, least)] + [pa.array(np.concatenate([np.zeros(0, np.int64), *sigs]))], names=["s", "n", "least", "sig"])
 
 
 def _texts(wanted):
@@ -396,12 +431,80 @@ def _edit_similar(batches):
         yield decided()
 
 
+CELLS = 1 << 16  #: pairs whose SimHashes are compared at once
+
+
+def _beside(batches):
+    """Streams (s, part, query, sig, size, fp, fp2, d, inner, ss, text), sorted with the rows of a part before its queries (see linked_in_shards); yields links.
+
+    Pairs within the radius are decided by edit similarity, unless links of this task connect their components d already.
+    """
+    up, held, links = {}, [], []
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def decide():
+        ok = all_edit_similar([x[2][k] for x, _, k, _ in held], [y[2][k] for _, y, _, k in held])
+        for (x, y, i, j), similar in zip(held, ok):
+            if similar:
+                links.append(sorted((x[0][i].item(), y[0][j].item())))
+                up[root(x[4][i])] = root(y[4][j])
+        held.clear()
+
+    def roots(ds):
+        return np.fromiter(map(root, ds), np.int64, len(ds))
+
+    def found(s, x, y):
+        """Hold or decide the pairs of queries x and rows y."""
+        step = max(1, CELLS // len(y[0]))
+        for at in range(0, len(x[0]), step):
+            part = slice(at, at + step)
+            size, other = x[1][part, None], y[1]
+            bits = np.bitwise_count(x[5][part, None] ^ y[5]) + np.bitwise_count(x[6][part, None] ^ y[6])
+            near = (np.minimum(size, other) >= SIMILAR * np.maximum(size, other) - 1e-9) & (bits <= np.where(size < LENGTHY, FAR, FAR_LONG))
+            near &= (roots(x[4][part])[:, None] != roots(y[4])) & (y[7] | (x[0][part, None] < y[0]))
+            for i, j in zip(*(k.tolist() for k in np.nonzero(near))):
+                if s == min(x[3][at + i] & y[3][j]):
+                    held.append((x, y, at + i, j))
+            if len(held) >= AT_ONCE:
+                decide()
+
+    now, rows = None, []
+    for batch in slices(batches, 1000):
+        s, part, query, sig, size, fp, fp2 = (batch.column(i).to_numpy() for i in range(7))
+        fp, fp2 = fp.view(U), fp2.view(U)  # bits of a signed number are counted in its absolute value
+        cut = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1]))))
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(s)]):
+            if now != (s[i], part[i]):
+                now, rows = (s[i], part[i]), []
+            at = batch.slice(i, j - i)
+            one = (sig[i:j], size[i:j], at.column(10).to_pylist(), [frozenset(x) for x in at.column(9).to_pylist()], at.column(7).to_pylist(), fp[i:j], fp2[i:j], at.column(8).to_numpy(zero_copy_only=False))
+            if not query[i]:
+                rows.append(one)
+            else:
+                for y in rows:
+                    found(s[i].item(), one, y)
+        if len(links) > 50_000:
+            yield _linked(links)
+            links.clear()
+    decide()
+    yield _linked(links)
+
+
+def _linked(links):
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 BUCKET = 1 << 23  #: bytes of text whose lines' keys make one bucket
 
 
 def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, buckets: int, limit: int = 1024) -> DataFrame:
     """Links (a, b) between hashes of lines, enough to connect those that meet and are edit_similar."""
-    met = written(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, n long, least long, sig long"))
+    sets = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meetings, "s long, chunk int, n long, least long, sigs binary")
+    met = written(sets.repartition("s", "chunk").mapInArrow(_sets, "s long, n long, least long, sig long"))
     some = met.select("sig").distinct()
     known = written(forms_of.select(F.col("h").alias("sig"), "size", F.struct("fp", "fp2").alias("fp")).join(some, "sig", "left_semi"))
     wanted = put_set(known, "sig", max(1, -(-known.count() // 2_000_000)))
@@ -409,9 +512,15 @@ def _line_links(texts: DataFrame, forms_of: DataFrame, packed: DataFrame, bucket
 
     def decided(pairs):
         one, other = (forms.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
+        # one text a pair, so the pairs alone tell how often each text is wanted
+        many = written(pairs.groupBy("a").agg(F.count("*").alias("n")))
+        return skew_join(pairs.join(other, "b"), one, "a", many).select("a", "b", "ta", "tb").mapInArrow(_edit_similar, "a long, b long")
+
+    def beside(rows):
+        rows = rows.join(forms.withColumnRenamed("id", "sig"), "sig").select("s", "part", "query", "sig", "size", "fp.fp", "fp.fp2", "d", "inner", "ss", "text")
+        return rows.repartition("s", "part").sortWithinPartitions("s", "part", "query").mapInArrow(_beside, "a long, b long")
 
-    return linked_in_shards(met, decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit, bits="bit_count(fx.fp ^ fy.fp) + bit_count(fx.fp2 ^ fy.fp2)", known=known)
+    return linked_in_shards(met, decided, SIMILAR, f"CASE WHEN nx < {LENGTHY} THEN {FAR} ELSE {FAR_LONG} END", limit, bits="bit_count(fx.fp ^ fy.fp) + bit_count(fx.fp2 ^ fy.fp2)", known=known, beside=beside)
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -443,7 +552,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """
     name, hashed, lines = fresh(docs, "_key", "_rk", "_lines")
     gone = repeated_lines(docs, key, text, min_words).withColumnsRenamed({"rk": hashed, "lines": lines})
-    joined = docs.withColumn(name, F.xxhash64(key, text)).join(gone, F.col(name) == F.col(hashed), "left")
+    joined = docs.withColumn(name, F.xxhash64(key, text)).join(gone.hint("shuffle_hash"), F.col(name) == F.col(hashed), "left")
     parts = F.split(text, "\n")
     # runs of lines between those that go, so that each line is looked at once
     whole = F.struct(parts.alias("p"), F.array_append(F.array_sort(lines), F.size(parts)).alias("g"))

@@ -152,7 +152,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | N
     """
     from pyspark.sql import functions as F
 
-    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = written(left.groupBy(key).agg(F.count("*").alias("n"))) if counts is None else counts
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = written(counts.where((F.col("n") > max(1, total // spread)) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), F.ceil(F.col("n") * spread / max(1, total)).cast("int").alias("_salts")))
     if hot.isEmpty():

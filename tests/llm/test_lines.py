@@ -99,3 +99,55 @@ def test_rows_that_the_shown_ones_connect_are_not_compared_again(spark):
     links = components.linked_in_shards(shards, decided, 0.8, 3, 1024)
     assert {r["component"] for r in components.components(links).collect()} == {1}
     assert all(len(x) == len(set(x)) for x in asked) and sum(map(len, asked[2:])) == 0
+
+
+@pytest.mark.parametrize("block", [256, 40, 2])
+def test_lines_of_one_passage_are_compared_beside_each_other(spark, monkeypatch, block):
+    """Lines that share a long passage, most too different to link: no table of their pairs is made, and the links are those of all pairs that meet."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage = some(70)
+    heads = [some(rng.randrange(8, 40)) for _ in range(110)]
+    heads += [" ".join([*h.split()[:-2], word(), word()]) for h in heads[:20]]
+    docs = spark.createDataFrame([(i, f"{h} {passage}") for i, h in enumerate(heads)], "doc_id long, text string")
+    plain, asked = components.linked_in_shards, []
+
+    def links(shards, decided, *args, beside=None, **kwargs):
+        def counted(pairs):
+            asked[-1].append(pairs.count())
+            return decided(pairs)
+
+        asked.append([])
+        return plain(shards, counted, *args, **kwargs, **({} if len(asked) == 2 else {"beside": beside}))
+
+    monkeypatch.setattr(line_dedup, "linked_in_shards", links)
+    monkeypatch.setattr(components, "BLOCK", block)
+    ours, by_pairs = (sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) for _ in range(2))
+    assert ours == by_pairs and 20 <= sum(r[-1] for r in ours) < len(heads)
+    assert sum(asked[0]) <= 25 * len(heads) and sum(asked[0]) < sum(asked[1])
+    if block == 256:
+        assert len(asked[0]) == 1 and sum(asked[0]) <= 10 * len(heads)
+
+
+def test_a_set_of_lines_comes_once_whatever_its_keys(monkeypatch):
+    import pyarrow as pa
+
+    from meridian.llm.shared import pack
+
+    monkeypatch.setattr(line_dedup, "CHUNK", 2)
+    members = {1: [7, 8, 9], 2: [7, 8, 9], 3: [7, 8], 4: [5], 5: [2**63 + 1, 3]}
+    key, sig = (np.array(x, np.uint64) for x in zip(*((k, s) for k, ms in members.items() for s in sorted(ms))))
+    sets = line_dedup._meetings((0,), pa.table({"packed": [pack(key, sig)]}))
+    got = {}
+    for batch in line_dedup._sets(iter((sets.to_batches() * 2))):
+        for s, n, least, x in zip(*(c.to_pylist() for c in batch.columns)):
+            got.setdefault((s, n, least), []).append(x)
+    assert sorted((n, least, sorted(x)) for (_, n, least), x in got.items()) == [(2, 1 - 2**63, [1 - 2**63, 3]), (2, 7, [7, 8]), (3, 7, [7, 8, 9])]
+
+
+def test_lines_of_a_text_are_normal_as_each_by_itself():
+    rng = random.Random(1)
+    for _ in range(500):
+        t = bytes(rng.choice(b" \n\t\r.,aZ9\xc3\xa9  \n") for _ in range(rng.randrange(40)))
+        assert line_dedup.normal_lines(t) == [line_dedup.normal(x) for x in t.split(b"\n")]
