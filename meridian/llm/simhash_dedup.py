@@ -170,7 +170,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     def decided(pairs):
         one, other = (forms.select(F.col("sig").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
-        return skew_join(written(pairs).join(other, "b"), one, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(similar, width), "a long, b long")
+        many = written(pairs.groupBy("a").agg(F.count("*").alias("n")))
+        return skew_join(pairs.join(other, "b"), one, "a", many).select("a", "b", "ta", "tb").mapInArrow(_similar(similar, width), "a long, b long")
 
     joined = components(linked_in_shards(shards, decided, similar, NEAR, limit, tree=True))
     of = written(nodes.select("sig", "least", "n").join(joined.select(F.col("id").alias("sig"), "component"), "sig", "left").select("sig", "least", "n", F.coalesce("component", "sig").alias("c")))
