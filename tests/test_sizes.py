@@ -1,6 +1,7 @@
 """What shows only in large tables or odd values: plans, small limits, zeros."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from meridian.functions import paths as P
-from meridian.operators import signatures
+from meridian.operators import communities, signatures, traversal
 
 DIR = "/root/testdata/sf0.001"
 
@@ -44,3 +45,43 @@ def test_fast_and_slow_paths_agree(spark):
     slow = F.regexp_replace(F.regexp_replace(F.regexp_replace(P.trimmed(F.col("p")), r"\\", "/"), "^/+", ""), "/{2,}", "/")
     got = spark.createDataFrame([*rows, (None,)], "p string").where(~P.normal_path(F.col("p")).eqNullSafe(F.when(slow == ".", "").otherwise(slow)))
     assert got.count() == 0
+
+
+def test_refresh_plan_stores_each_link_once(spark, monkeypatch):
+    stored = []
+    keep = traversal.checkpointed
+    monkeypatch.setattr(traversal, "checkpointed", lambda df: stored.append(df.count()) or keep(df))
+    n = spark.createDataFrame([(x, True) for x in "abcd"], "id string, existing boolean")
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a"), ("d", "d")], "src_id string, dst_id string")
+    got = traversal.refresh_plan(n, e, n.where("id = 'a'").select("id"), 2).collect()
+    assert {r["id"]: r["hop"] for r in got} == {"a": 0, "b": 1, "c": 2, "d": None} and stored[0] == 4
+
+
+@pytest.mark.parametrize("few", [0, 3, 16])
+def test_sets_in_sets_of_all_sizes(spark, monkeypatch, few):
+    monkeypatch.setattr(communities, "FEW", few)
+    r = random.Random(few)
+    sets = {f"s{i:03d}": frozenset(r.choices(range(9), k=r.choice((1, 1, 2, 3, 4, 6, 9)))) for i in range(90)}
+    score = {s: r.choice((0.1, 0.2, 0.27, 0.3)) for s in sets}
+    m = spark.createDataFrame([(s, x) for s, of in sets.items() for x in (*of, min(of))], "set string, id long")
+    scored = spark.createDataFrame([(s, score[s], len(of)) for s, of in sets.items()], "set string, score double, n long")
+    for strict in (True, False):
+        want = sorted((a, b) for a in sets for b in sets if a != b and (sets[a] < sets[b] if strict else sets[a] <= sets[b]))
+        assert sorted(map(tuple, communities.contained(m, strict).collect())) == want
+    kept = {s for s in sets if not any(sets[s] < sets[b] and score[b] + 0.06 >= score[s] for b in sets)}
+    assert {x["set"] for x in communities.without_incomplete(scored, m).collect()} == kept
+    whole = set()
+    for p in sets:
+        used, k = set(), 0
+        for c in sorted((c for c in sets if sets[c] < sets[p] and score[c] + 0.12 >= score[p]), key=lambda c: (-score[c], -len(sets[c]), c)):
+            if not used & sets[c]:
+                used, k = used | sets[c], k + 1
+        if not (k >= 2 and len(used) >= 0.82 * len(sets[p])):
+            whole.add(p)
+    assert {x["set"] for x in communities.without_splittable(scored, m).collect()} == whole
+
+
+def test_equal_sets_are_compared_once(spark):
+    m = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, x) for k in range(100, 130) for x in (0, 1, 2)], "set long, id long")
+    of, pairs = communities._kinds(m)
+    assert sorted(map(tuple, pairs.collect())) == [(0, 100), (1, 100)] and of.count() == 90 and communities.contained(m).count() == 60 * 30
