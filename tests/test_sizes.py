@@ -85,3 +85,27 @@ def test_equal_sets_are_compared_once(spark):
     m = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, x) for k in range(100, 130) for x in (0, 1, 2)], "set long, id long")
     of, pairs = communities._kinds(m)
     assert sorted(map(tuple, pairs.collect())) == [(0, 100), (1, 100)] and of.count() == 90 and communities.contained(m).count() == 60 * 30
+
+
+@pytest.mark.parametrize("reach", [0, 12, 100])
+def test_set_metrics_by_lists_and_bitmaps(spark, monkeypatch, reach):
+    monkeypatch.setattr(communities, "REACH", reach)
+    want = duckdb.sql(f"SELECT * FROM ({_over(DIR)} {entry.oracle_sql()['d15_set_metrics'].removeprefix('WITH')})")
+    got = entry.queries()["d15_set_metrics"](spark, DIR).select(*want.columns).collect()
+    clean = lambda rows: sorted(tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in r) for r in rows)
+    assert clean(got) == clean(want.fetchall())
+
+
+def _over(folder):
+    return "WITH " + ", ".join(f"{t} AS (SELECT * FROM '{folder}/{t}.parquet')" for t in ("region", "nation", "customer", "supplier", "orders", "lineitem")) + ","
+
+
+def test_moves_store_links_by_ordinal(spark, monkeypatch):
+    stored = []
+    keep = communities.checkpointed
+    monkeypatch.setattr(communities, "checkpointed", lambda df: stored.append(df.schema) or keep(df))
+    n = spark.createDataFrame([(x,) for x in "abc"], "id string")
+    arcs = communities.arcs_of(spark.createDataFrame([("a", "b", 9.0), ("b", "c", 9.0)], "src_id string, dst_id string, weight double"))
+    labels, _ = communities.move_labels(n, arcs, 0.5, rounds=1)
+    assert labels.schema["label"].dataType.simpleString() == "string" and labels.count() == 3
+    assert all(s["id"].dataType.simpleString() == "bigint" for s in stored if "other" in s.names)
