@@ -1,6 +1,8 @@
 """What shows only in large tables or odd values: plans, small limits, zeros."""
 
+import functools
 import hashlib
+import math
 import random
 
 import duckdb
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from meridian.functions import paths as P
-from meridian.operators import communities, signatures, traversal
+from meridian.functions import hashing as H
+from meridian.operators import communities, indexing, layout, signatures, traversal
+from meridian.sources import tables
 
 DIR = "/root/testdata/sf0.001"
 
@@ -109,3 +113,29 @@ def test_moves_store_links_by_ordinal(spark, monkeypatch):
     labels, _ = communities.move_labels(n, arcs, 0.5, rounds=1)
     assert labels.schema["label"].dataType.simpleString() == "string" and labels.count() == 3
     assert all(s["id"].dataType.simpleString() == "bigint" for s in stored if "other" in s.names)
+
+
+def test_repulsion_stores_no_pairs(spark):
+    p = tables.positions(spark, DIR)
+    q = entry.queries()["k10_repulsion"](spark, DIR)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    at = indexing.dense_index(p.withColumnRenamed("idx", "vec"), "vec").select("idx", "x", "y", "z")
+    n = at.count()
+    spots, got = {r["idx"]: (r["x"], r["y"], r["z"]) for r in at.collect()}, layout.local_repulsion(at, n, 0.2, samples=3)
+
+    def mix(x):
+        x = (x ^ x >> 16) * H.MIX_A & H.MASK
+        x = (x ^ x >> 15) * H.MIX_B & H.MASK
+        return x ^ x >> 15
+
+    def picked(i, s):
+        b = functools.reduce(lambda h, v: mix(h ^ v), (0, i, s, 0x9E6), mix(7)) % (n - 1)
+        return b + (b >= i)
+
+    pairs = {tuple(sorted((i, picked(i, s)))) for i in spots for s in range(3)}
+    pairs |= {(a, b) for a in spots for b in spots if a < b and math.dist(spots[a], spots[b]) <= 2 * math.sin(0.1)}
+    rows = spark.createDataFrame([(a, b, *spots[a], *spots[b]) for a, b in pairs], "a int, b int, ax double, ay double, az double, bx double, by double, bz double")
+    want = {r["idx"]: r for r in layout.repulsion(rows, n).collect()}
+    got = got.collect()
+    assert {r["idx"] for r in got} == set(want)
+    assert all(r[c] == pytest.approx(want[r["idx"]][c], abs=1e-9) for r in got for c in ("fx", "fy", "fz"))
